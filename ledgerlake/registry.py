@@ -1,9 +1,300 @@
-"""All queries of the engine proper, by name."""
+"""All queries of the engine proper, by name, over the test tables that stand in for the domain.
 
+customer: accounts; events: balances in order of arrival; orders: transactions; lineitem: their
+redelivered versions and labels; part: categories. Each query has the SQL it is held against.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import categorize, flatten, merge
+from .plans import reports
+from .sources.paged import offsets
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+REPORT_MONTH = ("10", "1997")
+
+
+def _query(sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__], _SQL[f.__name__] = f, sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+
+def _arrival():
+    return F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sign = F.when(F.col("o_orderstatus") == "F", -1).otherwise(1)
+    return _table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("reference"), F.col("o_custkey").alias("account_id"), F.col("o_orderstatus").alias("booking_status"),
+        F.col("o_orderdate").alias("booking_date"), (sign * F.col("o_totalprice")).alias("amount"),
+    )
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _table(spark, sf_dir, "lineitem")
+    return lines.groupBy(F.col("l_orderkey").alias("reference")).agg(F.max_by("l_partkey", _arrival()).alias("category_id"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("category"), F.col("p_brand").alias("subcategory"))
+
+
+@_query("SELECT event_type, avg(value) AS avg_value FROM events GROUP BY event_type")
+def avg_by_key(spark, sf_dir):
+    return reports.average_by_key(_table(spark, sf_dir, "events"), "event_type", "value", "avg_value")
+
+
+_INCOME = "CAST(coalesce(sum(CASE WHEN a > 0 THEN a END), 0) AS DOUBLE) AS total_income, CAST(coalesce(sum(CASE WHEN a < 0 THEN -a END), 0) AS DOUBLE) AS total_expenses"
+
+
+@_query(f"""
+WITH last AS (SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS part FROM lineitem GROUP BY l_orderkey),
+lines AS (SELECT coalesce(p_type, 'uncategorized') AS category, CAST(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18, 2)) AS a
+  FROM orders LEFT JOIN last ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = part
+  WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-11-01')
+SELECT '10' AS month, '1997' AS year, category, {_INCOME} FROM lines GROUP BY category""")
+def monthly_report(spark, sf_dir):
+    return reports.reports(_transactions(spark, sf_dir), _labels(spark, sf_dir), _parts(spark, sf_dir), *REPORT_MONTH)
+
+
+@_query("""
+WITH last AS (SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS part FROM lineitem GROUP BY l_orderkey),
+lines AS (SELECT coalesce(p_type, 'uncategorized') AS category, CAST(CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END AS DECIMAL(18, 2)) AS a
+  FROM orders LEFT JOIN last ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = part
+  WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-11-01')
+SELECT category, CAST(coalesce(sum(CASE WHEN a > 0 THEN a END), 0) AS DOUBLE) AS total_income, 'Report' AS __typename FROM lines GROUP BY category""")
+def report_fields(spark, sf_dir):
+    return reports.reports(_transactions(spark, sf_dir), _labels(spark, sf_dir), _parts(spark, sf_dir), *REPORT_MONTH, fields=("category", "total_income"), typename=True)
+
+
+@_query(f"""
+SELECT category, {_INCOME} FROM (SELECT p_type AS category, CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18, 2)) AS a
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+  WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-11-01') GROUP BY category""")
+def monthly_report_lines(spark, sf_dir):
+    orders = reports.in_month(_table(spark, sf_dir, "orders"), *REPORT_MONTH, date="o_orderdate").select("o_orderkey")
+    lines = _table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    sign = F.when(F.col("l_returnflag") == "R", -1).otherwise(1)
+    named = lines.join(_parts(spark, sf_dir), F.col("l_partkey") == F.col("id"))
+    return reports.income_and_expenses(named.select("category", (sign * F.col("l_extendedprice")).alias("amount")))
+
+
+def _versions(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+
+
+@_query("""
+SELECT l_orderkey, first(l_suppkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS account_id, last(l_extendedprice ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS amount,
+  last(l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS status FROM lineitem GROUP BY l_orderkey""")
+def upsert_keep_account(spark, sf_dir):
+    batch = _versions(spark, sf_dir).select("l_orderkey", F.col("l_suppkey").alias("account_id"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("status"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    table = batch.select("l_orderkey", "account_id", "amount", "status").limit(0)
+    return merge.upsert(table, batch, ["l_orderkey"], _arrival(), keep=("account_id",))
+
+
+@_query("""
+SELECT l_orderkey, l_suppkey, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem) WHERE rn = 1""")
+def upsert_last_wins(spark, sf_dir):
+    return merge.last_of_each(_versions(spark, sf_dir), ["l_orderkey"], _arrival()).select("l_orderkey", "l_suppkey", "l_extendedprice")
+
+
+@_query("""
+SELECT o_orderkey AS reference, CASE WHEN l_orderkey IS NULL THEN o_custkey END AS account_id, coalesce(price, o_totalprice) AS amount
+FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_extendedprice, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS price FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
+def replace_rows(spark, sf_dir):
+    table = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("amount"))
+    batch = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reference"), F.col("l_extendedprice").alias("amount"), _arrival().alias("at"))
+    known = batch.join(table.select("reference"), "reference", "left_semi")
+    return merge.replace(table, known, ["reference"], F.col("at")).select("reference", "account_id", "amount")
+
+
+@_query("""
+SELECT account_id, day, amount FROM (SELECT user_id AS account_id, CAST(ts AS DATE) AS day, value AS amount, row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1""")
+def insert_ignore_first(spark, sf_dir):
+    batch = _table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), F.to_date("ts").alias("day"), F.col("value").alias("amount"), "ts", "event_id")
+    return merge.insert_ignore(batch.select("account_id", "day", "amount").limit(0), batch, ["account_id", "day"], F.struct("ts", "event_id"))
+
+
+@_query("SELECT o_orderkey AS reference, o_totalprice AS amount FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def anti_uncategorized(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.col("o_totalprice").alias("amount"))
+    return categorize.pending(orders, _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reference")))
+
+
+@_query("SELECT o_orderkey AS reference, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AS is_categorized FROM orders")
+def exists_flag(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"))
+    return categorize.with_label_flag(orders, _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reference")))
+
+
+@_query("SELECT o_orderkey AS reference FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def semi_categorized(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reference"))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference")).join(lines, "reference", "left_semi")
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
+def json_extract(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int", {"mode": "FAILFAST"})["k"].alias("k"))
+
+
+@_query("SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_group(spark, sf_dir):
+    return json_extract(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT p_partkey, coalesce(TRY_CAST(regexp_extract(p_brand, '[0-9]+') AS DOUBLE), 0.0) AS number, 0.0::DOUBLE AS name_number FROM part")
+def parse_or_zero(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    return part.select("p_partkey", C.parse_or_zero(F.regexp_extract("p_brand", "[0-9]+", 0)).alias("number"), C.parse_or_zero(F.concat(F.lit("x"), "p_name")).alias("name_number"))
+
+
+@_query("SELECT row_number() OVER (ORDER BY p_type, p_brand)::INTEGER AS id, p_type AS category, p_brand AS subcategory FROM (SELECT DISTINCT p_type, p_brand FROM part)")
+def dim_dedup(spark, sf_dir):
+    return categorize.category_dim(_parts(spark, sf_dir))
+
+
+@_query("""
+WITH dim AS (SELECT row_number() OVER (ORDER BY p_type, p_brand)::INTEGER AS id, p_type, p_brand FROM (SELECT DISTINCT p_type, p_brand FROM part))
+SELECT p_partkey AS reference, id AS category_id, 'given' AS reasoning, CAST(CAST(0.9 AS FLOAT) AS DOUBLE) AS confidence FROM part JOIN dim USING (p_type, p_brand)""")
+def label_lookup(spark, sf_dir):
+    answers = _parts(spark, sf_dir).select(F.col("id").alias("reference"), "category", "subcategory", F.lit(0.9).cast("float").alias("confidence"), F.lit("given").alias("reasoning"))
+    return categorize.resolve(answers, dim_dedup(spark, sf_dir))[0]
+
+
+@_query("""
+SELECT turn, CASE WHEN regexp_matches(text, '(?i)the ') THEN 'English' WHEN regexp_matches(text, '(?i)der ') THEN 'German' ELSE 'other' END AS category, count(*) AS n FROM conversations GROUP BY 1, 2""")
+def rule_labels(spark, sf_dir):
+    label = categorize.by_rules(F.col("text"), [("(?i)the ", "English", "text"), ("(?i)der ", "German", "text")], ("other", "text"))
+    return _table(spark, sf_dir, "conversations").select("turn", label["category"].alias("category")).groupBy("turn", "category").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT c_custkey AS account_id, n_name AS category FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def mandate_rules(spark, sf_dir):
+    accounts = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("creditor_mandate_id"))
+    rules = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("creditor_mandate_id"), F.col("n_name").alias("category_id"))
+    return categorize.by_mandate(accounts, rules).select("account_id", F.col("category_id").alias("category"))
+
+
+@_query("SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 20")
+def page_slice(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy("o_orderkey").offset(20).limit(20)
+
+
+@_query("SELECT CAST(unnest(range(0, (SELECT count(*) FROM orders), 5000)) AS BIGINT) AS page_offset")
+def page_offsets(spark, sf_dir):
+    matches = _table(spark, sf_dir, "orders").count()
+    step = min(5000, matches)
+    return spark.range(0, matches if offsets(step, matches) else 0, max(1, step)).select(F.col("id").alias("page_offset"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 1")
+def page_concat(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey")
+    return orders.where("o_orderkey % 2 = 0").unionByName(orders.where("o_orderkey % 2 = 1"))
+
+
+@_query("SELECT c_custkey AS account_id, count(o_orderkey) AS transactions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def fk_left(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("account_id")).agg(F.count("*").alias("transactions"))
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id")).join(orders, "account_id", "left").select("account_id", F.coalesce("transactions", F.lit(0)).alias("transactions"))
+
+
+@_query("SELECT user_id AS account_id, count(*) AS n FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) GROUP BY user_id")
+def fk_orphans(spark, sf_dir):
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"))
+    return merge.orphans(events, _table(spark, sf_dir, "customer"), "account_id", "c_custkey").groupBy("account_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def unique_violations(spark, sf_dir):
+    return merge.duplicates(_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def cascade_delete(spark, sf_dir):
+    gone = _table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return merge.delete_cascade(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), gone, "o_custkey")
+
+
+@_query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_orderdate AS DATE) AS date FROM orders")
+def date_text(spark, sf_dir):
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    return _table(spark, sf_dir, "orders").select("o_orderkey", day.alias("day"), C.parse_date(day).alias("date"))
+
+
+@_query("SELECT event_id, right(CAST(epoch_us(ts) // 1000 AS VARCHAR), 9) AS request_id FROM events")
+def request_suffix(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", C.request_suffix(F.col("ts")).alias("request_id"))
+
+
+@_query("SELECT page_id, regexp_replace(url || '/api/api', '(/api)+$', '') AS base FROM pages")
+def suffix_strip(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", C.strip_suffix(F.concat("url", F.lit("/api/api")), "/api").alias("base"))
+
+
+@_query("SELECT n_nationkey, replace('Use {categories} only.', '{categories}', n_name) AS prompt FROM nation")
+def template_fill(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", C.fill_template(F.lit("Use {categories} only."), "categories", F.col("n_name")).alias("prompt"))
+
+
+@_query("SELECT n_nationkey, CASE WHEN n_nationkey <= 1 THEN 10 WHEN n_nationkey = 2 THEN 20 WHEN n_nationkey = 3 THEN 40 ELSE 60 END AS minutes, greatest(3 - n_nationkey, 0) AS seconds_left, least(n_nationkey, 4) AS next_due FROM nation")
+def schedule_functions(spark, sf_dir):
+    n = F.col("n_nationkey")
+    return _table(spark, sf_dir, "nation").select("n_nationkey", C.backoff_minutes(n).alias("minutes"), C.seconds_left(F.lit(3), n).alias("seconds_left"), F.least(n, F.lit(4)).alias("next_due"))
+
+
+@_query("SELECT r_regionkey, unnest([r_name || '-a', r_name || '-b']) AS subcategory FROM region WHERE r_regionkey <> 2")
+def explode_categories(spark, sf_dir):
+    subs = F.when(F.col("r_regionkey") == 2, F.array().cast("array<string>")).otherwise(F.array(F.concat("r_name", F.lit("-a")), F.concat("r_name", F.lit("-b"))))
+    return _table(spark, sf_dir, "region").select("r_regionkey", F.explode(subs).alias("subcategory"))
+
+
+@_query("""
+SELECT o_orderkey::VARCHAR AS reference, o_custkey::VARCHAR AS account_id, o_orderstatus AS booking_status, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount,
+  '' AS remitter, '' AS deptor, o_orderpriority AS creditor, '' AS creditor_id, '' AS creditor_mandate_id, o_orderpriority AS remittance_info, o_orderstatus AS transaction_type FROM orders""")
+def flatten_transactions(spark, sf_dir):
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    nested = _table(spark, sf_dir, "orders").select(
+        text("o_orderkey").alias("reference"), F.col("o_orderstatus").alias("bookingStatus"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("bookingDate"),
+        F.struct(text("o_totalprice").alias("value")).alias("amount"), F.struct(none.alias("holderName")).alias("remitter"), none.alias("deptor"),
+        F.struct(F.col("o_orderpriority").alias("holderName")).alias("creditor"), none.alias("directDebitCreditorId"), none.alias("directDebitMandateId"),
+        F.col("o_orderpriority").alias("remittanceInfo"), F.struct(F.col("o_orderstatus").alias("text")).alias("transactionType"), text("o_custkey").alias("account"),
+    )
+    return flatten.booked(nested, F.col("account"))
+
+
+@_query("SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS count FROM orders GROUP BY 1")
+def yearly_counts(spark, sf_dir):
+    return reports.chart_series(_table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("count")))
+
+
+@_query("SELECT 'Hello, world!' AS hello")
+def hello(spark, sf_dir):
+    return reports.hello(spark)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
