@@ -231,7 +231,7 @@ def connected(links: DataFrame) -> DataFrame:
     """node, label of every node of the links (a, b): label is the least node of its component."""
     both = materialised(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"))
-    while True:
+    while True:  # as often as the longest chain of links halves
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         nearer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
@@ -251,12 +251,6 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialised(labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
 
 
-def _spanning(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components so far."""
-    one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where("la != lb").drop("la", "lb")
-
-
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every whole text.
 
@@ -290,15 +284,11 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
     shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("band", "pivot")
     members = materialised(bands.join(shared, "band"))
     first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    candidates = materialised(_estimated(first, signed, plan))
     labels = materialised(members.select("node").distinct().withColumn("label", F.col("node")))
     if labels.limit(1).count() == 0:
         return None
-    best = candidates.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
+    best = materialised(_estimated(first, signed, plan)).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
     labels = _merged(labels, _confirmed(best, nodes, slim, plan))
-    rest = materialised(_spanning(candidates.join(best, ["a", "b"], "left_anti"), labels))
-    if rest.limit(1).count():
-        labels = _merged(labels, _confirmed(rest, nodes, slim, plan))
     return _merged(labels, _links_left(labels, first, nodes, slim, plan))
 
 

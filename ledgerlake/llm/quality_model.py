@@ -95,6 +95,8 @@ def learn_ensemble(x: np.ndarray, y: np.ndarray, seed: int = 11, trees: int = 30
         rows = rng.integers(0, len(y), len(y))
         columns = rng.permutation(x.shape[1])[: max(2, 2 * x.shape[1] // 3)]
         paths |= _tree_paths(x[rows], y[rows], cuts, columns, depth)
+    if not paths:  # too few rows to split
+        return RuleEnsemble((), (), float(np.log(y.mean() / (1 - y.mean()))))
     rules = sorted(paths, key=lambda r: (len(r.conditions), r.conditions))
     hits = np.column_stack([r.covers(x) for r in rules]).astype(float)
     first = np.unique(hits, axis=1, return_index=True)[1]  # rules that hold on the same rows count once
