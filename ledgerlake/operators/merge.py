@@ -21,13 +21,13 @@ def _rest(df: DataFrame, keys: Sequence[str]) -> list[str]:
 def first_of_each(batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """The earliest row of each key."""
     rest = _rest(batch, keys)
-    return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*batch.columns)
+    return batch.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
 
 
 def last_of_each(batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
     """The latest row of each key."""
     rest = _rest(batch, keys)
-    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("r")).select(*keys, "r.*").select(*batch.columns)
+    return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_row")).select(*keys, "_row.*").select(*batch.columns)
 
 
 def insert_ignore(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
@@ -41,9 +41,9 @@ def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Colum
     seq = F.struct(F.lit(0).alias(_OLD), F.lit(None).cast(batch.select(order.alias("o")).schema["o"].dataType).alias("o"))
     marked = table.withColumn(_SEQ, seq).unionByName(batch.select(*table.columns, F.struct(F.lit(1).alias(_OLD), order.alias("o")).alias(_SEQ)))
     moving = [c for c in table.columns if c not in keys and c not in keep]
-    kept = [F.min_by(F.struct(*keep), _SEQ).alias("k")] if keep else []
-    merged = marked.groupBy(*keys).agg(F.max_by(F.struct(*moving), _SEQ).alias("m"), *kept)
-    return merged.select(*keys, "m.*", *(["k.*"] if keep else [])).select(*table.columns)
+    kept = [F.min_by(F.struct(*keep), _SEQ).alias("_kept")] if keep else []
+    merged = marked.groupBy(*keys).agg(F.max_by(F.struct(*moving), _SEQ).alias("_moved"), *kept)
+    return merged.select(*keys, "_moved.*", *(["_kept.*"] if keep else [])).select(*table.columns)
 
 
 def replace(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
