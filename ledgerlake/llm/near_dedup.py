@@ -28,7 +28,9 @@ SLACK = 5.0
 #: Needed texts are found by a broadcast list of ids up to so many, by a shuffle beyond.
 BROADCAST_IDS = 500_000
 #: Rows and bytes of sets in a block of members that are compared with another block.
-BLOCK_ROWS, BLOCK_BYTES = 64, 1_000_000
+BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
+#: Parts of a group in joins with its figures.
+SALTS = 32
 REMEMBERED = 300_000
 
 _SCALE = np.random.default_rng(2).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
@@ -269,8 +271,8 @@ def near_duplicates(docs: DataFrame, plan: Plan | None = None, key: str = "doc_i
     linked = _components(slim, nodes, plan)
     ids = nodes.select("digest", "node", F.col("doc_id").alias("least"))
     if linked is not None:
-        ids = ids.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        ids = ids.join(ids.groupBy("label").agg(F.min("least").alias("component")), "label")
+        ids = materialised(ids.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node")))
+        ids = ids.join(materialised(ids.groupBy("label").agg(F.min("least").alias("component"))), "label")
     else:
         ids = ids.withColumn("component", F.col("least"))
     out = seen.select("doc_id", "n_shingles", "digest").join(ids.select("digest", "component"), "digest", "left")
@@ -282,7 +284,8 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
     """node, label of the nodes that share a band with another; None if none does."""
     signed = nodes.where(F.length("registers") > 0)
     bands = signed.select(F.explode(band_keys(F.col("registers"), plan)).alias("band"), "node")
-    shared = bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("band", "pivot")
+    # stored, so that a hot band's partition can be split in the join
+    shared = materialised(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("band", "pivot"))
     members = materialised(bands.join(shared, "band"))
     first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     labels = materialised(members.select("node").distinct().withColumn("label", F.col("node")))
@@ -294,20 +297,21 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
 
 
 def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[int, int]]:
-    """Links between the outside members of one block and members of another that have a band in common and another label."""
+    """Links of outside members xs with members ys that have a band in common and another label; two outside ones are compared once."""
     out = []
-    xs = [x for x in xs if x["outside"]]
-    if not xs:
+    if not xs or not ys:
         return out
     sets = [np.frombuffer(y["items"], np.uint64) for y in ys]
     sizes = np.array([len(s) for s in sets])
     labels, keys = np.array([y["label"] for y in ys]), np.array([y["keys"] for y in ys], np.int64)
+    nodes, outside = np.array([y["node"] for y in ys]), np.array([y["outside"] for y in ys])
     owners, merged = np.repeat(np.arange(len(ys)), sizes), np.concatenate(sets)
     order = np.argsort(merged, kind="stable")
     owners, merged = owners[order], merged[order]
     for x in xs:
         mine = np.frombuffer(x["items"], np.uint64)
         wanted = (labels != x["label"]) & (100 * np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)))
+        wanted &= ~outside | (nodes > x["node"])
         wanted[wanted] = (keys[wanted] == np.array(x["keys"], np.int64)).any(1)
         if not wanted.any():
             continue
@@ -320,6 +324,12 @@ def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[i
     return out
 
 
+def _with_group(rows: DataFrame, per_group: DataFrame) -> DataFrame:
+    """``rows`` with their group's one row of ``per_group``; SALTS copies of it, so that no task gets a whole large group."""
+    salted = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"]).drop("salt")
+
+
 def _links_left(labels: DataFrame, first: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) between components of one group, the nodes that chains of shared bands join.
 
@@ -333,17 +343,20 @@ def _links_left(labels: DataFrame, first: DataFrame, nodes: DataFrame, docs: Dat
         return pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
     groups = connected(first).select("node", F.col("label").alias("group"))
-    marked = groups.join(labels, "node")
-    sizes = marked.groupBy("group", "label").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("group").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    open_ = materialised(marked.join(mixed, "group").withColumn("outside", F.col("label") != F.col("main")).join(nodes.select("node", "n_shingles", "registers"), "node"))
-    sums = open_.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n_shingles") * 8 / BLOCK_BYTES)).alias("blocks"))
-    keyed = open_.select("node", "group", "label", "outside", band_keys(F.col("registers"), plan).alias("keys"))
-    dealt = keyed.join(_sets(open_, nodes, docs, plan), "node").join(sums, "group").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
-    blocks = materialised(dealt.groupBy("group", "block").agg(F.collect_list(F.struct("node", "label", "outside", "keys", "items")).alias("rows"), F.max("outside").alias("outside")))
-    y = blocks.select("group", F.col("block").alias("y"))
-    pairs = blocks.where("outside").select("group", F.col("block").alias("x")).join(y, "group")
-    both = pairs.join(blocks.select("group", F.col("block").alias("y"), F.col("rows").alias("ys")), ["group", "y"]).join(blocks.select("group", F.col("block").alias("x"), F.col("rows").alias("xs")), ["group", "x"])
+    marked = materialised(groups.join(labels, "node").join(nodes.select("node", "n_shingles"), "node"))
+    sizes = marked.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
+    mixed = sizes.groupBy("group").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"),
+        F.ceil(F.greatest(F.sum("n") / BLOCK_ROWS, F.sum("items") * 8 / BLOCK_BYTES)).alias("blocks"),
+    ).where("labels > 1")
+    open_ = materialised(_with_group(marked, mixed).select("node", "group", "label", (F.col("label") != F.col("main")).alias("outside"), F.pmod(F.xxhash64("node"), "blocks").alias("block")))
+    keyed = open_.join(nodes.select("node", "registers"), "node").withColumn("keys", band_keys(F.col("registers"), plan))
+    member = F.struct("node", "label", "outside", "keys", "items")
+    dealt = keyed.join(_sets(open_, nodes, docs, plan), "node").groupBy("group", "block").agg(F.collect_list(member).alias("ys"), F.collect_list(F.when(F.col("outside"), member)).alias("xs"))
+    blocks = materialised(dealt)
+    xs = blocks.where(F.size("xs") > 0).select("group", F.col("block").alias("x"), "xs")
+    pairs = xs.select("group", "x").join(blocks.select("group", F.col("block").alias("y")), "group")
+    both = pairs.join(blocks.select("group", F.col("block").alias("y"), "ys"), ["group", "y"]).join(xs, ["group", "x"])
     return materialised(both.select(F.explode(links("xs", "ys")).alias("l")).select("l.*").distinct())
 
 
