@@ -29,6 +29,8 @@ SLACK = 5.0
 BROADCAST_IDS = 500_000
 #: Rows and bytes of sets in a block of members that are compared with another block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
+#: Rows of a pair of ids in a task.
+ROWS_A_TASK = 100_000
 #: Parts of a group in joins with its figures.
 SALTS = 32
 REMEMBERED = 300_000
@@ -230,15 +232,22 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan)
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(similar("sa", "sb")).select("a", "b")
 
 
+def _parts(stored: DataFrame) -> int:
+    """Partitions enough for the rows of a stored table of ids, so that small ones don't become many tasks and files."""
+    return max(stored.sparkSession.sparkContext.defaultParallelism, math.ceil(stored.count() / ROWS_A_TASK))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, label of every node of the links (a, b): label is the least node of its component."""
     both = materialised(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"))
+    parts = _parts(both)
+    both = both.coalesce(parts)
+    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label").coalesce(parts))
     while True:  # as often as the longest chain of links halves
         near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
         nearer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialised(nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")))
+        moved = materialised(nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")).coalesce(parts))
         changed = moved.where("old != label").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
@@ -251,7 +260,7 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     between = links.join(one, "a").join(two, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     found = connected(between)
     new = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialised(labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return materialised(labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")).coalesce(_parts(labels)))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,16 +293,22 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
     """node, label of the nodes that share a band with another; None if none does."""
     signed = nodes.where(F.length("registers") > 0)
     bands = signed.select(F.explode(band_keys(F.col("registers"), plan)).alias("band"), "node")
-    # stored, so that a hot band's partition can be split in the join
+    # stored, so that a hot band's partition can be split in the join where the bands are too many to broadcast
     shared = materialised(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("band", "pivot"))
+    if shared.count() <= BROADCAST_IDS:
+        shared = F.broadcast(shared)
     members = materialised(bands.join(shared, "band"))
-    first = members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    members = members.coalesce(_parts(members))
+    first = materialised(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    first = first.coalesce(_parts(first))
     labels = materialised(members.select("node").distinct().withColumn("label", F.col("node")))
     if labels.limit(1).count() == 0:
         return None
+    labels = labels.coalesce(_parts(labels))
+    signed = materialised(signed.join(labels.select("node"), "node"))
     best = materialised(_estimated(first, signed, plan)).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    labels = _merged(labels, _confirmed(best, nodes, slim, plan))
-    return _merged(labels, _links_left(labels, first, nodes, slim, plan))
+    labels = _merged(labels, _confirmed(best, signed, slim, plan))
+    return _merged(labels, _links_left(labels, first, signed, slim, plan))
 
 
 def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[int, int]]:
