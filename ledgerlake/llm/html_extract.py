@@ -23,8 +23,16 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is never content, and those that end where a block of the second kind begins.
 DROPPED = frozenset("nav header footer aside form script style noscript template head title menu button select option textarea iframe object svg canvas dialog math audio video".split())
 ENDS_P = BLOCKS - {"html", "body"}
-#: Words of class, id and role that mark an element as something else than the article.
-MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice\w*|newsletter|subscribe|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|widget|related|recommended|share|sharing|social|comments?|comment-?list|replies|reply|disqus|footer|foot|masthead|site-?header|page-?header|toolbar|login|signup|search|complementary|contentinfo|alert)(?:$|[\s_-])", re.I)
+#: Whole classes, ids and roles (- and _ alike) that mark an element as something else than the article.
+MARKS = frozenset(
+    "ad ads adbox ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored sponsored-content promo promos promotion promotions promoted"
+    " cookie cookies cookie-bar cookie-banner cookie-consent cookie-notice consent consent-banner notice notices newsletter newsletter-signup newsletter-form subscribe popup modal overlay alert"
+    " nav navbar nav-bar nav-menu main-nav main-navigation site-nav site-navigation top-nav navigation menu main-menu nav-links breadcrumb breadcrumbs toolbar login signup search search-form search-box"
+    " sidebar side-bar sidebar-left sidebar-right left-sidebar right-sidebar side widget widgets related related-posts related-articles related-stories related-links recommended recommended-posts"
+    " share sharing share-buttons share-bar social social-share social-links social-media social-icons comment comments comment-list commentlist comments-area comments-section comment-section comment-form replies reply disqus disqus-thread"
+    " footer foot site-footer page-footer masthead siteheader site-header pageheader page-header complementary contentinfo".split()
+)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CONTAINERS = frozenset("article main section div body td blockquote center details".split())
 #: Width of the smoothing window to each side, and its standard deviation, in lines.
 RADIUS, SIGMA = 2, 1.0
@@ -34,14 +42,24 @@ HELD = 0.9
 _SPACE = re.compile(r"\s+")
 
 
+def _marked(tag: str, attrs: list, inside: bool) -> bool:
+    """Whether a class, id or role is one of MARKS. The id of a heading, or of a section inside an article, names its text."""
+    named = tag in HEADINGS or inside and tag == "section"
+    return any(t.replace("_", "-") in MARKS for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not named) for t in v.lower().split())
+
+
 class _Lines(HTMLParser):
-    """Lines of text with the count of tags since the last line, link characters, path of open elements, and whether they are dropped."""
+    """Lines of text with the count of tags since the last line, link characters, path of open elements, and whether they are dropped.
+
+    ``marked`` has the numbers of the elements that only their marks drop; the lines in them aren't dropped here.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []
         self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
         self.kinds: list[str] = [""]
+        self.marked: set[int] = set()
         self.parts: list[str] = []
         self.tags = self.linked = self.made = 0
         self.in_link = 0
@@ -84,9 +102,9 @@ class _Lines(HTMLParser):
             return
         dropped = (bool(self.stack) and self.stack[-1][2]) or tag in DROPPED
         if not dropped and tag not in ("html", "body", "article", "main"):
-            marks = " ".join(v for a, v in attrs if a in ("class", "id", "role", "itemprop") and v)
-            hidden = any(a == "hidden" or (a == "aria-hidden" and v == "true") for a, v in attrs)
-            dropped = hidden or bool(marks and MARKED.search(marks))
+            dropped = any(a == "hidden" or (a == "aria-hidden" and v == "true") for a, v in attrs)
+            if not dropped and _marked(tag, attrs, any(e[0] in ("article", "main") for e in self.stack)):
+                self.marked.add(self.made + 1)
         self.made += 1
         self.kinds.append(tag)
         self.stack.append((tag, self.made, dropped))
@@ -115,12 +133,14 @@ class _Lines(HTMLParser):
 
 
 def read_lines(html: str) -> tuple[list[tuple[str, int, int, tuple[int, ...], bool]], list[str]]:
-    """Lines of a page, and the tag of each element by its number."""
+    """Lines of a page, those in marked elements dropped, and the tag of each element by its number."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._close_line()
-    return parser.lines, parser.kinds
+    gone = parser.marked - _holding(parser.lines, parser.kinds, parser.marked)
+    lines = [(t, tags, linked, path, dropped or not gone.isdisjoint(path)) for t, tags, linked, path, dropped in parser.lines] if gone else parser.lines
+    return lines, parser.kinds
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -136,6 +156,28 @@ def clusters(ratios: np.ndarray) -> np.ndarray:
     return s >= s.mean() - 0.5 * s.std()
 
 
+def _holding(lines: list[tuple[str, int, int, tuple[int, ...], bool]], kinds: list[str], marked: set[int]) -> set[int]:
+    """Marked elements that stay: those with over half the text of the page's clusters, but for those beside an article or main.
+
+    An article or main with text of its own, outside the element, makes it what its mark says.
+    """
+    open_ = [x for x in lines if not x[4]] if marked else []
+    if not open_:
+        return set()
+    held = Counter()
+    picked = set(np.flatnonzero(picked_lines(open_)).tolist())
+    total = sum(len(open_[k][0]) for k in picked)
+    for k in picked:
+        held.update(dict.fromkeys(marked.intersection(open_[k][3]), len(open_[k][0])))
+    big = {e for e, n in held.items() if 2 * n > total}
+    named = [path for _, _, _, path, _ in open_ if any(kinds[e] in ("article", "main") for e in path) and (marked - big).isdisjoint(path)]
+    return {e for e in big if all(e in path for path in named)}
+
+
+def picked_lines(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarray:
+    return clusters(np.array([len(t) / max(1, tags) for t, tags, *_ in lines], float))
+
+
 def content_region(lines: list[tuple[tuple[int, ...], int]], picked: set[int], kinds: list[str]) -> int:
     """Number of the content element, 0: the whole page. lines: path of elements and size of each.
 
@@ -159,7 +201,7 @@ def extract(html: str | None) -> str:
     lines = [x for x in found if not x[4] and 2 * x[2] <= len(x[0])]
     if not lines:
         return ""
-    picked = set(np.flatnonzero(clusters(np.array([len(t) / max(1, tags) for t, tags, *_ in lines], float))).tolist())
+    picked = set(np.flatnonzero(picked_lines(lines)).tolist())
     region = content_region([(path, len(t)) for t, _, _, path, _ in lines], picked or set(range(len(lines))), kinds)
     return "\n".join(t for t, _, _, path, _ in lines if not region or region in path)
 
