@@ -2,8 +2,9 @@
 
 The standard library's streaming parser splits a page into lines of text (one for each block
 element). Each line has a ratio of its characters to its tags; the smoothed ratios above their mean
-form clusters, and the clusters choose the content region: the innermost element that holds
-nearly all their text. Lines of that region are the result, without those in menus, notices and the like.
+form clusters, and the clusters choose the content region: the element that holds nearly all their
+text. Lines of that region, and those around it up to the next menu, notice or the like, are the result,
+without the lines of these.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ MARKS = frozenset(
     " footer foot site-footer page-footer masthead siteheader site-header pageheader page-header complementary contentinfo".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Dropped elements around which a text goes on.
+PASSED = frozenset("script style noscript template title button select option textarea iframe object svg canvas math audio video".split())
 CONTAINERS = frozenset("article main section div body td blockquote center details".split())
 #: Width of the smoothing window to each side, and its standard deviation, in lines.
 RADIUS, SIGMA = 2, 1.0
@@ -181,7 +184,7 @@ def picked_lines(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np
 def content_region(lines: list[tuple[tuple[int, ...], int]], picked: set[int], kinds: list[str]) -> int:
     """Number of the content element, 0: the whole page. lines: path of elements and size of each.
 
-    Of the containers that hold HELD of the picked lines' text, the innermost article or main;
+    Of the containers that hold HELD of the picked lines' text, the outermost article or main;
     else the innermost with two lines or more.
     """
     held, count = Counter(), Counter()
@@ -192,18 +195,31 @@ def content_region(lines: list[tuple[tuple[int, ...], int]], picked: set[int], k
     need = HELD * sum(lines[k][1] for k in picked)
     full = [e for e, n in held.items() if n >= need and kinds[e] in CONTAINERS]
     named = [e for e in full if kinds[e] in ("article", "main")]
-    return max(named or [e for e in full if count[e] > 1], default=0)  # an inner element opens later
+    return min(named) if named else max((e for e in full if count[e] > 1), default=0)  # an inner element opens later
+
+
+def _is_links(line: tuple[str, int, int, tuple[int, ...], bool], kinds: list[str]) -> bool:
+    """Over half of it in links, outside an article and no heading."""
+    return 2 * line[2] > len(line[0]) and not any(kinds[e] in ("article", "main") or kinds[e] in HEADINGS for e in line[3])
 
 
 def extract(html: str | None) -> str:
     """Content lines of a page, joined by line feeds."""
     found, kinds = read_lines(html or "")
-    lines = [x for x in found if not x[4] and 2 * x[2] <= len(x[0])]
+    kept = [not x[4] and not _is_links(x, kinds) for x in found]
+    lines = [x for x, ok in zip(found, kept, strict=True) if ok]
     if not lines:
         return ""
     picked = set(np.flatnonzero(picked_lines(lines)).tolist())
     region = content_region([(path, len(t)) for t, _, _, path, _ in lines], picked or set(range(len(lines))), kinds)
-    return "\n".join(t for t, _, _, path, _ in lines if not region or region in path)
+    inside = [not region or region in x[3] for x in found]
+    first, last = inside.index(True), len(inside) - 1 - inside[::-1].index(True)
+    fence = lambda k: not kept[k] and not (found[k][4] and any(kinds[e] in PASSED for e in found[k][3]))
+    while first and not fence(first - 1):
+        first -= 1
+    while last + 1 < len(found) and not fence(last + 1):
+        last += 1
+    return "\n".join(found[k][0] for k in range(first, last + 1) if kept[k])
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -211,7 +227,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
     A null or empty page, and one without content, has empty text. A page of plain text is one
     line. Repeated rows and equal or null keys give a row each. Other columns are left out. No rows
-    in, none out.
+    in, none out. Outside an article or main, a line with over half its characters in links counts as a
+    menu's unless it is a heading.
     """
 
     @F.arrow_udf("string")

@@ -22,3 +22,21 @@ def test_ids_of_headings_and_sections_in_an_article():
 def test_long_comments_beside_an_article_are_dropped():
     page = f"<body><article><h1>T</h1><p>{TEXT}</p></article><div id=comments>{f'<p>{TEXT}</p>' * 9}</div></body>"
     assert html_extract.extract(page) == f"T\n{TEXT.strip()}"
+
+
+@pytest.mark.parametrize("n", [1, 60])
+def test_size_of_the_body_changes_no_line(n):
+    line = TEXT.strip()
+    body, want = f"<p>{TEXT}</p>" * n, [line] * n
+    top = "<body><nav><a href=x>menu</a></nav>"
+    assert html_extract.extract(f"{top}<div><h1>Title</h1><p>lead</p><script>x()</script><div class=body>{body}</div></div><footer>f</footer>") == "\n".join(["Title", "lead", *want])
+    assert html_extract.extract(f"{top}<main><h1>Title</h1><article>{body}</article></main><footer>f</footer>") == "\n".join(["Title", *want])
+    assert html_extract.extract(f"{top}<div><h1><a href=x>Title</a></h1><article>{body}</article></div><footer>f</footer>") == "\n".join(["Title", *want])
+    assert html_extract.extract(f"{top}<div><p>before</p><blockquote>{body}</blockquote><p>after</p></div><footer>f</footer>") == "\n".join(["before", *want, "after"])
+
+
+def test_linked_lines_of_an_article_stay():
+    page = f"<body><ul><li><a href=x>menu</a></li></ul><article><h2><a href=x>Linked headline</a></h2><p>{TEXT}</p><ol><li><a href=y>A reference</a></li></ol></article></body>"
+    assert html_extract.extract(page) == f"Linked headline\n{TEXT.strip()}\nA reference"
+    page = f"<body><ul><li><a href=x>menu</a></li></ul><div><h2><a href=x>Linked headline</a></h2><p>{TEXT}</p></div></body>"
+    assert html_extract.extract(page) == f"Linked headline\n{TEXT.strip()}"
