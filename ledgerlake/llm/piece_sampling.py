@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
-#: Longest piece and longest token that a lattice covers, in characters; longer tokens are cut.
+#: Longest piece, and longest token whose lattice a task keeps, in characters; no piece of the model is longer.
 PIECE_CHARS, TOKEN_CHARS = 16, 48
 #: Characters that are worked on at once.
 SLICE_CHARS = 1_000_000
@@ -37,7 +37,8 @@ REMEMBERED_EDGES = 4_000_000
 LOG_BYTE = -14.0
 
 SPACE = "▁"
-_TOKEN = re.compile(r" ?[^ \n]{1,%d}|\n| " % TOKEN_CHARS)
+#: No piece of the model has a line feed, or a space after another character, so none crosses a cut.
+_TOKEN = re.compile(r" *[^ \n]+|\n| +")
 
 
 class Pieces:
@@ -133,16 +134,28 @@ def load_pieces(path: str = MODEL) -> Pieces:
 
 
 class Numbers(dict):
-    """Numbers of tokens in the order in which they are first asked for; ``fresh`` lists the new ones."""
+    """Numbers of tokens in the order in which they are first asked for; ``fresh`` lists the new ones, ``long`` those not to be kept (-1, -2 and so on)."""
 
     def __init__(self):
         self.fresh: list[str] = []
+        self.long: list[str] = []
+        self.kept = 0
 
     def __missing__(self, token: str) -> int:
-        self[token] = number = len(self)
-        self.fresh.append(token)
+        if len(token) > TOKEN_CHARS:
+            self.long.append(token)
+            self[token] = number = -len(self.long)
+        else:
+            self[token] = number = self.kept
+            self.kept += 1
+            self.fresh.append(token)
         return number
 
+    def forget(self) -> None:
+        for token in self.long:
+            del self[token]
+        self.long = []
+
 
 class Rows:
     """An array that grows at its end."""
@@ -176,15 +189,29 @@ class Lattices:
         self._first.extend(np.zeros(1, np.int32))
 
     def number(self, tokens: Iterator[str], count: int) -> np.ndarray:
-        """The tokens' numbers; lattices of new ones are added."""
+        """The tokens' numbers; lattices of new ones are added, those of long ones until forget()."""
         out = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, count)
         if self.numbers.fresh:
             self._extend(self.numbers.fresh)
             self.numbers.fresh = []
+        self._marks = [x.size for x in self._all()]
+        if self.numbers.long:
+            self._extend(self.numbers.long)
+            out[out < 0] = self.numbers.kept - 1 - out[out < 0]
         self.start, self.end, self.edges_of, self.target, self.first_id = (x.values for x in (self._start, self._end, self._first, self._target, self._first_id))
         self.ids, self.n_ids, self.log_chance, self.upto = (x.values for x in (self._ids, self._n_ids, self._log_chance, self._upto))
         return out
 
+    def _all(self) -> tuple[Rows, ...]:
+        return self._start, self._end, self._first, self._target, self._first_id, self._ids, self._n_ids, self._log_chance, self._upto
+
+    def forget(self) -> None:
+        """Drop the lattices of long tokens, and the room that they took."""
+        if self.numbers.long:
+            self.numbers.forget()
+            for rows, size in zip(self._all(), self._marks, strict=True):
+                rows.room, rows.size = rows.room[: 2 * size + 1024].copy(), size
+
     @property
     def size(self) -> int:
         return self._target.size
@@ -197,7 +224,7 @@ class Lattices:
         start = end - sizes
         n = int(end[-1]) + 1
         at = ragged(start, sizes)
-        code, point, left = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int16)
+        code, point, left = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int32)
         code[at], point[at] = pieces.code[points], points
         left[at] = np.repeat(end, sizes) - at
         found, count = [], np.zeros(n, np.int64)
@@ -290,18 +317,19 @@ class Lattices:
     def draw_other(self, token: int, seed: int, barred: set[tuple[int, ...]]) -> tuple[int, ...]:
         """A segmentation of a token outside a set of them, by its chance among the others."""
         place, end, path, rng = int(self.start[token]), int(self.end[token]), [], random.Random(seed)
-        tail = lambda p, k: math.exp(sum(self.log_chance[list(p[k:])].tolist()))
+        # each barred way with the log chance of what follows its k-th edge
+        left = [(p, (np.cumsum(self.log_chance[list(p)][::-1])[::-1] - self.log_chance[list(p)]).tolist()) for p in barred]
         while place < end:
             a, b = self.edges_of[place : place + 2].tolist()
             k, weight = len(path), np.exp(self.log_chance[a:b]).tolist()
-            for e in {p[k] for p in barred}:
-                held = [p for p in barred if p[k] == e]
-                whole = any(len(p) == k + 1 for p in held)
-                weight[e - a] *= 0.0 if whole else max(0.0, 1.0 - sum(tail(p, k + 1) for p in held))
+            for e in {p[k] for p, _ in left}:
+                held = [(p, tail) for p, tail in left if p[k] == e]
+                whole = any(len(p) == k + 1 for p, _ in held)
+                weight[e - a] *= 0.0 if whole else max(0.0, 1.0 - sum(math.exp(min(0.0, tail[k])) for _, tail in held))
             if sum(weight) <= 0:
                 return ()
             (e,) = rng.choices(range(a, b), weight)
-            barred = {p for p in barred if p[k] == e}
+            left = [(p, tail) for p, tail in left if p[k] == e]
             path.append(e)
             place = int(self.target[e])
         return tuple(path)
@@ -348,7 +376,9 @@ class Sampler:
                 lo = ends[last - n - 1] if last - n else 0
                 hi = ends[last - 1] if last else 0
                 states[i].add(edges[lo:hi], counts[last - n : last], chance[last - n : last])
-        return [s.results() for s in states]
+        out = [s.results() for s in states]
+        lattices.forget()
+        return out
 
 
 class _Search:
@@ -428,16 +458,15 @@ def sampled_pieces(docs: DataFrame, pieces: Pieces, key: Column, text: Column, s
     def sample(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         sampler = Sampler(shared.value, samples)
         for keys, texts in batches:
-            rows, part, seeds, size = [], [], [], 0
+            part, seeds, size = [], [], 0
             keys, texts = keys.to_pylist(), texts.to_pylist()
             for n, (k, t) in enumerate(zip(keys, texts, strict=True), 1):
                 part.append(t or "")
                 seeds.append(xxhash.xxh3_64_intdigest(str(k)))
                 size += len(part[-1])
                 if size >= SLICE_CHARS or n == len(keys):
-                    rows += [_told(sampler.pieces, t, found) for t, found in zip(part, sampler.run(part, seeds), strict=True)]
+                    yield _arrow([_told(sampler.pieces, t, found) for t, found in zip(part, sampler.run(part, seeds), strict=True)], with_ids)  # a slice, so that a batch's ids aren't held at once
                     part, seeds, size = [], [], 0
-            yield _arrow(rows, with_ids)
 
     return sample(key.cast("string"), text)
 

@@ -51,7 +51,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), piece_sampling.load_pieces(), with_ids=False)
+    return piece_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), piece_sampling.load_pieces())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

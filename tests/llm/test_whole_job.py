@@ -1,8 +1,9 @@
 """Cases in which a shorter way would lose rows, lines or links."""
 
+import numpy as np
 import pytest
 
-from ledgerlake.llm import html_extract
+from ledgerlake.llm import html_extract, piece_sampling, queries
 
 TEXT = "A sentence of the article that has words enough to be read as content. " * 6
 
@@ -40,3 +41,32 @@ def test_linked_lines_of_an_article_stay():
     assert html_extract.extract(page) == f"Linked headline\n{TEXT.strip()}\nA reference"
     page = f"<body><ul><li><a href=x>menu</a></li></ul><div><h2><a href=x>Linked headline</a></h2><p>{TEXT}</p></div></body>"
     assert html_extract.extract(page) == f"Linked headline\n{TEXT.strip()}"
+
+
+def test_pieces_of_the_query_are_whole(spark):
+    got = queries.op10_pieces(spark, "/root/testdata/sf0.001")
+    pieces = piece_sampling.load_pieces()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = got.collect()
+    assert len(rows) >= len(texts) and all(piece_sampling.decode(pieces, r.ids) == texts[r.doc_id] and len(r.ids) == r.n_pieces for r in rows)
+
+
+def test_pieces_of_spaces_and_of_long_tokens():
+    pieces = piece_sampling.load_pieces()
+    sampler = piece_sampling.Sampler(pieces, 2)
+    told = lambda t, seed: [f["ids"].tolist() for f in sampler.run([t], [seed])[0]]
+    wide = {i for i in range(len(pieces.lengths)) if pieces.decode(np.array([i])).startswith(b"  ")}
+    assert any(wide & set(ids) for s in range(200) for ids in told("        x = 1", s))
+    # the lattice of a long token has the edges over its 48th character
+    lattices = sampler.lattices
+    long = "thea" * 30
+    token = lattices.number(iter([long]), 1)[0]
+    cut = int(lattices.start[token]) + 48
+    source = np.searchsorted(lattices.edges_of, np.arange(lattices.size), "right") - 1
+    assert ((source < cut) & (source >= lattices.start[token]) & (lattices.target > cut)).any()
+    lattices.forget()
+    assert long not in lattices.numbers
+    assert all(piece_sampling.decode(pieces, ids) == "漢字かな交じり文" * 40 for ids in told("漢字かな交じり文" * 40, 5))
+    for t in (long, "a b  c   " + "z" * 5000 + "\n    y ", " " * 100):
+        one, two = told(t, 5)
+        assert one != two and all(piece_sampling.decode(pieces, ids) == t for ids in (one, two))
