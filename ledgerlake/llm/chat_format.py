@@ -14,17 +14,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialised
 
-_CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string()))])
+_CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("odd", pa.string())])
 _TOOL = pa.struct([("name", pa.string()), ("schema", pa.string())])
 _PARSED = pa.struct([("content", pa.string()), ("calls", pa.list_(_CALL)), ("result_id", pa.string()), ("result", pa.string()), ("tools", pa.list_(_TOOL))])
 #: Calls of a message as they are written: in topological order, with errors and result.
-CALLS = "array<struct<id: string, name: string, arguments: string, level: int, errors: array<string>, result: string>>"
-_PARSED_SQL = "struct<content: string, calls: array<struct<id: string, name: string, arguments: string, after: array<string>>>, result_id: string, result: string, tools: array<struct<name: string, schema: string>>>"
+CALLS = "array<struct<id: string, name: string, arguments: string, level: int, errors: array<string>, result: string, odd: string>>"
+_PARSED_SQL = "struct<content: string, calls: array<struct<id: string, name: string, arguments: string, after: array<string>, odd: string>>, result_id: string, result: string, tools: array<struct<name: string, schema: string>>>"
 
 
 def canonical(value: object) -> str:
@@ -58,7 +58,8 @@ def parse_message(role: str | None, text: str | None) -> dict:
         calls = []
         for c in data["tool_calls"]:
             f = c.get("function", c) if isinstance(c, dict) else None
-            if not isinstance(f, dict) or not isinstance(c.get("id"), str):
+            if not isinstance(f, dict):
+                calls.append({"id": None, "name": None, "arguments": canonical(c), "after": [], "odd": "null"})
                 continue
             arguments = f.get("arguments", {})
             if isinstance(arguments, str):
@@ -67,11 +68,14 @@ def parse_message(role: str | None, text: str | None) -> dict:
                 except (ValueError, RecursionError):
                     pass  # stays a string, which no object schema takes
             after = [a for a in c.get("depends_on", []) if isinstance(a, str)] if isinstance(c.get("depends_on", []), list) else []
-            calls.append({"id": c["id"], "name": f.get("name") if isinstance(f.get("name"), str) else None, "arguments": canonical(arguments), "after": sorted(set(after))})
+            own = isinstance(c.get("id"), str)
+            calls.append({"id": c["id"] if own else None, "odd": None if own else canonical(c.get("id")), "name": f.get("name") if isinstance(f.get("name"), str) else None, "arguments": canonical(arguments), "after": sorted(set(after))})
         return plain | {"content": shown, "calls": calls}
     return plain
 
 
+#: Keywords that constrain a value and that aren't evaluated; a schema with one is reported.
+UNSUPPORTED = tuple("$ref $dynamicRef $recursiveRef additionalItems allOf anyOf contains dependencies dependentRequired dependentSchemas disallow divisibleBy extends if maxContains maxProperties minContains minProperties multipleOf not oneOf patternProperties prefixItems propertyNames unevaluatedItems unevaluatedProperties uniqueItems".split())
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -82,27 +86,35 @@ def _is(value: object, kind: str) -> bool:
 
 
 def violations(value: object, schema: object, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema: type, enum, const, bounds, lengths, pattern, properties, required, items."""
-    if schema is True or not isinstance(schema, dict):
-        return [] if schema is not False else [f"{at}: not allowed"]
-    out = []
+    """Where a value breaks a JSON schema: type, enum, const, bounds, lengths, pattern, properties, required, items.
+
+    Other keywords that constrain the value (UNSUPPORTED, a list of items, a boolean bound) are told as unsupported.
+    """
+    if schema is True or schema is None:
+        return []
+    if not isinstance(schema, dict):
+        return [f"{at}: not allowed" if schema is False else f"{at}: schema unsupported"]
+    out = [f"{at}: {k} unsupported" for k in UNSUPPORTED if k in schema]
+    out += [f"{at}: {k} unsupported" for k in ("exclusiveMinimum", "exclusiveMaximum") if isinstance(schema.get(k), bool)]
+    if isinstance(schema.get("items"), list):
+        out.append(f"{at}: items unsupported")
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if isinstance(kinds, list) and not any(_is(value, k) for k in kinds):
-        return [f"{at}: type"]
+        return [*out, f"{at}: type"]
     same = lambda a, b: canonical(a) == canonical(b)
     if "enum" in schema and not any(same(value, v) for v in schema["enum"]):
         out.append(f"{at}: enum")
     if "const" in schema and not same(value, schema["const"]):
         out.append(f"{at}: const")
     if _is(value, "number"):
-        out += [f"{at}: {k}" for k, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b), ("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b)) if k in schema and bad(schema[k])]
+        out += [f"{at}: {k}" for k, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b), ("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b)) if k in schema and not isinstance(schema[k], bool) and bad(schema[k])]
     if isinstance(value, (str, list)):
         low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
         out += [f"{at}: {k}" for k, bad in ((low, lambda b: len(value) < b), (high, lambda b: len(value) > b)) if k in schema and bad(schema[k])]
     if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
         out.append(f"{at}: pattern")
-    if isinstance(value, list) and "items" in schema:
+    if isinstance(value, list) and "items" in schema and not isinstance(schema["items"], list):
         for k, v in enumerate(value):
             out += violations(v, schema["items"], f"{at}[{k}]")
     if isinstance(value, dict):
@@ -140,9 +152,9 @@ def _message(role: pa.Array, turn: pa.Array, content: pa.Array, calls: pa.Array,
     for r, t, c, cs, i, ok in zip(*(x.to_pylist() for x in (role, turn, content, calls, result_id, linked)), strict=True):
         out = {"role": r, "turn": t, "content": c}
         if cs:
-            order = sorted(cs, key=lambda x: (x["level"] is None, x["level"] or 0, x["id"]))
+            order = sorted(cs, key=lambda x: (x["level"] is None, x["level"] or 0, x["id"] is None, x["id"] or "", x["odd"] or "", x["name"] or "", x["arguments"]))
             out["tool_calls"] = [
-                {"id": x["id"], "name": x["name"], "arguments": json.loads(x["arguments"]), "level": x["level"], "errors": x["errors"], "result": None if x["result"] is None else json.loads(x["result"])} for x in order
+                {"id": x["id"] if x["odd"] is None else json.loads(x["odd"]), "name": x["name"], "arguments": json.loads(x["arguments"]), "level": x["level"], "errors": x["errors"], "result": None if x["result"] is None else json.loads(x["result"])} for x in order
             ]
         if i is not None:
             out |= {"tool_call_id": i, "linked": ok}
@@ -174,9 +186,12 @@ def call_levels(calls: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, turn, role, n_calls, n_linked, n_invalid and message (canonical JSON) of every message.
 
-    A result belongs to the call of its conversation with its identifier, from an earlier turn. Of
-    equal identifiers in a conversation the first call by turn, name and arguments counts, and the
-    first result; later calls are left unlinked. Null and empty texts are content as they are; null
+    A result belongs to the last call of its conversation with its identifier from an earlier turn, and
+    each call has the first of its results. Of equal identifiers in a turn the first call by name and
+    arguments counts. A later call of an identifier, without a result of its own, has the error
+    'id: repeated', as have the others of a turn; a call without a text as identifier links with nothing
+    and has the error 'id: type'. What a call builds on is the last call of that identifier before or in
+    its turn, else the first after it. Null and empty texts are content as they are; null
     conversations hold messages that link with nothing. Repeated messages give a row each. Tool
     definitions: the first by turn of a name. Other columns are left out. No rows in, none out.
     """
@@ -193,23 +208,34 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     done = shape(plain, no_calls, F.lit(False))
     if rare.limit(1).count() == 0:
         return done
-    made = rare.select("conv", "turn", F.explode("calls").alias("c")).select("conv", "turn", "c.*")
-    first = made.groupBy("conv", "id").agg(F.min(F.struct("turn", "name", "arguments", "after")).alias("f")).where("conv is not null").select("conv", "id", "f.*")
-    given = rare.where("result_id is not null and conv is not null").groupBy("conv", F.col("result_id").alias("id")).agg(F.min(F.struct("turn", "result")).alias("r"))
+    made = rare.select("conv", "turn", F.explode("calls").alias("c")).select("conv", "turn", "c.*").where("conv is not null and id is not null")
+    first = made.groupBy("conv", "id", "turn").agg(F.min(F.struct("name", "arguments", "after")).alias("f")).select("conv", "id", "turn", "f.*")
+    by_turn = Window.partitionBy("conv", "id").orderBy("turn")
+    first = materialised(first.withColumn("nth", F.row_number().over(by_turn)).withColumn("node", F.to_json(F.struct("id", "nth"))))
+    # each identifier's calls, results and mentions by turn: results, and mentions by the call itself, come before the calls of their turn
+    event = lambda df, kind, **extra: df.select("conv", "id", "turn", F.lit(kind).alias("kind"), *[extra.get(c, F.lit(None)).cast(t).alias(c) for c, t in (("nth", "int"), ("result", "string"), ("node", "string"))])
+    mentions = first.select("conv", F.explode("after").alias("id"), "turn", "node", F.col("id").alias("own"))
+    given = rare.where("result_id is not null and conv is not null and turn is not null").select("conv", F.col("result_id").alias("id"), "turn", "result")
+    events = event(given, 0, result=F.col("result")).union(event(mentions.where("id = own"), 0, node=F.col("node"))).union(event(first, 1, nth=F.col("nth"))).union(event(mentions.where("id != own"), 2, node=F.col("node")))
+    so_far = Window.partitionBy("conv", "id").orderBy("turn", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    placed = materialised(events.withColumn("of", F.last("nth", True).over(so_far)).withColumn("any", F.min("nth").over(Window.partitionBy("conv", "id"))).where("kind != 1"))
+    taken = placed.where("result is not null and of is not null").groupBy("conv", "id", F.col("of").alias("nth")).agg(F.min(F.struct("turn", "result")).alias("r"))
+    on = F.to_json(F.struct("id", F.coalesce("of", "any").alias("nth")))
+    after = placed.where("node is not null and any is not null").select("conv", "node", on.alias("on")).groupBy("conv", "node").agg(F.collect_set("on").alias("after"))  # what one call builds on
+    steps = call_levels(first.select("conv", "node").join(after, ["conv", "node"], "left").select("conv", F.col("node").alias("id"), F.coalesce("after", F.array().cast("array<string>")).alias("after")))
     tools = rare.select("conv", "turn", F.explode("tools").alias("t")).where("conv is not null").groupBy("conv", F.col("t.name").alias("name")).agg(F.min(F.struct("turn", "t.schema")).alias("t"))
-    answered = first.join(given, ["conv", "id"], "left").withColumn("result", F.when(F.col("r.turn") > F.col("turn"), F.col("r.result"))).drop("r")
-    checked = answered.join(tools.select("conv", "name", F.col("t.schema").alias("schema")), ["conv", "name"], "left").withColumn("errors", F.arrow_udf(_violations, "array<string>")("arguments", "schema"))
-    linked = materialised(checked.join(call_levels(first.select("conv", "id", "after")), ["conv", "id"]))
-    key = F.monotonically_increasing_id()
-    marked = rare.withColumn("row", key)
-    each = marked.select("row", "conv", "turn", F.posexplode("calls").alias("n", "c")).select("row", "conv", "turn", "n", "c.*")
-    of = linked.select("conv", "id", F.struct("turn", "name", "arguments").alias("is"), "level", "errors", "result")
-    mine = F.struct("turn", "name", "arguments").eqNullSafe(F.col("is"))
-    matched = each.join(of, ["conv", "id"], "left").select("row", F.struct(
-        "id", "name", "arguments", F.when(mine, F.col("level")).alias("level"),
-        F.when(mine, F.col("errors")).otherwise(F.array(F.lit("id: repeated"))).alias("errors"), F.when(mine, F.col("result")).alias("result")).alias("c"))
+    answered = first.drop("after").join(taken, ["conv", "id", "nth"], "left").withColumn("r", F.when(F.col("turn").isNotNull(), F.col("r")))
+    of = materialised(answered.join(steps.withColumnRenamed("id", "node"), ["conv", "node"]).select("conv", "id", "turn", "nth", F.struct("name", "arguments").alias("is"), "level", "r"))
+    marked = materialised(rare.withColumn("row", F.monotonically_increasing_id()))
+    each = marked.select("row", "conv", "turn", F.explode("calls").alias("c")).select("row", "conv", "turn", "c.*")
+    each = each.join(tools.select("conv", "name", F.col("t.schema").alias("schema")), ["conv", "name"], "left").withColumn("broken", F.arrow_udf(_violations, "array<string>")("arguments", "schema"))
+    mine = F.struct("name", "arguments").eqNullSafe(F.col("is"))
+    of = of.withColumnRenamed("turn", "t")
+    joined = each.alias("e").join(of.alias("o"), (F.col("e.conv") == F.col("o.conv")) & (F.col("e.id") == F.col("o.id")) & F.col("e.turn").eqNullSafe(F.col("o.t")), "left")
+    told = F.when(F.col("e.id").isNull(), F.array(F.lit("id: type"))).when(F.col("e.conv").isNull() | (mine & ((F.col("nth") == 1) | F.col("r").isNotNull())), F.array().cast("array<string>")).otherwise(F.array(F.lit("id: repeated")))
+    matched = joined.select("row", F.struct("e.id", "e.name", "e.arguments", F.when(mine, F.col("level")).alias("level"), F.concat(told, "broken").alias("errors"), F.when(mine, F.col("r.result")).alias("result"), "e.odd").alias("c"))
     calls_of = matched.groupBy("row").agg(F.collect_list("c").alias("with"))  # the calls of one message
-    results = linked.where("result is not null").select("conv", F.col("id").alias("result_id"), F.lit(True).alias("ok"))
-    full = marked.join(calls_of, "row", "left").join(results, ["conv", "result_id"], "left")
+    results = of.where("r is not null").select("conv", F.col("id").alias("result_id"), F.col("r.turn").alias("turn"), F.col("r.result").alias("result"), F.lit(True).alias("ok")).distinct()
+    full = marked.join(calls_of, "row", "left").join(results, ["conv", "result_id", "turn", "result"], "left")
     return done.unionByName(shape(full, F.coalesce(F.col("with"), no_calls), F.coalesce("ok", F.lit(False))))
 
