@@ -378,13 +378,13 @@ def _links_left(labels: DataFrame, first: DataFrame, nodes: DataFrame, docs: Dat
 def one_of_each(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs``, with all columns, for each component: the first by id, then by place.
 
-    A null id comes after all others. ``docs`` must be a stored table (or checkpointed), so that its
-    rows keep their places when a task runs again.
+    A null id comes after all others. The rows are checkpointed with their places, which a scan that
+    is planned anew (with another count of cores, say) would give to other rows.
     """
     place = "_place"
     while place in docs.columns:
         place += "_"
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    placed = materialised(docs.withColumn(place, F.monotonically_increasing_id()))
     ranked = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), F.col(place).alias("place"))
     found = near_duplicates(placed.select(ranked.alias("doc_id"), F.col(f"`{text}`").alias("text")), plan)
     gone = materialised(found.where("not kept").select(F.col("doc_id.place").alias(place)))
