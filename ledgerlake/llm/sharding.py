@@ -49,8 +49,9 @@ def shard_layout(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
 
     Slots number the rows of a shard from 0 without a gap, by bucket, key, size and checksum, the
     same on every run and layout. Null texts count as empty; null keys go to one shard. Rows that
-    are alike in all of these are counted where they are read and numbered as a range, so a key
-    that a third of all rows share needs no large group. No rows in, none out.
+    are alike in all of these are counted where they are read and numbered as a range, and others of
+    one key fall into different buckets, so a key that a third of all rows share needs no large group.
+    No rows in, none out.
     """
     grown = list(weights) + [sum(weights) / len(weights)] if grown is None else grown
     body = F.coalesce(F.col(text), F.lit(""))
@@ -58,7 +59,9 @@ def shard_layout(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
         F.col(key).alias("doc_id"), (F.octet_length(body) + 8).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"), F.spark_partition_id().alias("part"),
     )
-    bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int")
+    # by size and checksum too, so that different texts of one key are spread over the buckets
+    alike = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.col("text_crc32"))
+    bucket = F.conv(F.substring(F.md5(alike.cast("binary")), 1, 3), 16, 10).cast("int")
     counted = slim.groupBy("doc_id", "size", "text_crc32", "part").agg(F.count("*").alias("n"))
     placed = materialised(counted.select("*", winner(F.col("doc_id"), weights).alias("shard"), winner(F.col("doc_id"), grown).alias("grown_shard"), bucket.alias("bucket")))
     totals = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))  # shards x BUCKETS rows at most
