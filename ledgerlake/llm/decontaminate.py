@@ -4,6 +4,9 @@ For each item, every window of as many words that shares a shingle with it (no o
 similar) gets a 64-bit SimHash. Hamming blocks find all item fingerprints within RADIUS: two
 fingerprints that differ in RADIUS bits at most differ in RADIUS // BLOCKS bits at most in one
 block. Weighted Jaccard similarity of the shingles, with their multiplicity, decides.
+
+RADIUS doesn't reach every window: with random bits, 2 to 9 of 40,000 windows at exactly 0.8 (of 9 to 90
+distinct shingles) lay beyond it, and more do where one repeated shingle is most of what differs.
 """
 
 from __future__ import annotations
