@@ -20,19 +20,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Longest piece, and longest token whose lattice a task keeps, in characters; no piece of the model is longer.
 PIECE_CHARS, TOKEN_CHARS = 16, 48
-#: Characters that are worked on at once.
-SLICE_CHARS = 1_000_000
+#: Bytes of text that are worked on at once.
+SLICE_BYTES = 400_000
 #: A task keeps the lattices of the tokens it has seen, and begins anew beyond so many edges.
-REMEMBERED_EDGES = 4_000_000
+REMEMBERED_EDGES = 2_000_000
 #: Log probability of a byte that stands in for a part of an unknown character.
 LOG_BYTE = -14.0
 
@@ -428,7 +428,8 @@ class _Search:
             mass = before[at] + np.log(free[at])
             bound = -minus  # the greatest of the rest stays below this leaf
             g = -np.logaddexp(-bound, np.log(self.rng.exponential(size=len(at))) - mass)
-            best = np.argsort(-g)[: self.samples]
+            most = min(self.samples, len(g))
+            best = np.argpartition(-g, most - 1)[:most]
             starts = np.cumsum(counts) - counts
             for k in best.tolist():
                 j = int(at[k])
@@ -447,47 +448,34 @@ class _Search:
         return out
 
 
-_TYPE = "array<struct<rank: int, n_pieces: int, log_prob: double, perturbed: double, inclusion: double, ids_crc32: bigint, decoded: boolean{}>>"
+#: Columns of a sampled segmentation, in the order in which tasks make them.
+_COLUMNS = "rank int, n_pieces int, log_prob double, perturbed double, inclusion double, ids_crc32 bigint, decoded boolean"
 
+_NAMES = ("doc_id", *(c.split()[0] for c in _COLUMNS.split(", ")))
 
-def sampled_pieces(docs: DataFrame, pieces: Pieces, key: Column, text: Column, samples: int = SAMPLES, with_ids: bool = True) -> Column:
-    """Array of a text's sampled segmentations, best perturbed one first."""
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
-    @F.arrow_udf(_TYPE.format(", ids: array<int>" if with_ids else ""))
-    def sample(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        sampler = Sampler(shared.value, samples)
-        for keys, texts in batches:
-            part, seeds, size = [], [], 0
-            keys, texts = keys.to_pylist(), texts.to_pylist()
-            for n, (k, t) in enumerate(zip(keys, texts, strict=True), 1):
-                part.append(t or "")
-                seeds.append(xxhash.xxh3_64_intdigest(str(k)))
-                size += len(part[-1])
-                if size >= SLICE_CHARS or n == len(keys):
-                    yield _arrow([_told(sampler.pieces, t, found) for t, found in zip(part, sampler.run(part, seeds), strict=True)], with_ids)  # a slice, so that a batch's ids aren't held at once
-                    part, seeds, size = [], [], 0
-
-    return sample(key.cast("string"), text)
-
-
-def _told(pieces: Pieces, text: str, found: list[dict]) -> list[dict]:
-    data = text.encode("utf-8", "surrogatepass")
-    return [f | {"decoded": pieces.decode(f["ids"]) == data, "crc": zlib.crc32(f["ids"].astype("<i4").tobytes())} for f in found]
-
-
-def _arrow(rows: list[list[dict]], with_ids: bool) -> pa.Array:
-    flat = [f for r in rows for f in r]
-    columns = [
-        pa.array([f["rank"] for f in flat], pa.int32()), pa.array([len(f["ids"]) for f in flat], pa.int32()), *[pa.array([f[k] for f in flat], pa.float64()) for k in ("log_prob", "perturbed", "inclusion")],
-        pa.array([f["crc"] for f in flat], pa.int64()), pa.array([f["decoded"] for f in flat], pa.bool_()),
-    ]
-    names = ["rank", "n_pieces", "log_prob", "perturbed", "inclusion", "ids_crc32", "decoded"]
+def _slices(keys: list, texts: pa.Array) -> Iterator[tuple[int, list[str], list[int]]]:
+    """Runs of rows of about SLICE_BYTES bytes: number of the first, texts and seeds."""
+    begin, size = 0, 0
+    for n, length in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        size += length or 0
+        if size >= SLICE_BYTES or n == len(keys):
+            yield begin, [t or "" for t in texts.slice(begin, n - begin).to_pylist()], [xxhash.xxh3_64_intdigest(str(k)) for k in keys[begin:n]]
+            begin, size = n, 0
+
+
+def _batch(ids: pa.Array, found: list[list[dict]], texts: list[str], pieces: Pieces, schema: pa.Schema, with_ids: bool) -> pa.RecordBatch:
+    """The rows of a slice, piece ids in one buffer."""
+    flat = [f for r in found for f in r]
+    owner = np.repeat(np.arange(len(found)), [len(r) for r in found])
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    columns = [ids.take(pa.array(owner)), pa.array([f["rank"] for f in flat], pa.int32()), pa.array([len(f["ids"]) for f in flat], pa.int32())]
+    columns += [pa.array([f[k] for f in flat], pa.float64()) for k in ("log_prob", "perturbed", "inclusion")]
+    columns += [pa.array([zlib.crc32(f["ids"].astype("<i4").tobytes()) for f in flat], pa.int64()), pa.array([pieces.decode(f["ids"]) == data[k] for f, k in zip(flat, owner, strict=True)], pa.bool_())]
     if with_ids:
-        sizes = np.cumsum([0, *[len(f["ids"]) for f in flat]]).astype(np.int32)
-        columns.append(pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate([f["ids"] for f in flat]) if flat else np.zeros(0, np.int32))))
-        names.append("ids")
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]).astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+        ends = np.cumsum([0, *[len(f["ids"]) for f in flat]]).astype(np.int32)
+        columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([f["ids"] for f in flat]) if flat else np.zeros(0, np.int32))))
+    return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
 def sample_segmentations(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", samples: int = SAMPLES, with_ids: bool = True) -> DataFrame:
@@ -496,10 +484,23 @@ def sample_segmentations(docs: DataFrame, pieces: Pieces, key: str = "doc_id", t
     ids decode to the whole text (``decoded``). A text with fewer segmentations than samples has all
     of them, with inclusion 1; a null or empty text has one without pieces. Draws depend on key and
     text alone, so repeated rows get equal ones; null keys share a seed. Other columns are left out.
-    No rows in, none out.
+    No rows in, none out. A task holds the rows of one slice of texts at a time.
     """
-    found = docs.select(F.col(key).alias("doc_id"), F.explode(sampled_pieces(docs, pieces, F.col(key), F.col(text), samples, with_ids)).alias("s"))
-    return found.select("doc_id", "s.*")
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    slim = docs.select(F.col(key).alias("doc_id"), F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
+    shape = f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, {_COLUMNS}" + (", ids array<int>" if with_ids else "")
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sampler = Sampler(shared.value, samples)
+        for batch in batches:
+            ids, keys, texts = batch.columns
+            for begin, part, seeds in _slices(keys.to_pylist(), texts):
+                found = sampler.run(part, seeds)
+                kinds = [ids.type, pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.int32())]
+                schema = pa.schema(list(zip([*_NAMES, "ids"], kinds, strict=True))[: 9 if with_ids else 8])
+                yield _batch(ids.slice(begin, len(part)), found, part, sampler.pieces, schema, with_ids)
+
+    return slim.mapInArrow(sample, shape)
 
 
 def decode(pieces: Pieces, ids: list[int]) -> str:
