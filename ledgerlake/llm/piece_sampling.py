@@ -13,10 +13,10 @@ from __future__ import annotations
 import heapq
 import math
 import random
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,8 @@ REMEMBERED_EDGES = 2_000_000
 LOG_BYTE = -14.0
 
 SPACE = "▁"
-#: No piece of the model has a line feed, or a space after another character, so none crosses a cut.
-_TOKEN = re.compile(r" *[^ \n]+|\n| +")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 class Pieces:
@@ -70,6 +70,14 @@ class Pieces:
         for c, k in self.alphabet.items():
             self.code[ord(c)] = k
         self.code[ord(" ")], self.code[ord(SPACE)] = self.alphabet.get(SPACE, 0), 0
+        joined = {pair for i in ranks for pair in zip(pieces[i], pieces[i][1:])}
+        self.before, self.after = (np.zeros(self.radix, np.int64) for _ in range(2))
+        for side, place in ((self.before, 0), (self.after, 1)):
+            for k, c in enumerate(sorted({pair[place] for pair in joined}), 1):
+                side[self.alphabet[c]] = k
+        self.joins = np.zeros((self.before.max() + 1, self.after.max() + 1), bool)
+        for a, b in joined:
+            self.joins[self.before[self.alphabet[a]], self.after[self.alphabet[b]]] = True
         told = [p.replace(SPACE, " ").encode("utf-8", "replace") for p in pieces]
         for b, i in byte_ids.items():
             told[i] = bytes([b])
@@ -109,6 +117,22 @@ class Pieces:
             open_ = open_[~hit & (self.keys[at] >= 0)]
         return out
 
+    def cut(self, texts: list[str]) -> Parts:
+        """The texts cut between any two characters that stand next to each other in no piece."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = self.code[points]
+        edge = np.ones(len(points) + 1, bool)
+        edge[1:-1] = ~self.joins[self.before[code[:-1]], self.after[code[1:]]]
+        ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+        edge[ends] = True
+        at = np.flatnonzero(edge)
+        counts = np.diff(np.searchsorted(at, ends), prepend=0)
+        # a polynomial in an odd base; tokens of up to TOKEN_CHARS are told apart by it
+        power = np.cumprod(np.full(len(points) + 1, _BASE), dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((points + np.uint64(1)) * power[: len(points)], dtype=np.uint64)])
+        inverse = np.cumprod(np.full(len(points) + 1, _INVERSE), dtype=np.uint64)
+        return Parts(points.astype(np.int64), at[:-1], np.diff(at), (total[at[1:]] - total[at[:-1]]) * inverse[at[:-1]], counts)
+
     def decode(self, ids: np.ndarray) -> bytes:
         return self.bytes[ragged(self.starts[ids], self.lengths[ids])].tobytes()
 
@@ -133,28 +157,15 @@ def load_pieces(path: str = MODEL) -> Pieces:
     return Pieces(pieces, byte_ids)
 
 
-class Numbers(dict):
-    """Numbers of tokens in the order in which they are first asked for; ``fresh`` lists the new ones, ``long`` those not to be kept (-1, -2 and so on)."""
-
-    def __init__(self):
-        self.fresh: list[str] = []
-        self.long: list[str] = []
-        self.kept = 0
+@dataclass
+class Parts:
+    """Texts cut into tokens: code points of all texts, the tokens' starts, sizes and 64-bit hashes, tokens of each text."""
 
-    def __missing__(self, token: str) -> int:
-        if len(token) > TOKEN_CHARS:
-            self.long.append(token)
-            self[token] = number = -len(self.long)
-        else:
-            self[token] = number = self.kept
-            self.kept += 1
-            self.fresh.append(token)
-        return number
-
-    def forget(self) -> None:
-        for token in self.long:
-            del self[token]
-        self.long = []
+    points: np.ndarray
+    starts: np.ndarray
+    sizes: np.ndarray
+    hashes: np.ndarray
+    counts: np.ndarray
 
 
 class Rows:
@@ -183,21 +194,27 @@ class Lattices:
     """
 
     def __init__(self, pieces: Pieces):
-        self.pieces, self.numbers = pieces, Numbers()
+        self.pieces = pieces
+        self.known: dict[int, int] = {}
         self._start, self._end, self._first, self._target, self._first_id, self._ids = (Rows(np.int32) for _ in range(6))
         self._n_ids, self._log_chance, self._upto = Rows(np.int8), Rows(np.float64), Rows(np.float64)
         self._first.extend(np.zeros(1, np.int32))
 
-    def number(self, tokens: Iterator[str], count: int) -> np.ndarray:
+    def number(self, parts: Parts) -> np.ndarray:
         """The tokens' numbers; lattices of new ones are added, those of long ones until forget()."""
-        out = np.fromiter(map(self.numbers.__getitem__, tokens), np.int64, count)
-        if self.numbers.fresh:
-            self._extend(self.numbers.fresh)
-            self.numbers.fresh = []
+        out = np.fromiter(map(self.known.get, parts.hashes.tolist(), repeat(-1)), np.int64, len(parts.starts))
+        fresh = np.flatnonzero(out < 0)
+        long = parts.sizes[fresh] > TOKEN_CHARS
+        short, long = fresh[~long], fresh[long]
+        if len(short):
+            keys, first, which = np.unique(parts.hashes[short], return_index=True, return_inverse=True)
+            out[short] = len(self.known) + which
+            self.known.update(zip(keys.tolist(), range(len(self.known), len(self.known) + len(keys)), strict=True))
+            self._extend(parts.points, parts.starts[short[first]], parts.sizes[short[first]])
         self._marks = [x.size for x in self._all()]
-        if self.numbers.long:
-            self._extend(self.numbers.long)
-            out[out < 0] = self.numbers.kept - 1 - out[out < 0]
+        if len(long):
+            out[long] = len(self.known) + np.arange(len(long))
+            self._extend(parts.points, parts.starts[long], parts.sizes[long])
         self.start, self.end, self.edges_of, self.target, self.first_id = (x.values for x in (self._start, self._end, self._first, self._target, self._first_id))
         self.ids, self.n_ids, self.log_chance, self.upto = (x.values for x in (self._ids, self._n_ids, self._log_chance, self._upto))
         return out
@@ -207,20 +224,18 @@ class Lattices:
 
     def forget(self) -> None:
         """Drop the lattices of long tokens, and the room that they took."""
-        if self.numbers.long:
-            self.numbers.forget()
-            for rows, size in zip(self._all(), self._marks, strict=True):
+        for rows, size in zip(self._all(), self._marks, strict=True):
+            if rows.size > size:
                 rows.room, rows.size = rows.room[: 2 * size + 1024].copy(), size
 
     @property
     def size(self) -> int:
         return self._target.size
 
-    def _extend(self, tokens: list[str]) -> None:
+    def _extend(self, points: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         pieces = self.pieces
-        points = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        end = np.cumsum(sizes) + np.arange(len(tokens))  # a place after each token's last character
+        points = points[ragged(starts, sizes)]
+        end = np.cumsum(sizes) + np.arange(len(sizes))  # a place after each token's last character
         start = end - sizes
         n = int(end[-1]) + 1
         at = ragged(start, sizes)
@@ -350,12 +365,12 @@ class Sampler:
         self.lattices = Lattices(pieces)
 
     def run(self, texts: list[str], seeds: list[int]) -> list[list[dict]]:
-        tokens = [_TOKEN.findall(t) for t in texts]
+        parts = self.pieces.cut(texts)
+        sizes = parts.counts
         if self.lattices.size > REMEMBERED_EDGES:
             self.lattices = Lattices(self.pieces)
         lattices = self.lattices
-        sizes = np.array([len(t) for t in tokens], np.int64)
-        token = lattices.number(chain.from_iterable(tokens), int(sizes.sum()))
+        token = lattices.number(parts)
         first = np.cumsum(sizes) - sizes
         place = np.arange(len(token)) - np.repeat(first, sizes)
         base = np.repeat(np.array([s & (2**64 - 1) for s in seeds], np.uint64), sizes)
