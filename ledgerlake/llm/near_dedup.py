@@ -2,10 +2,10 @@
 
 A text's set of word shingles is hashed into K buckets; a register keeps of each bucket's
 least value the count of leading zeros and some mantissa bits. Texts with equal sets are one
-class. Bands of registers bring classes together; a band's members are compared with its least one, the
-pivot: the register estimate, corrected for chance collisions, drops far pairs, and full sets confirm the
-rest. What pivots leave apart within a group is compared on full sets in blocks, members outside the
-group's main component with all others, so no link between components is lost.
+class. Bands of registers bring classes together; a member is compared with the least one of its bands, the
+pivot, that shares most bands with it: the register estimate, corrected for chance collisions, drops far pairs,
+and full sets confirm the rest. Bands whose members are still in several components join these to groups, and there
+the members outside the main component are compared on full sets with all, in blocks, so no link is lost.
 """
 
 from __future__ import annotations
@@ -299,16 +299,26 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
         shared = F.broadcast(shared)
     members = materialised(bands.join(shared, "band"))
     members = members.coalesce(_parts(members))
-    first = materialised(members.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    first = first.coalesce(_parts(first))
     labels = materialised(members.select("node").distinct().withColumn("label", F.col("node")))
     if labels.limit(1).count() == 0:
         return None
     labels = labels.coalesce(_parts(labels))
     signed = materialised(signed.join(labels.select("node"), "node"))
-    best = materialised(_estimated(first, signed, plan)).groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    labels = _merged(labels, _confirmed(best, signed, slim, plan))
-    return _merged(labels, _links_left(labels, first, signed, slim, plan))
+    # of a node's pivots the one with most bands in common
+    common = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
+    best = materialised(common.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a")).select("a", "b"))
+    labels = _merged(labels, _confirmed(_estimated(best.coalesce(_parts(best)), signed, plan), signed, slim, plan))
+    known = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
+    tagged = members.select("band", "node").join(known, "node")
+    mixed = materialised(tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "low"))
+    if mixed.count() <= BROADCAST_IDS:
+        mixed = F.broadcast(mixed)
+    open_ = materialised(tagged.join(mixed, "band").select("node", "label", "low").distinct())
+    if open_.limit(1).count() == 0:
+        return labels
+    open_ = open_.coalesce(_parts(open_))
+    groups = connected(open_.where("low != label").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct())
+    return _merged(labels, _links_left(open_.select("node", "label").distinct(), groups, signed, slim, plan))
 
 
 def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[int, int]]:
@@ -345,11 +355,11 @@ def _with_group(rows: DataFrame, per_group: DataFrame) -> DataFrame:
     return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"]).drop("salt")
 
 
-def _links_left(labels: DataFrame, first: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) between components of one group, the nodes that chains of shared bands join.
+def _links_left(open_: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between labels of one group; open_: the nodes in a band with several labels, groups: the labels that chains of these bands join.
 
-    Of each two components one at least isn't the group's main one. Its members, the outside
-    ones, are compared on full sets with all members, in blocks of bounded size.
+    Of each two labels one at least isn't the group's main one. Its nodes, the outside
+    ones, are compared on full sets with all of the group, in blocks of bounded size.
     """
 
     @F.arrow_udf("array<struct<a: bigint, b: bigint>>")
@@ -357,8 +367,8 @@ def _links_left(labels: DataFrame, first: DataFrame, nodes: DataFrame, docs: Dat
         rows = [[{"a": a, "b": b} for a, b in block_links(x.as_py(), y.as_py(), plan.similarity)] for x, y in zip(xs, ys, strict=True)]
         return pa.array(rows, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
 
-    groups = connected(first).select("node", F.col("label").alias("group"))
-    marked = materialised(groups.join(labels, "node").join(nodes.select("node", "n_shingles"), "node"))
+    of = groups.select(F.col("node").alias("label"), F.col("label").alias("group"))
+    marked = materialised(open_.join(of, "label").join(nodes.select("node", "n_shingles"), "node"))
     sizes = marked.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
     mixed = sizes.groupBy("group").agg(
         F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels"),
