@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, whatever Arrow's batch size is.
 SLICE_BYTES = 2_000_000
+#: Characters of all texts of a fitting sample together.
+MAX_TOTAL = 60_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,16 +29,24 @@ def in_fold(key: Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc32_mod(key, modulus) == remainder, F.lit(False))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the session's shared checkpoint folder; set a local one only where none is named (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share. In local mode, where none is named, a new one; on a cluster that is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    import tempfile
+
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared checkpoint folder, its lineage cut."""
-    ensure_checkpoint_dir(df.sparkSession)
+    folder = shared_folder(df.sparkSession)
+    if not df.sparkSession.sparkContext.getCheckpointDir():
+        df.sparkSession.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
@@ -59,9 +68,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[in
 
 
 def collect_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and ``y`` of a bounded list of ids (a limit stands above; so the broadcast is bounded too)."""
+    """Texts and ``y`` of a bounded list of ids (a limit stands above; so the broadcast is bounded too).
+
+    Texts over ``max_chars`` don't count, and of the others, in the order of the id as text, as many as
+    have MAX_TOTAL characters together.
+    """
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    rows = texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    found = materialised(texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
+    total, last = 0, None
+    for r in sorted(found.select(F.col("id").cast("string").alias("id"), F.length("text").alias("n")).collect()):
+        total += r["n"]
+        if total > MAX_TOTAL:
+            break
+        last = r["id"]
+    rows = found.where(F.col("id").cast("string") <= F.lit(last)).collect() if total > MAX_TOTAL else found.collect()
     rows.sort(key=lambda r: (str(r["id"])))
     return [r["text"] for r in rows], np.array([r["y"] for r in rows])
 

@@ -94,16 +94,6 @@ def test_spans():
     assert toxicity.toxic_spans("a bad\nworse x", np.array([0, 0.9, 0.8, 0.1])) == [(2, 5), (6, 11)]
 
 
-def test_gradient_of_the_network():
-    texts = ["abc def " * 20, "xyz uvw " * 20]
-    net = language.train_network(texts, ["a", "b"], rounds=60, batch=64)
-    p, sizes = language.label_positions(net, [b" abc", b" xyz"])
-    assert p[:, 0, 0].min() > 0.9 and p[:, 1, 1].min() > 0.9 and sizes.tolist() == [4, 4]
-    memory, sums = language.Remembered(), []
-    one = language.document_probabilities(net, ["abc abc xyz", ""], memory, sums)
-    assert np.allclose(one[0], (2 * p[:, 0].sum(0) + p[:, 1].sum(0)) / 12, atol=1e-5) and not one[1].any()
-
-
 def test_pages(spark):
     raw = {r.page_id: r.html for r in common.read_table(spark, SF, "pages").collect()}
     for r in queries.op5_html(spark, SF).collect():
