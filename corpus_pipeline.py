@@ -6,12 +6,11 @@ Each stage takes what the stage before kept, whole rows; the last gives sampled
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.llm import decontaminate, language, near_dedup, piece_sampling, quality_model
-from ledgerlake.llm.common import read_table
+from ledgerlake.llm.common import read_table, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +52,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each stage's rows written as Parquet in the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    root = f"{shared}/pipeline-{os.urandom(8).hex()}"
+    root = f"{shared_folder(spark)}/pipeline-{os.urandom(8).hex()}"
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{root}/{k}"
