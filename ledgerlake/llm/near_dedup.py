@@ -244,16 +244,28 @@ def connected(links: DataFrame) -> DataFrame:
     both = both.coalesce(parts)
     labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label").coalesce(parts))
     while True:  # as often as the longest chain of links halves
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        nearer = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("bigint").alias("old"))
+        nearer = labels.select("node", "label", F.col("label").alias("old")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialised(nearer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")).coalesce(parts))
+        moved = materialised(nearer.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")).coalesce(parts))
         changed = moved.where("old != label").limit(1).count()
         labels = moved.select("node", "label")
         if not changed:
             return labels
 
 
+def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label of all nodes: where the chain of links (a, b) from b to a smaller a ends. Each node is the b of one link at most."""
+    parts = _parts(nodes)
+    labels = materialised(nodes.join(links.select("a", F.col("b").alias("node")), "node", "left").select("node", F.coalesce("a", "node").alias("label")).coalesce(parts))
+    while True:  # as often as the longest chain halves
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        moved = materialised(labels.join(jump, "label").select("node", F.col("label").alias("old"), F.col("next").alias("label")).coalesce(parts))
+        labels = moved.select("node", "label")
+        if moved.where("old != label").limit(1).count() == 0:
+            return labels
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after the links between nodes are added."""
     one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
@@ -299,15 +311,15 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
         shared = F.broadcast(shared)
     members = materialised(bands.join(shared, "band"))
     members = members.coalesce(_parts(members))
-    labels = materialised(members.select("node").distinct().withColumn("label", F.col("node")))
-    if labels.limit(1).count() == 0:
+    alike = materialised(members.select("node").distinct())
+    if alike.limit(1).count() == 0:
         return None
-    labels = labels.coalesce(_parts(labels))
-    signed = materialised(signed.join(labels.select("node"), "node"))
+    alike = alike.coalesce(_parts(alike))
+    signed = materialised(signed.join(alike, "node"))
     # of a node's pivots the one with most bands in common
     common = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
     best = materialised(common.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a")).select("a", "b"))
-    labels = _merged(labels, _confirmed(_estimated(best.coalesce(_parts(best)), signed, plan), signed, slim, plan))
+    labels = rooted(alike, _confirmed(_estimated(best.coalesce(_parts(best)), signed, plan), signed, slim, plan))
     known = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
     tagged = members.select("band", "node").join(known, "node")
     mixed = materialised(tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "low"))
