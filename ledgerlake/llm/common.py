@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about so many bytes, whatever Arrow's batch size is.
@@ -50,8 +51,17 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], max_rows: int, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """A bounded sample of labelled texts for fitting on the driver.
+def stored(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialised(df), and ``rows``, its number of rows, with the number of rows where each of ``counts`` is true, in the same job."""
+    seen = Observation()
+    told = [F.count(F.lit(1)).alias("rows"), *[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()]]
+    out = materialised(df.observe(seen, *told))
+    found = seen.get  # nothing where Spark knows that there are no rows
+    return out, {n: int(found.get(n) or 0) for n in ("rows", *counts)}
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[int, int], max_rows: int, max_chars: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A bounded sample of labelled texts for fitting: id, y, text.
 
     At most ``max_rows`` labelled ids outside the fold, in the order of a hash of the id, and of
     these the texts of at most ``max_chars`` characters. An id with several labels counts with its
@@ -59,21 +69,21 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[in
     """
     modulus, remainder = fold
     ids = (
-        labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
+        labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (crc32_mod(F.col("id"), modulus) != remainder))
         .groupBy("id").agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
-    return collect_texts(docs, ids, max_chars)
+    return texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids, max_chars)
 
 
-def collect_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> tuple[list[str], np.ndarray]:
-    """Texts and ``y`` of a bounded list of ids (a limit stands above; so the broadcast is bounded too).
+def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
+    """id, y and text of a bounded list of ids (a limit stands above; so the broadcast is bounded too).
 
     Texts over ``max_chars`` don't count, and of the others, in the order of the id as text, as many as
     have MAX_TOTAL characters together.
     """
-    texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     found = materialised(texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
     total, last = 0, None
     for r in sorted(found.select(F.col("id").cast("string").alias("id"), F.length("text").alias("n")).collect()):
@@ -81,9 +91,19 @@ def collect_texts(docs: DataFrame, ids: DataFrame, max_chars: int) -> tuple[list
         if total > MAX_TOTAL:
             break
         last = r["id"]
-    rows = found.where(F.col("id").cast("string") <= F.lit(last)).collect() if total > MAX_TOTAL else found.collect()
-    rows.sort(key=lambda r: (str(r["id"])))
-    return [r["text"] for r in rows], np.array([r["y"] for r in rows])
+    return found.where(F.col("id").cast("string") <= F.lit(last)) if total > MAX_TOTAL else found
+
+
+def learned(rows: DataFrame, learn: Callable[[list[str], list], object]) -> object:
+    """What ``learn`` makes of the texts and ys of a bounded sample, in one task; only the model comes to the driver."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((str(r["id"]), r["text"], r["y"]) for b in batches for r in b.to_pylist())
+        model = learn([r[1] for r in found], [r[2] for r in found])
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    out = rows.select("id", "y", "text").coalesce(1).mapInArrow(task, "model binary").collect()
+    return pickle.loads(out[0]["model"]) if out else learn([], [])
 
 
 def byte_slices(texts: pa.Array) -> Iterator[list[bytes]]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import byte_slices, collect_texts, crc32_mod, in_fold
+from .common import byte_slices, crc32_mod, in_fold, learned, texts_of
 
 #: Bounds of the sample that the network is trained on: languages, rows of each, characters of a text.
 MAX_LANGS, MAX_ROWS, MAX_CHARS = 200, 500, 20_000
@@ -193,8 +193,7 @@ def fit_language(docs: DataFrame, fold: tuple[int, int] = (3, 1), key: str = "do
     few = labelled.select("doc_id", "y").join(F.broadcast(counts), "y").where(place * F.col("n") < 3 * MAX_ROWS * (1 << 20))  # about three times the rows wanted
     few = few.groupBy(F.col("doc_id").alias("id")).agg(F.min("y").alias("y"))
     ranked = few.withColumn("nth", F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("id"), "id")))
-    texts, langs = collect_texts(labelled.select("doc_id", "text"), ranked.where(F.col("nth") <= MAX_ROWS).select("id", "y"), MAX_CHARS)
-    return train_network(texts, [str(x) for x in langs])
+    return learned(texts_of(labelled.select(F.col("doc_id").alias("id"), "text"), ranked.where(F.col("nth") <= MAX_ROWS).select("id", "y"), MAX_CHARS), train_network)
 
 
 def windows_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

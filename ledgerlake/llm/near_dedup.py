@@ -20,13 +20,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import materialised, stored
 
 ZERO_BITS, MANTISSA = 6, 10
 #: Standard errors below the threshold at which an estimate drops a pair.
 SLACK = 5.0
 #: Needed texts are found by a broadcast list of ids up to so many, by a shuffle beyond.
-BROADCAST_IDS = 500_000
+BROADCAST_IDS = 100_000
 #: Rows and bytes of sets in a block of members that are compared with another block.
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
 #: Rows of a pair of ids in a task.
@@ -197,8 +197,8 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame:
 
 def _sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
     """node, items (the full set as bytes) of the wanted nodes, built anew from their texts."""
-    needed = materialised(wanted.select("node").distinct().join(nodes.select("node", "digest", F.col("doc_id").alias("id"), "text_hash"), "node"))
-    if needed.count() <= BROADCAST_IDS:
+    needed, told = stored(wanted.select("node").distinct().join(nodes.select("node", "digest", F.col("doc_id").alias("id"), "text_hash"), "node"))
+    if told["rows"] <= BROADCAST_IDS:
         needed = F.broadcast(needed)
 
     @F.arrow_udf("struct<digest: binary, items: binary>")
@@ -232,47 +232,50 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan)
     return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(similar("sa", "sb")).select("a", "b")
 
 
-def _parts(stored: DataFrame) -> int:
-    """Partitions enough for the rows of a stored table of ids, so that small ones don't become many tasks and files."""
-    return max(stored.sparkSession.sparkContext.defaultParallelism, math.ceil(stored.count() / ROWS_A_TASK))
+def _compact(df: DataFrame, rows: int) -> DataFrame:
+    """A stored table of ids in partitions enough for its rows, so that small ones don't become many tasks and files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_TASK)))
+
+
+# Tables of ids are joined by merge below: a small one would else go through the driver in every round.
 
 
 def connected(links: DataFrame) -> DataFrame:
     """node, label of every node of the links (a, b): label is the least node of its component."""
-    both = materialised(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
-    parts = _parts(both)
-    both = both.coalesce(parts)
-    labels = materialised(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label").coalesce(parts))
+    both, told = stored(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    both = _compact(both, told["rows"])
+    labels = materialised(_compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"), told["rows"]))
     while True:  # as often as the longest chain of links halves
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("bigint").alias("old"))
+        near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("bigint").alias("old"))
         nearer = labels.select("node", "label", F.col("label").alias("old")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialised(nearer.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")).coalesce(parts))
-        changed = moved.where("old != label").limit(1).count()
+        moved = nearer.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label"))
+        moved, seen = stored(_compact(moved, told["rows"]), changed=F.col("old") != F.col("label"))
         labels = moved.select("node", "label")
-        if not changed:
+        if not seen["changed"]:
             return labels
 
 
-def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def rooted(nodes: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """node, label of all nodes: where the chain of links (a, b) from b to a smaller a ends. Each node is the b of one link at most."""
-    parts = _parts(nodes)
-    labels = materialised(nodes.join(links.select("a", F.col("b").alias("node")), "node", "left").select("node", F.coalesce("a", "node").alias("label")).coalesce(parts))
+    labels = nodes.join(links.select("a", F.col("b").alias("node")).hint("merge"), "node", "left").select("node", F.coalesce("a", "node").alias("label"))
+    labels = materialised(_compact(labels, rows))
     while True:  # as often as the longest chain halves
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = materialised(labels.join(jump, "label").select("node", F.col("label").alias("old"), F.col("next").alias("label")).coalesce(parts))
+        moved = labels.join(jump.hint("merge"), "label").select("node", F.col("label").alias("old"), F.col("next").alias("label"))
+        moved, seen = stored(_compact(moved, rows), changed=F.col("old") != F.col("label"))
         labels = moved.select("node", "label")
-        if moved.where("old != label").limit(1).count() == 0:
+        if not seen["changed"]:
             return labels
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (node, label) after the links between nodes are added."""
+def _merged(labels: DataFrame, rows: int, links: DataFrame) -> DataFrame:
+    """labels (node, label; so many rows) after the links between nodes are added."""
     one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    between = links.join(one, "a").join(two, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    between = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     found = connected(between)
     new = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialised(labels.join(new, "label", "left").select("node", F.coalesce("to", "label").alias("label")).coalesce(_parts(labels)))
+    return materialised(_compact(labels.join(new.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), rows))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -306,31 +309,32 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
     signed = nodes.where(F.length("registers") > 0)
     bands = signed.select(F.explode(band_keys(F.col("registers"), plan)).alias("band"), "node")
     # stored, so that a hot band's partition can be split in the join where the bands are too many to broadcast
-    shared = materialised(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("band", "pivot"))
-    if shared.count() <= BROADCAST_IDS:
-        shared = F.broadcast(shared)
-    members = materialised(bands.join(shared, "band"))
-    members = members.coalesce(_parts(members))
-    alike = materialised(members.select("node").distinct())
-    if alike.limit(1).count() == 0:
+    shared, told = stored(bands.groupBy("band").agg(F.min("node").alias("pivot"), F.max("node").alias("other")).where("pivot != other").select("band", "pivot"))
+    if told["rows"] == 0:
         return None
-    alike = alike.coalesce(_parts(alike))
+    if told["rows"] <= BROADCAST_IDS:
+        shared = F.broadcast(shared)
+    members, told = stored(bands.join(shared, "band"))
+    members = _compact(members, told["rows"])
+    alike, told = stored(members.select("node").distinct())
+    rows = told["rows"]
+    alike = _compact(alike, rows)
     signed = materialised(signed.join(alike, "node"))
     # of a node's pivots the one with most bands in common
     common = members.where("node != pivot").groupBy("node", "pivot").agg(F.count("*").alias("n"))
-    best = materialised(common.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a")).select("a", "b"))
-    labels = rooted(alike, _confirmed(_estimated(best.coalesce(_parts(best)), signed, plan), signed, slim, plan))
-    known = F.broadcast(labels) if labels.count() <= BROADCAST_IDS else labels
+    best = materialised(_compact(common.groupBy(F.col("node").alias("b")).agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("a")).select("a", "b"), rows))
+    labels = rooted(alike, rows, _confirmed(_estimated(best, signed, plan), signed, slim, plan))
+    known = F.broadcast(labels) if rows <= BROADCAST_IDS else labels
     tagged = members.select("band", "node").join(known, "node")
-    mixed = materialised(tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "low"))
-    if mixed.count() <= BROADCAST_IDS:
-        mixed = F.broadcast(mixed)
-    open_ = materialised(tagged.join(mixed, "band").select("node", "label", "low").distinct())
-    if open_.limit(1).count() == 0:
+    mixed, told = stored(tagged.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("band", "low"))
+    if told["rows"] == 0:
         return labels
-    open_ = open_.coalesce(_parts(open_))
+    if told["rows"] <= BROADCAST_IDS:
+        mixed = F.broadcast(mixed)
+    open_, told = stored(tagged.join(mixed, "band").select("node", "label", "low").distinct())
+    open_ = _compact(open_, told["rows"])
     groups = connected(open_.where("low != label").select(F.col("low").alias("a"), F.col("label").alias("b")).distinct())
-    return _merged(labels, _links_left(open_.select("node", "label").distinct(), groups, signed, slim, plan))
+    return _merged(labels, rows, _links_left(open_.select("node", "label").distinct(), groups, signed, slim, plan))
 
 
 def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[int, int]]:
@@ -409,7 +413,7 @@ def one_of_each(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id",
     placed = materialised(docs.withColumn(place, F.monotonically_increasing_id()))
     ranked = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("id"), F.col(place).alias("place"))
     found = near_duplicates(placed.select(ranked.alias("doc_id"), F.col(f"`{text}`").alias("text")), plan)
-    gone = materialised(found.where("not kept").select(F.col("doc_id.place").alias(place)))
-    if gone.count() <= BROADCAST_IDS:
+    gone, told = stored(found.where("not kept").select(F.col("doc_id.place").alias(place)))
+    if told["rows"] <= BROADCAST_IDS:
         gone = F.broadcast(gone)
     return placed.join(gone, place, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

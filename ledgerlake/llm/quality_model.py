@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_fold, sigmoid, training_rows
+from .common import in_fold, learned, sigmoid, training_rows
 from .quality_rules import Rule
 from .text_stats import count_batch, feature_columns, feature_matrix, text_counts, thresholds
 
@@ -107,8 +107,9 @@ def learn_ensemble(x: np.ndarray, y: np.ndarray, seed: int = 11, trees: int = 30
 
 
 def fit_ensemble(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2)) -> RuleEnsemble:
-    texts, y = training_rows(docs, labels, "quality", fold, MAX_ROWS, MAX_CHARS)
-    return learn_ensemble(feature_matrix(count_batch(pa.array(texts, pa.string()))), y)
+    """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
+    learn = lambda texts, y: learn_ensemble(feature_matrix(count_batch(pa.array(texts, pa.string()))), np.array(y, int))
+    return learned(training_rows(docs, labels, "quality", fold, MAX_ROWS, MAX_CHARS), learn)
 
 
 def quality_score(model: RuleEnsemble, text: Column) -> tuple[Column, callable]:
@@ -128,7 +129,11 @@ def score_quality(docs: DataFrame, model: RuleEnsemble, fold: tuple[int, int] =
 
 
 def keep_quality(docs: DataFrame, model: RuleEnsemble, cut: float = CUT, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores at least ``cut``."""
+    """The rows of ``docs``, all columns, whose text scores at least ``cut``.
+
+    Null and empty texts are judged by counts of 0; a score of exactly ``cut`` stays; repeated rows are
+    judged alike. No rows in, none out.
+    """
     counts, score = quality_score(model, F.col(text))
     name = "_counts_of_text"
     while name in docs.columns:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import training_rows
+from .common import learned, training_rows
 from .text_stats import FEATURES, count_batch, feature_columns, feature_matrix, text_counts, thresholds
 
 #: Bounds of the sample that rules are learned from.
@@ -95,8 +95,9 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 7, most: int = 12) -
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2)) -> list[Rule]:
-    texts, y = training_rows(docs, labels, "quality", fold, MAX_ROWS, MAX_CHARS)
-    return learn_rules(feature_matrix(count_batch(pa.array(texts, pa.string()))), y == 0)
+    """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
+    learn = lambda texts, y: learn_rules(feature_matrix(count_batch(pa.array(texts, pa.string()))), np.array(y, int) == 0)
+    return learned(training_rows(docs, labels, "quality", fold, MAX_ROWS, MAX_CHARS), learn)
 
 
 def verdict(rules: list[Rule], features: dict[str, Column]) -> Column:
