@@ -1,7 +1,7 @@
 """Toxicity: a linear-chain conditional random field over tokens (operator 1).
 
-Document labels become token labels by word statistics; a two-state chain (clean, toxic) with
-word features is fitted by gradient ascent on the exact likelihood; forward-backward marginals
+Document labels become token labels by word statistics: words much commoner in toxic documents, and
+what stands between two of them; a two-state chain (clean, toxic) with word features is fitted by gradient ascent on the exact likelihood; forward-backward marginals
 of every token of every line give toxic spans and, pooled, the document's score.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, in_fold, logistic_fit, sigmoid, training_rows
+from .common import SLICE_BYTES, in_fold, learned, logistic_fit, sigmoid, training_rows
 
 #: Bounds of the sample that the field is fitted on; training chains are cut at so many tokens.
 MAX_ROWS, MAX_CHARS, CHAIN = 4_000, 60_000, 40
@@ -25,6 +25,10 @@ MAX_ROWS, MAX_CHARS, CHAIN = 4_000, 60_000, 40
 CHAINS = (5_000, 5_000)
 #: Hashed weights for word, prefix and suffix features, and tokens remembered in a task.
 BUCKETS, REMEMBERED = 1 << 18, 200_000
+#: Strong words so many tokens apart belong to one span of a toxic document.
+GAP = 3
+#: A longer chain is run in blocks.
+LONG, BLOCK = 4096, 512
 #: A token with this marginal or more is in a span.
 SPAN_AT = 0.5
 
@@ -72,6 +76,13 @@ def marginals(field: Field, emission: np.ndarray, lengths: np.ndarray) -> np.nda
     The odds of the two states obey a recursion of one number each way; all chains that
     are long enough take a step together.
     """
+    if len(lengths) and lengths.max() > LONG:
+        out, ends = np.empty(len(emission)), np.cumsum(lengths)
+        short = np.repeat(lengths <= LONG, lengths)
+        out[short] = marginals(field, emission[short], lengths[lengths <= LONG])
+        for end, n in zip(ends[lengths > LONG].tolist(), lengths[lengths > LONG].tolist(), strict=True):
+            out[end - n : end] = _long_marginals(field, emission[end - n : end])
+        return out
     odds_of = np.exp(np.clip(emission, -30, 30))
     t = np.exp(field.move)
     order = np.argsort(-lengths, kind="stable")
@@ -97,8 +108,44 @@ def marginals(field: Field, emission: np.ndarray, lengths: np.ndarray) -> np.nda
     return both / (1 + both)
 
 
+def _odds(steps: np.ndarray) -> np.ndarray:
+    """o of every step, o = (a o + b) / (c o + d) with the step's own [[a, b], [c, d]] from o = 0, blocks of BLOCK steps at a time."""
+    n = len(steps)
+    blocks = -(-n // BLOCK)
+    padded = np.broadcast_to(np.eye(2), (blocks * BLOCK, 2, 2)).copy()
+    padded[:n] = steps
+    padded = padded.reshape(blocks, BLOCK, 2, 2)
+    whole = np.broadcast_to(np.eye(2), (blocks, 2, 2))
+    for k in range(BLOCK):
+        whole = padded[:, k] @ whole
+        whole = whole / whole.max((1, 2), keepdims=True)
+    o = np.zeros(blocks)
+    for k in range(1, blocks):
+        (a, b), (c, d) = whole[k - 1].tolist()
+        o[k] = (a * o[k - 1] + b) / (c * o[k - 1] + d)
+    out = np.empty((blocks, BLOCK))
+    for k in range(BLOCK):
+        m = padded[:, k]
+        o = (m[:, 0, 0] * o + m[:, 0, 1]) / (m[:, 1, 0] * o + m[:, 1, 1])
+        out[:, k] = o
+    return out.ravel()[:n]
+
+
+def _long_marginals(field: Field, emission: np.ndarray) -> np.ndarray:
+    """marginals of one chain, both recursions composed over blocks of it."""
+    e, t = np.exp(np.clip(emission, -30, 30)), np.exp(field.move)
+    ahead, back = np.empty((len(e), 2, 2)), np.empty((len(e), 2, 2))
+    ahead[:, 0, 0], ahead[:, 0, 1], ahead[:, 1, 0], ahead[:, 1, 1] = e * t[1, 1], e * t[0, 1], t[1, 0], t[0, 0]
+    ahead[0] = [[0.0, e[0] * np.exp(field.start[1] - field.start[0])], [0.0, 1.0]]
+    after = np.append(e[1:], 1.0)[::-1]
+    back[:, 0, 0], back[:, 0, 1], back[:, 1, 0], back[:, 1, 1] = after * t[1, 1], t[1, 0], after * t[0, 1], t[0, 0]
+    back[0] = [[0.0, 1.0], [0.0, 1.0]]
+    both = _odds(ahead) * _odds(back)[::-1]
+    return both / (1 + both)
+
+
 def token_labels(texts: list[list[list[str]]], y: np.ndarray) -> set[str]:
-    """Words that are much commoner in toxic documents than in others: the toxic tokens of these."""
+    """Words that are much commoner in toxic documents than in others."""
     seen = (Counter(), Counter())
     for lines, label in zip(texts, y, strict=True):
         seen[int(label)].update({normal(w) for line in lines for w in line})
@@ -106,6 +153,17 @@ def token_labels(texts: list[list[list[str]]], y: np.ndarray) -> set[str]:
     return {w for w, c in seen[1].items() if w and c >= 3 and (c / n1) > 8 * ((seen[0][w] + 0.5) / n0)}
 
 
+def span_labels(line: list[str], strong: set[str]) -> np.ndarray:
+    """1 for the tokens of a toxic document's line that are strong words or stand between two of them, GAP apart at most."""
+    at = np.flatnonzero([normal(w) in strong for w in line])
+    out = np.zeros(len(line))
+    out[at] = 1.0
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b - a <= GAP:
+            out[a:b] = 1.0
+    return out
+
+
 def _fit_chain(chains: list[list[str]], toxic: list[np.ndarray], rounds: int = 40, rate: float = 0.4) -> Field:
     """Adam on the mean log likelihood of padded chains, gradients by forward-backward."""
     n, width = len(chains), max(map(len, chains))
@@ -168,8 +226,8 @@ def pooled(p: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.column_stack([np.log1p(total), np.minimum(total, 3.0), most, total / np.sqrt(n)])
 
 
-def _document_features(field: Field, emission: Emissions, texts: list[str]) -> tuple[np.ndarray, list[list[tuple[list[str], np.ndarray]]]]:
-    """Pooled features of each text, and its lines that hold a toxic token with their marginals."""
+def _document_features(field: Field, emission: Emissions, texts: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pooled features of each text, and the marginals of its tokens."""
     lines = [[w for line in text.split("\n") if (w := line.split())] for text in texts]
     flat = [line for text in lines for line in text]
     lengths = np.array([len(x) for x in flat], np.int64)
@@ -186,22 +244,20 @@ def _document_features(field: Field, emission: Emissions, texts: list[str]) -> t
 
 def learn_field(texts: list[str], y: np.ndarray) -> Field:
     """A field from labelled documents. One class or none: nothing is toxic, the score is constant."""
+    y = np.array(y, int)
     empty = Field(np.zeros(BUCKETS), np.array([0.0, -6.0]), np.array([[0.0, -6.0], [0.0, 0.0]]), np.zeros(5))
     lines = [[w for line in t.split("\n") if (w := line.split())] for t in texts]
     words = token_labels(lines, y) if len(y) else set()
     if not words:
         empty.pool = logistic_fit(np.zeros((len(y), 4)), y)
         return empty
-    chains, gold, left = [], [], {1: CHAINS[0], 0: CHAINS[1]}
-    for doc, label in zip(lines, y, strict=True):
-        for line in doc:
-            for k in range(0, len(line), CHAIN):
-                if left[int(label)] <= 0:
-                    break
-                left[int(label)] -= 1
-                part = line[k : k + CHAIN]
-                chains.append(part)
-                gold.append(np.array([bool(label) and normal(w) in words for w in part], float))
+    chains, gold = [], []
+    for label, most in ((1, CHAINS[0]), (0, CHAINS[1])):
+        every = [(line, k) for doc, is_ in zip(lines, y, strict=True) if is_ == label for line in doc for k in range(0, len(line), CHAIN)]
+        for k in np.random.default_rng(label).permutation(len(every))[:most].tolist():
+            line, begin = every[k]
+            chains.append(line[begin : begin + CHAIN])
+            gold.append(span_labels(line, words)[begin : begin + CHAIN] if label else np.zeros(len(chains[-1])))
     field = _fit_chain(chains, gold)
     x, emission = [], Emissions(field)
     for k in range(0, len(texts), 200):
@@ -211,8 +267,8 @@ def learn_field(texts: list[str], y: np.ndarray) -> Field:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0)) -> Field:
-    texts, y = training_rows(docs, labels, "toxic", fold, MAX_ROWS, MAX_CHARS)
-    return learn_field(texts, y)
+    """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
+    return learned(training_rows(docs, labels, "toxic", fold, MAX_ROWS, MAX_CHARS), learn_field)
 
 
 def toxic_spans(text: str, p: np.ndarray, at: float = SPAN_AT) -> list[tuple[int, int]]:
