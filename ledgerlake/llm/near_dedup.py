@@ -31,6 +31,8 @@ BROADCAST_IDS = 100_000
 BLOCK_ROWS, BLOCK_BYTES = 512, 4_000_000
 #: Rows of a pair of ids in a task.
 ROWS_A_TASK = 100_000
+#: Components of links up to so many (16 bytes each) are found in one task, by rounds of joins beyond.
+ONE_TASK = 200_000
 #: Parts of a group in joins with its figures.
 SALTS = 32
 REMEMBERED = 300_000
@@ -240,9 +242,40 @@ def _compact(df: DataFrame, rows: int) -> DataFrame:
 # Tables of ids are joined by merge below: a small one would else go through the driver in every round.
 
 
+def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of the links, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], least)
+        np.minimum.at(new, label[y], least)
+        new = np.minimum(new[new], new[label])
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    """node, label of every node of at most ONE_TASK links."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if parts:
+            node, label = components(*(np.concatenate(side) for side in zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_pydict({"node": node, "label": label})
+
+    return materialised(links.select("a", "b").coalesce(1).mapInArrow(find, "node bigint, label bigint"))
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, label of every node of the links (a, b): label is the least node of its component."""
-    both, told = stored(links.select("a", "b").union(links.select("b", "a")).where("a != b").distinct())
+    links, told = stored(links.select("a", "b"))
+    if told["rows"] <= ONE_TASK:
+        return _in_one_task(links)
+    both, told = stored(links.union(links.select("b", "a")).where("a != b").distinct())
     both = _compact(both, told["rows"])
     labels = materialised(_compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"), told["rows"]))
     while True:  # as often as the longest chain of links halves
@@ -258,6 +291,8 @@ def connected(links: DataFrame) -> DataFrame:
 
 def rooted(nodes: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """node, label of all nodes: where the chain of links (a, b) from b to a smaller a ends. Each node is the b of one link at most."""
+    if 2 * rows <= ONE_TASK:
+        return _in_one_task(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).union(links.select("a", "b")))
     labels = nodes.join(links.select("a", F.col("b").alias("node")).hint("merge"), "node", "left").select("node", F.coalesce("a", "node").alias("label"))
     labels = materialised(_compact(labels, rows))
     while True:  # as often as the longest chain halves
@@ -270,7 +305,10 @@ def rooted(nodes: DataFrame, rows: int, links: DataFrame) -> DataFrame:
 
 
 def _merged(labels: DataFrame, rows: int, links: DataFrame) -> DataFrame:
-    """labels (node, label; so many rows) after the links between nodes are added."""
+    """labels (node, label; so many rows) after the links between nodes are added. A label is its component's least node."""
+    links, told = stored(links)
+    if rows + told["rows"] <= ONE_TASK:
+        return _in_one_task(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links.select("a", "b")))
     one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
     between = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     found = connected(between)
@@ -398,7 +436,7 @@ def _links_left(open_: DataFrame, groups: DataFrame, nodes: DataFrame, docs: Dat
     xs = blocks.where(F.size("xs") > 0).select("group", F.col("block").alias("x"), "xs")
     pairs = xs.select("group", "x").join(blocks.select("group", F.col("block").alias("y")), "group")
     both = pairs.join(blocks.select("group", F.col("block").alias("y"), "ys"), ["group", "y"]).join(xs, ["group", "x"])
-    return materialised(both.select(F.explode(links("xs", "ys")).alias("l")).select("l.*").distinct())
+    return both.select(F.explode(links("xs", "ys")).alias("l")).select("l.*").distinct()
 
 
 def one_of_each(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:

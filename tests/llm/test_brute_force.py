@@ -113,7 +113,12 @@ def test_shards(spark):
     assert 2.2 < heavy[1] / heavy[0] < 4
 
 
-def test_near_duplicates_by_all_pairs(spark):
+@pytest.mark.parametrize("bound", [None, 0])
+def test_near_duplicates_by_all_pairs(spark, monkeypatch, bound):
+    if bound is not None:  # as with tables too large to broadcast or for one task
+        monkeypatch.setattr(near_dedup, "BROADCAST_IDS", bound)
+        monkeypatch.setattr(near_dedup, "ONE_TASK", bound)
+        monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 16)
     rng = random.Random(9)
     base = [[f"w{rng.randrange(500)}" for _ in range(120)] for _ in range(4)]
     rows = []
@@ -140,6 +145,18 @@ def test_near_duplicates_by_all_pairs(spark):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
+def test_components_by_search():
+    rng = np.random.default_rng(8)
+    for n, m in ((30, 20), (200, 150), (5, 0)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        nodes, labels = near_dedup.components(a, b)
+        want = {x: x for x in range(n)}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist()):
+                want[x] = want[y] = min(want[x], want[y])
+        assert dict(zip(nodes.tolist(), labels.tolist())) == {x: want[x] for x in nodes.tolist()}
+
+
 def test_register_estimates():
     rng = np.random.default_rng(5)
     plan = near_dedup.plan_for(3, 85)
