@@ -16,6 +16,12 @@ SLICE_BYTES = 2_000_000
 MAX_TOTAL = 60_000_000
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Rows of an Arrow batch: texts are long, and JVM and Python each hold a batch of every running task."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

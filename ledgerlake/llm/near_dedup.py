@@ -35,7 +35,7 @@ ROWS_A_TASK = 100_000
 ONE_TASK = 200_000
 #: Parts of a group in joins with its figures.
 SALTS = 32
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _SCALE = np.random.default_rng(2).integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

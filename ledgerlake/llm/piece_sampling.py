@@ -32,7 +32,7 @@ PIECE_CHARS, TOKEN_CHARS = 16, 48
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 400_000
 #: A task keeps the lattices of the tokens it has seen, and begins anew beyond so many edges.
-REMEMBERED_EDGES = 2_000_000
+REMEMBERED_EDGES = 1_000_000
 #: Log probability of a byte that stands in for a part of an unknown character.
 LOG_BYTE = -14.0
 
@@ -66,7 +66,7 @@ class Pieces:
         self.piece_at = np.array(piece_at, np.int64)
         self.logp = np.full(len(pieces), -np.inf)
         self.logp[ranks] = np.log(weight / weight.sum())
-        self.code = np.zeros(0x110000, np.int64)
+        self.code = np.zeros(0x110000, np.int32)
         for c, k in self.alphabet.items():
             self.code[ord(c)] = k
         self.code[ord(" ")], self.code[ord(SPACE)] = self.alphabet.get(SPACE, 0), 0
@@ -177,7 +177,7 @@ class Rows:
     def extend(self, values: np.ndarray) -> None:
         size = self.size + len(values)
         if size > len(self.room):
-            self.room = np.concatenate([self.room[: self.size], np.zeros(2 * size - self.size, self.room.dtype)])
+            self.room = np.concatenate([self.room[: self.size], np.zeros(size - self.size + size // 2, self.room.dtype)])
         self.room[self.size : size] = values
         self.size = size
 

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat_format, decontaminate, html_extract, language, near_dedup, piece_sampling, quality_model, quality_rules, sharding, toxicity
-from .common import read_table
+from .common import bound_batches, read_table
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _bounded(query: Query) -> Query:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,8 +66,8 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), piece_sampling.load_pieces())
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces)}
+def queries() -> dict[str, Query]:
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces)}
 
 
 _OP8 = r"""
