@@ -5,12 +5,13 @@ Each stage takes what the stage before kept, whole rows; the last gives sampled
 
 from __future__ import annotations
 
+import functools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.llm import decontaminate, language, near_dedup, piece_sampling, quality_model
-from ledgerlake.llm.common import read_table, shared_folder
+from ledgerlake.llm.common import bound_batches, read_table, shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,6 +51,18 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _bounded(stage):
+    @functools.wraps(stage)
+    def work(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return work
+
+
+STAGES = [(name, _bounded(stage)) for name, stage in STAGES]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents, each stage's rows written as Parquet in the shared folder and read again."""
     root = f"{shared_folder(spark)}/pipeline-{os.urandom(8).hex()}"
