@@ -259,7 +259,7 @@ def components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _in_one_task(links: DataFrame) -> DataFrame:
-    """node, label of every node of at most ONE_TASK links."""
+    """node, label of every node of at most ONE_TASK stored links."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
@@ -291,6 +291,7 @@ def connected(links: DataFrame) -> DataFrame:
 
 def rooted(nodes: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """node, label of all nodes: where the chain of links (a, b) from b to a smaller a ends. Each node is the b of one link at most."""
+    links = materialised(links.select("a", "b"))
     if 2 * rows <= ONE_TASK:
         return _in_one_task(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).union(links.select("a", "b")))
     labels = nodes.join(links.select("a", F.col("b").alias("node")).hint("merge"), "node", "left").select("node", F.coalesce("a", "node").alias("label"))
