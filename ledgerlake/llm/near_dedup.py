@@ -377,7 +377,10 @@ def _components(slim: DataFrame, nodes: DataFrame, plan: Plan) -> DataFrame | No
 
 
 def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[int, int]]:
-    """Links of outside members xs with members ys that have a band in common and another label; two outside ones are compared once."""
+    """Links of outside members xs with members ys that have a band in common and another label; two outside ones are compared once.
+
+    A link between labels that the links before it join already is left out, so there are fewer than labels.
+    """
     out = []
     if not xs or not ys:
         return out
@@ -385,12 +388,14 @@ def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[i
     sizes = np.array([len(s) for s in sets])
     labels, keys = np.array([y["label"] for y in ys]), np.array([y["keys"] for y in ys], np.int64)
     nodes, outside = np.array([y["node"] for y in ys]), np.array([y["outside"] for y in ys])
+    known, at = np.unique(np.concatenate([labels, [x["label"] for x in xs]]), return_inverse=True)
+    root, of, own = np.arange(len(known)), at[: len(ys)], at[len(ys) :].tolist()
     owners, merged = np.repeat(np.arange(len(ys)), sizes), np.concatenate(sets)
     order = np.argsort(merged, kind="stable")
     owners, merged = owners[order], merged[order]
-    for x in xs:
+    for x, label in zip(xs, own, strict=True):
         mine = np.frombuffer(x["items"], np.uint64)
-        wanted = (labels != x["label"]) & (100 * np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)))
+        wanted = (root[of] != root[label]) & (100 * np.minimum(sizes, len(mine)) >= similarity * np.maximum(sizes, len(mine)))
         wanted &= ~outside | (nodes > x["node"])
         wanted[wanted] = (keys[wanted] == np.array(x["keys"], np.int64)).any(1)
         if not wanted.any():
@@ -399,8 +404,10 @@ def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[i
         spans = high - low
         at = np.repeat(low - (np.cumsum(spans) - spans), spans) + np.arange(spans.sum())
         shared = np.bincount(owners[at], minlength=len(ys))
-        linked = wanted & (100 * shared >= similarity * (sizes + len(mine) - shared))
-        out += [(x["node"], ys[k]["node"]) for k in np.flatnonzero(linked)]
+        linked = np.flatnonzero(wanted & (100 * shared >= similarity * (sizes + len(mine) - shared)))
+        roots, first = np.unique(root[of[linked]], return_index=True)
+        out += [(x["node"], ys[k]["node"]) for k in linked[first].tolist()]
+        root[np.isin(root, roots)] = root[label]
     return out
 
 
