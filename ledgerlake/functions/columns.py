@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Text that is a floating point number by the strict grammar (no blanks, type suffixes or hexadecimal).
-NUMBER = r"^[+-]?(?i:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)$"
-DATE = r"^\d{4}-\d{1,2}-\d{1,2}$"
+NUMBER = r"^[+-]?(?i:inf|infinity|nan|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?)\z"
+DATE = r"^\d{4}-\d{1,2}-\d{1,2}\z"
 
 
 def parse_or_zero(text: Column) -> Column:
@@ -64,5 +64,25 @@ def cents(amount: Column) -> Column:
     return amount.cast("decimal(18,2)")
 
 
+def whole_minutes(seconds: Column) -> Column:
+    """Integer division, cut off towards zero."""
+    return ((seconds - seconds % 60) / 60).cast("bigint")
+
+
+def as_json(value: Column) -> Column:
+    """JSON text of a struct; nulls are written, as null."""
+    return F.to_json(value, {"ignoreNullFields": "false"})
+
+
+def random_id() -> Column:
+    """A random UUID for each row, another in each run."""
+    return F.uuid()
+
+
+def redacted(secret: Column) -> Column:
+    """What stands in logs for a secret; null stays null."""
+    return F.when(secret.isNotNull(), F.lit("[redacted]"))
+
+
 def label_text(reference: Column, category: Column, subcategory: Column, confidence: Column) -> Column:
     return F.format_string("%s: %s/%s (%.2f)", reference, category, subcategory, confidence)

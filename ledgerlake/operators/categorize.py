@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,13 +11,20 @@ from pyspark.sql.window import Window
 from .merge import last_of_each, replace
 
 
-def category_dim(pairs: DataFrame) -> DataFrame:
-    """id, category, subcategory: each pair once, numbered by name.
+def category_dim(pairs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """id, category, subcategory: each pair once. Stored pairs keep their ids; new ones are numbered by name above the greatest.
 
-    A dimension is numbered in one window; it has as many rows as there are distinct pairs.
+    New pairs are numbered in one window; a dimension has as many rows as there are distinct pairs.
     """
-    once = pairs.select("category", "subcategory").distinct()
-    return once.withColumn("id", F.row_number().over(Window.orderBy("category", "subcategory"))).select("id", "category", "subcategory")
+    keys = ["category", "subcategory"]
+    fresh = pairs.select(*keys).distinct()
+    number = F.row_number().over(Window.orderBy(*keys))
+    if stored is None:
+        return fresh.withColumn("id", number).select("id", *keys)
+    known = fresh.alias("f").join(stored.alias("s"), (F.col("f.category").eqNullSafe(F.col("s.category"))) & (F.col("f.subcategory").eqNullSafe(F.col("s.subcategory"))), "left_anti")
+    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    numbered = known.withColumn("_n", number).crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).cast("int").alias("id"), *keys)  # one row on the right
+    return stored.select("id", *keys).unionByName(numbered)
 
 
 def pending(transactions: DataFrame, labels: DataFrame) -> DataFrame:
@@ -27,8 +34,8 @@ def pending(transactions: DataFrame, labels: DataFrame) -> DataFrame:
 
 def with_label_flag(transactions: DataFrame, labels: DataFrame, name: str = "is_categorized") -> DataFrame:
     """A boolean for each transaction: is there a label."""
-    known = labels.select("reference").distinct().withColumn(name, F.lit(True))
-    return transactions.join(known, "reference", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    known = labels.select(F.col("reference").alias("_labelled"))
+    return transactions.alias("_all").select("*", known.where(F.col("_labelled") == F.col("_all.reference").outer()).exists().alias(name))
 
 
 def by_rules(text: Column, rules: Sequence[tuple[str, str, str]], default: tuple[str, str]) -> Column:
@@ -55,6 +62,20 @@ def resolve(answers: DataFrame, categories: DataFrame) -> tuple[DataFrame, DataF
     return labels, found.where("category_id is null").select(*answers.columns)
 
 
+def write_labels(labels: DataFrame, answers: DataFrame, categories: DataFrame, order: Column) -> tuple[DataFrame, DataFrame]:
+    """The label table after a batch of answers, and the answers whose pair is unknown, which are set aside."""
+    ids = categories.select("category", "subcategory", F.col("id").alias("category_id"))
+    found = answers.withColumn("_at", order).join(ids, ["category", "subcategory"], "left")
+    known = found.where("category_id is not null").select("reference", "category_id", "reasoning", F.col("confidence").cast("double").alias("confidence"), "_at")
+    return add_labels(labels, known, F.col("_at")), found.where("category_id is null").select(*answers.columns)
+
+
+def classify_pending(transactions: DataFrame, labels: DataFrame, classifier: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Answers of any classifier, rows in and rows out, for the transactions without a label; of a reference the first answer by name."""
+    answers = classifier(pending(transactions, labels))
+    return last_of_each(answers, ["reference"], F.struct("category", "subcategory", "reasoning"))
+
+
 def add_labels(labels: DataFrame, fresh: DataFrame, order: Column) -> DataFrame:
     """One label for each reference, the latest."""
-    return replace(labels, last_of_each(fresh, ["reference"], order), ["reference"], order)
+    return replace(labels, fresh, ["reference"], order)

@@ -47,10 +47,14 @@ def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Colum
 
 
 def replace(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """Whole rows are replaced; columns the batch lacks become null."""
-    latest = last_of_each(batch, keys, order)
-    kept = table.join(latest.select(*keys), list(keys), "left_anti").select(*table.columns)
-    return kept.unionByName(latest, allowMissingColumns=True)
+    """Whole rows are replaced; columns that the batch lacks become null, and columns that the table lacks are left out."""
+    kinds = table.schema
+    given = [F.col(c) if c in batch.columns else F.lit(None).cast(kinds[c].dataType).alias(c) for c in table.columns]
+    kind = batch.select(order.alias("o")).schema["o"].dataType
+    seq = lambda late, at: F.struct(F.lit(late).alias(_OLD), at.alias("o")).alias(_SEQ)
+    both = table.select("*", seq(0, F.lit(None).cast(kind))).unionByName(batch.select(*given, seq(1, order)))
+    rest = _rest(table, keys)
+    return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), _SEQ).alias("_row")).select(*keys, "_row.*").select(*table.columns)
 
 
 def delete_cascade(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
@@ -58,6 +62,18 @@ def delete_cascade(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return children.join(gone.select(key), key, "left_anti").select(*children.columns)
 
 
+def first_or_fail(df: DataFrame, order: Column) -> DataFrame:
+    """The first row of df in this order; the query fails where there is none."""
+    found = df.agg(F.count(F.lit(1)).alias("_n"), F.min_by(F.struct(*df.columns), order).alias("_row"))
+    return found.where(F.when(F.col("_n") == 0, F.raise_error(F.lit("no row"))).otherwise(True)).select("_row.*")
+
+
+def exactly_one(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df, one row for each key; the query fails where a key has more."""
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*_rest(df, keys))).alias("_row"))
+    return counted.where(F.when(F.col("_n") != 1, F.raise_error(F.lit("more than one row of a key"))).otherwise(True)).select(*keys, "_row.*").select(*df.columns)
+
+
 def duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that break uniqueness, with their number of rows."""
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -6,6 +6,10 @@ redelivered versions and labels; part: categories. Each query has the SQL it is
 
 from __future__ import annotations
 
+import functools
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import categorize, flatten, merge
-from .plans import reports
+from .plans import reports, tables
+from .sources import files, paged
 from .sources.paged import offsets
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,8 +52,10 @@ def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _table(spark, sf_dir, "lineitem")
+def _labels_of_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are made for the month's references only, before they are aggregated."""
+    wanted = reports.in_month(_transactions(spark, sf_dir), *REPORT_MONTH).select(F.col("reference").alias("l_orderkey"))
+    lines = _table(spark, sf_dir, "lineitem").join(wanted, "l_orderkey", "left_semi")
     return lines.groupBy(F.col("l_orderkey").alias("reference")).agg(F.max_by("l_partkey", _arrival()).alias("category_id"))
 
 
@@ -71,7 +78,7 @@ lines AS (SELECT coalesce(p_type, 'uncategorized') AS category, CAST(CASE WHEN o
   WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-11-01')
 SELECT '10' AS month, '1997' AS year, category, {_INCOME} FROM lines GROUP BY category""")
 def monthly_report(spark, sf_dir):
-    return reports.reports(_transactions(spark, sf_dir), _labels(spark, sf_dir), _parts(spark, sf_dir), *REPORT_MONTH)
+    return reports.reports(_transactions(spark, sf_dir), _labels_of_month(spark, sf_dir), _parts(spark, sf_dir), *REPORT_MONTH)
 
 
 @_query("""
@@ -81,7 +88,7 @@ lines AS (SELECT coalesce(p_type, 'uncategorized') AS category, CAST(CASE WHEN o
   WHERE o_orderdate >= TIMESTAMP '1997-10-01' AND o_orderdate < TIMESTAMP '1997-11-01')
 SELECT category, CAST(coalesce(sum(CASE WHEN a > 0 THEN a END), 0) AS DOUBLE) AS total_income, 'Report' AS __typename FROM lines GROUP BY category""")
 def report_fields(spark, sf_dir):
-    return reports.reports(_transactions(spark, sf_dir), _labels(spark, sf_dir), _parts(spark, sf_dir), *REPORT_MONTH, fields=("category", "total_income"), typename=True)
+    return reports.reports(_transactions(spark, sf_dir), _labels_of_month(spark, sf_dir), _parts(spark, sf_dir), *REPORT_MONTH, fields=("category", "total_income"), typename=True)
 
 
 @_query(f"""
@@ -121,8 +128,7 @@ FROM orders LEFT JOIN (SELECT l_orderkey, arg_max(l_extendedprice, (l_linenumber
 def replace_rows(spark, sf_dir):
     table = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("amount"))
     batch = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reference"), F.col("l_extendedprice").alias("amount"), _arrival().alias("at"))
-    known = batch.join(table.select("reference"), "reference", "left_semi")
-    return merge.replace(table, known, ["reference"], F.col("at")).select("reference", "account_id", "amount")
+    return merge.replace(table, batch, ["reference"], F.col("at"))
 
 
 @_query("""
@@ -292,6 +298,208 @@ def hello(spark, sf_dir):
     return reports.hello(spark)
 
 
+# Queries over files and stored tables: the rows of test tables are written as the files that the sources read.
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share; in local mode, where none is named, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+    return f"{shared}/files-{uuid.uuid4().hex}"
+
+
+def _document(reference, day, amount, kind):
+    text = lambda c: F.col(c).cast("string")
+    return F.struct(
+        text(reference).alias("reference"), F.lit("BOOKED").alias("bookingStatus"), F.date_format(day, "yyyy-MM-dd").alias("bookingDate"), F.struct(text(amount).alias("value"), F.lit("EUR").alias("unit")).alias("amount"),
+        F.date_format(day, "yyyy-MM-dd").alias("valutaDate"), F.lit(False).alias("newTransaction"), F.lit("x").alias("remittanceInfo"), F.struct(F.lit("K").alias("key"), text(kind).alias("text")).alias("transactionType"),
+    )
+
+
+def _as_lines(spark, sf_dir) -> str:
+    folder = _scratch(spark)
+    _table(spark, sf_dir, "orders").select(F.to_json(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")).alias("value")).write.text(folder)
+    return folder
+
+
+@_query("SELECT o_orderkey::VARCHAR AS reference, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount, o_orderstatus AS transaction_type FROM orders")
+def json_lines(spark, sf_dir):
+    rows = flatten.booked(files.read_lines(spark, _as_lines(spark, sf_dir)), F.lit("a"))
+    return rows.select("reference", "booking_date", "amount", "transaction_type")
+
+
+@_query("SELECT o_orderkey::VARCHAR AS reference, strftime(o_orderdate, '%Y-%m-%d') AS booking_date, o_totalprice AS amount, 'K' AS transaction_type FROM orders")
+def file_import(spark, sf_dir):
+    rows = flatten.filed(files.read_lines(spark, _as_lines(spark, sf_dir)))
+    return rows.select("reference", "booking_date", "amount", "transaction_type")
+
+
+@_query("SELECT r_regionkey::VARCHAR AS reference, r_name AS transaction_type FROM region")
+def json_array(spark, sf_dir):
+    folder = _scratch(spark)
+    rows = _table(spark, sf_dir, "region").withColumn("day", F.lit("2025-01-02").cast("date")).agg(F.to_json(F.collect_list(_document("r_regionkey", "day", "r_regionkey", "r_name"))).alias("value"))
+    rows.write.text(folder)
+    return flatten.booked(files.read_array(spark, folder), F.lit("a")).select("reference", "transaction_type")
+
+
+@_query("SELECT n_name AS category, unnest([n_name || '-1', n_name || '-2']) AS subcategory FROM nation WHERE n_nationkey % 3 <> 0")
+def category_file(spark, sf_dir):
+    folder = _scratch(spark)
+    subs = F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat("n_name", F.lit("-1")), F.concat("n_name", F.lit("-2"))))
+    _table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(F.struct(F.col("n_name").alias("category"), subs.alias("subcategories")))).alias("value")).write.text(folder)
+    return files.read_categories(spark, folder)
+
+
+@_query("SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS value FROM region")
+def text_file(spark, sf_dir):
+    folder = _scratch(spark)
+    _table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(folder)
+    return files.read_text(spark, folder)
+
+
+@_query("SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS count FROM orders GROUP BY 1")
+def chart_file(spark, sf_dir):
+    folder = _scratch(spark)
+    counts = _table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("count"))
+    counts.agg(F.to_json(F.collect_list(F.struct("year", "count"))).alias("value")).write.text(folder)
+    return reports.chart_series(files.read_points(spark, folder, "year long, count long"))
+
+
+@_query("SELECT c_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS reference FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey <= 40")
+def paged_accounts(spark, sf_dir):
+    accounts = _table(spark, sf_dir, "customer").where("c_custkey <= 40").select("c_custkey")
+    held = _table(spark, sf_dir, "orders").where("o_custkey <= 40").select(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).collect()  # the stand-in of a remote service
+    options = {"client": "ledgerlake.registry:_Service", "rows": json.dumps([list(r) for r in held])}
+    documents = paged.transactions_of(accounts, options, "c_custkey")
+    return documents.select("account_id", F.get_json_object("value", "$.reference").alias("reference"))
+
+
+class _Service:
+    def __init__(self, options: dict):
+        self.rows = json.loads(options["rows"])
+
+    def page(self, account: str, state: str, offset: int) -> dict:
+        mine = [{"reference": r, "bookingStatus": state} for a, r in self.rows if a == account]
+        return {"paging": {"index": offset, "matches": len(mine)}, "values": mine[offset : offset + 3]}
+
+
+def _first_lines(spark, sf_dir, first: bool) -> DataFrame:
+    lines = _versions(spark, sf_dir).where("l_linenumber = 1" if first else "l_linenumber > 1")
+    return lines.select("l_orderkey", F.col("l_suppkey").alias("account_id"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("status"), _arrival().alias("at"))
+
+
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
+@_query(f"SELECT l_orderkey, first(l_suppkey ORDER BY {_ORDER}) AS account_id, last(l_extendedprice ORDER BY {_ORDER}) AS amount, last(l_returnflag ORDER BY {_ORDER}) AS status FROM lineitem GROUP BY l_orderkey")
+def upsert_into_stored(spark, sf_dir):
+    columns, at = ["l_orderkey", "account_id", "amount", "status"], F.col("at")
+    empty = _first_lines(spark, sf_dir, True).select(*columns).limit(0)
+    stored = merge.upsert(empty, _first_lines(spark, sf_dir, True), ["l_orderkey"], at, keep=("account_id",))
+    return merge.upsert(stored, _first_lines(spark, sf_dir, False), ["l_orderkey"], at, keep=("account_id",))
+
+
+@_query("""
+SELECT l_orderkey, coalesce(s.account_id, b.account_id) AS account_id, coalesce(s.amount, b.amount) AS amount FROM
+ (SELECT l_orderkey, arg_min(l_suppkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS account_id, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS amount FROM lineitem WHERE l_linenumber = 1 GROUP BY 1) s
+ FULL JOIN (SELECT l_orderkey, arg_min(l_suppkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS account_id, arg_min(l_extendedprice, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS amount FROM lineitem WHERE l_linenumber > 1 GROUP BY 1) b USING (l_orderkey)""")
+def insert_ignore_into_stored(spark, sf_dir):
+    columns, at = ["l_orderkey", "account_id", "amount"], F.col("at")
+    stored = merge.first_of_each(_first_lines(spark, sf_dir, True), ["l_orderkey"], at).select(*columns)
+    return merge.insert_ignore(stored, _first_lines(spark, sf_dir, False), ["l_orderkey"], at)
+
+
+@_query("SELECT l_partkey AS account_id, count(*) AS n FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_partkey) GROUP BY 1")
+def fk_orphans_some(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("account_id"))
+    return merge.orphans(lines, _table(spark, sf_dir, "customer"), "account_id", "c_custkey").groupBy("account_id").agg(F.count("*").alias("n"))
+
+
+@_query("""
+WITH a AS (SELECT l_orderkey, l_partkey, l_linenumber, l_suppkey, l_extendedprice FROM lineitem WHERE l_partkey % 2 = 0),
+ best AS (SELECT l_orderkey, arg_max(l_partkey, (l_linenumber, l_partkey, l_suppkey, l_extendedprice)) AS part FROM a GROUP BY 1)
+SELECT o_orderkey AS reference, coalesce(part, 0) AS category_id, CASE WHEN part IS NULL THEN 'before' ELSE 'answer' END AS reasoning FROM orders LEFT JOIN best ON l_orderkey = o_orderkey""")
+def label_write(spark, sf_dir):
+    """Labels are replaced by a batch of answers; odd parts are no known pair and are set aside."""
+    labels = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.lit(0).cast("bigint").alias("category_id"), F.lit("before").alias("reasoning"), F.lit(1.0).alias("confidence"))
+    name = F.col("l_partkey").cast("string")
+    answers = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("reference"), name.alias("category"), name.alias("subcategory"), F.lit("answer").alias("reasoning"), F.lit(0.5).alias("confidence"), _arrival().alias("at"))
+    parts = _table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.col("p_partkey").cast("string").alias("category"), F.col("p_partkey").cast("string").alias("subcategory"))
+    return categorize.write_labels(labels, answers, parts, F.col("at"))[0].select("reference", "category_id", "reasoning")
+
+
+@_query("""
+SELECT o_orderkey AS reference, CASE WHEN o_totalprice > 200000 THEN 'large' ELSE 'small' END AS category FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber < 3)""")
+def classify_pending(spark, sf_dir):
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.col("o_totalprice").alias("amount"))
+    labels = _table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").alias("reference"))
+    size = F.when(F.col("amount") > 200000, "large").otherwise("small")
+    answer = lambda df: df.select("reference", size.alias("category"), size.alias("subcategory"), F.lit("by amount").alias("reasoning"))
+    return categorize.classify_pending(orders, labels, answer).select("reference", "category")
+
+
+@_query("""
+WITH stored AS (SELECT row_number() OVER (ORDER BY p_type, p_brand)::INTEGER AS id, p_type, p_brand FROM (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size > 25)),
+ fresh AS (SELECT DISTINCT p_type, p_brand FROM part EXCEPT SELECT p_type, p_brand FROM stored)
+SELECT id, p_type AS category, p_brand AS subcategory FROM stored UNION ALL
+SELECT ((SELECT coalesce(max(id), 0) FROM stored) + row_number() OVER (ORDER BY p_type, p_brand))::INTEGER, p_type, p_brand FROM fresh""")
+def dim_grown(spark, sf_dir):
+    parts = _table(spark, sf_dir, "part").select("p_size", F.col("p_type").alias("category"), F.col("p_brand").alias("subcategory"))
+    return categorize.category_dim(parts, categorize.category_dim(parts.where("p_size > 25")))
+
+
+@_query("SELECT o_orderkey AS reference, printf('%s: %s/%s (%.2f)', o_orderkey::VARCHAR, o_orderstatus, o_orderpriority, 0.5) AS label FROM orders")
+def label_text(spark, sf_dir):
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), C.label_text(F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority"), F.lit(0.5)).alias("label"))
+
+
+@_query("SELECT n_nationkey, '{\"name\":\"' || n_name || '\",\"region\":' || n_regionkey || ',\"note\":null}' AS body FROM nation")
+def json_text(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", C.as_json(F.struct(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"), F.lit(None).cast("string").alias("note"))).alias("body"))
+
+
+@_query("SELECT event_id, CAST(trunc((event_id * 7 - 5000) / 60.0) AS BIGINT) AS minutes, '[redacted]' AS secret FROM events")
+def division_and_redaction(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", C.whole_minutes(F.col("event_id") * 7 - 5000).alias("minutes"), C.redacted(F.col("props")).alias("secret"))
+
+
+@_query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 1")
+def first_or_fail(spark, sf_dir):
+    return merge.first_or_fail(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), F.struct(-F.col("o_totalprice"), "o_orderkey"))
+
+
+@_query("SELECT o_orderkey, o_custkey FROM orders")
+def exactly_one(spark, sf_dir):
+    return merge.exactly_one(_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"])
+
+
+@_query("SELECT category, total_expenses FROM (SELECT p_type AS category, CAST(sum(CAST(l_extendedprice AS DECIMAL(18, 2))) AS DOUBLE) AS total_expenses FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R' GROUP BY 1)")
+def fields_by_condition(spark, sf_dir):
+    """The field total_income is skipped and month isn't included, by the caller's conditions."""
+    lines = _table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").join(_parts(spark, sf_dir), F.col("l_partkey") == F.col("id"))
+    totals = reports.income_and_expenses(lines.select("category", (-F.col("l_extendedprice")).alias("amount"))).withColumn("month", F.lit("10"))
+    return reports.select_fields(totals, ("month", "category", "total_income", "total_expenses"), include={"month": False}, skip={"total_income": True})
+
+
+@_query("SELECT unnest(['account', 'account_balance', 'account_transactions', 'categories', 'mandate_categories', 'transaction_categories', 'transactions']) AS name, 0::BIGINT AS n")
+def created_tables(spark, sf_dir):
+    """The tables after creation, and again after all were dropped and made by migration steps that ran once."""
+    database = f"ledger_{uuid.uuid4().hex[:12]}"
+    steps = [("create", lambda s: tables.create_all(s, database)), ("never", lambda s: tables.drop_all(s, database))]
+    tables.migrate(spark, steps, spark.createDataFrame([("never",)], "name string"))
+    found = [spark.table(f"{database}.{r.tableName}").agg(F.count("*").alias("n")).select(F.lit(r.tableName).alias("name"), "n") for r in spark.sql(f"SHOW TABLES IN {database}").collect()]
+    return functools.reduce(DataFrame.union, found)
+
+
+@_query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS field")
+def schema_export(spark, sf_dir):
+    told = json.loads(tables.describe(_table(spark, sf_dir, "nation")))
+    return spark.createDataFrame([(f["name"],) for f in told["fields"]], "field string")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -27,10 +27,10 @@ def read_array(spark: SparkSession, path: str, schema: T.StructType = TRANSACTIO
     return checked(spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path), schema)
 
 
-def decode_lines(lines: DataFrame, schema: T.StructType = TRANSACTION, column: str = "value") -> DataFrame:
+def decode_lines(lines: DataFrame, schema: T.StructType = TRANSACTION, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """JSON text lines as columns next to the raw line, blank lines skipped; a bad line fails."""
     parsed = lines.where(~is_blank(F.col(column))).withColumn("parsed", F.from_json(column, schema, {"mode": "FAILFAST"}))
-    return checked(parsed, schema, "parsed.").select(F.col(column).alias("raw"), "parsed.*")
+    return checked(parsed, schema, "parsed.").select(F.col(column).alias("raw"), "parsed.*", *keep)
 
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType = TRANSACTION) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Paged REST source: one input partition for each account and offset.
+"""Paged REST source: one input partition for each account, which reads its pages in turn.
 
-``spark.read.format("paged_transactions").option("client", "module:factory").option("accounts", "a,b")``.
-The factory takes the options and returns an object with ``page(account_id, state, offset)``, which
-gives ``{"paging": {"index", "matches"}, "values": [...]}``. The first page tells the number of matches
-and the step. Tasks read pages one by one and try each ``retries`` times more before they fail.
+``spark.read.format("paged_transactions").option("client", "module:factory").option("accounts", "a,b")``,
+or ``transactions_of(accounts, options)`` for the accounts of a DataFrame. The factory takes the options
+and returns an object with ``page(account_id, state, offset)``, which gives
+``{"paging": {"index", "matches"}, "values": [...]}``; the first page tells the number of matches and the
+step. Tasks try each page ``retries`` times more before they fail.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ import json
 import time
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 BOOKED = "BOOKED"
 
 
-class Page(InputPartition):
-    def __init__(self, account: str, offset: int):
-        super().__init__((account, offset))
-        self.account, self.offset = account, offset
+class Account(InputPartition):
+    def __init__(self, account: str):
+        super().__init__(account)
+        self.account = account
 
 
 def offsets(first_page: int, matches: int) -> list[int]:
@@ -59,18 +62,20 @@ class _Reader(DataSourceReader):
                 self.state = f.value
             yield f
 
-    def partitions(self) -> list[Page]:
-        out, client = [], self._client()
-        for account in filter(None, self.options.get("accounts", "").split(",")):
-            first = self._page(client, account, 0)
-            out += [Page(account, k) for k in offsets(len(first["values"]), first["paging"]["matches"])]
-        return out
+    def partitions(self) -> list[Account]:
+        return [Account(a) for a in self.options.get("accounts", "").split(",") if a]
 
-    def read(self, partition: Page | None) -> Iterator[tuple]:
+    def pages(self, client, account: str) -> Iterator[tuple[int, list]]:
+        first = self._page(client, account, 0)
+        for offset in offsets(len(first["values"]), first["paging"]["matches"]):
+            yield offset, (self._page(client, account, offset) if offset else first)["values"]
+
+    def read(self, partition: Account | None) -> Iterator[tuple]:
         if partition is None:  # what Spark passes when there are no partitions
             return
-        for value in self._page(self._client(), partition.account, partition.offset)["values"]:
-            yield partition.account, partition.offset, value.get("bookingStatus"), json.dumps(value)
+        for offset, values in self.pages(self._client(), partition.account):
+            for value in values:
+                yield partition.account, offset, value.get("bookingStatus"), json.dumps(value)
 
 
 class PagedTransactions(DataSource):
@@ -87,6 +92,21 @@ class PagedTransactions(DataSource):
         return _Reader(dict(self.options))
 
 
+def transactions_of(accounts: DataFrame, options: dict, account_id: str = "account_id") -> DataFrame:
+    """The documents of all accounts of a DataFrame, read where the accounts are: account_id, page_offset, booking_status, value."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = _Reader(options)
+        client = reader._client()
+        for batch in batches:
+            for account in batch.column(0).to_pylist():
+                for offset, values in reader.pages(client, account):
+                    rows = {"account_id": [account] * len(values), "page_offset": pa.array([offset] * len(values), pa.int32()), "booking_status": [v.get("bookingStatus") for v in values], "value": list(map(json.dumps, values))}
+                    yield pa.RecordBatch.from_pydict(rows)
+
+    return accounts.select(F.col(account_id).cast("string")).where(F.col(account_id).isNotNull()).mapInArrow(read, "account_id string, page_offset int, booking_status string, value string")
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedTransactions)

@@ -20,26 +20,32 @@ def merge_transactions(tables: Snapshots, rows: DataFrame, order) -> None:
     tables.write("account_transactions", upsert(tables.read("account_transactions"), rows, ["reference"], order, TRANSACTION_KEEPS))
 
 
-def merge_balances(tables: Snapshots, balances: DataFrame, order, day=None) -> None:
-    """New accounts come in; of each account and day the first balance stays."""
-    tables.write("account", insert_ignore(tables.read("account"), accounts(balances), ["account_id"], order))
-    tables.write("account_balance", insert_ignore(tables.read("account_balance"), daily_balances(balances, day), ["account_id", "date"], order))
+def merge_balances(tables: Snapshots, balances: DataFrame, institute: str, day=None) -> None:
+    """New accounts come in; of each account and day the first balance by ``_at`` stays."""
+    at = F.col("_at")
+    tables.write("account", insert_ignore(tables.read("account"), accounts(balances, institute, keep=("_at",)), ["account_id"], at))
+    tables.write("account_balance", insert_ignore(tables.read("account_balance"), daily_balances(balances, day, keep=("_at",)), ["account_id", "date"], at))
 
 
 def import_transactions(spark: SparkSession, folder: str, tables: Snapshots, checkpoint: str, account_id: str) -> StreamingQuery:
-    """Merge the files of a folder that weren't read yet, then stop; run it again for the next cycle."""
+    """Merge the files of a folder that weren't read yet, then stop; run it again for the next cycle.
+
+    Of a reference that is delivered more than once the last in order of arrival counts.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = booked(decode_lines(batch, TRANSACTION), F.lit(account_id))
-        merge_transactions(tables, rows, F.struct("booking_date", "amount", "remittance_info"))
+        place = F.struct("file_modification_time", "file_path", "file_block_start", F.monotonically_increasing_id())
+        rows = decode_lines(batch.select("value", place.alias("_at")), TRANSACTION, keep=("_at",))
+        merge_transactions(tables, booked(rows, F.lit(account_id), keep=("_at",)), F.col("_at"))
 
-    stream = spark.readStream.text(folder)
+    # order of arrival: file by file, and within a file by block and place; a task reads a block's lines in order
+    stream = spark.readStream.text(folder).select("value", "_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start")
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def load_accounts(spark: SparkSession, path: str, tables: Snapshots, day=None) -> int:
+def load_accounts(spark: SparkSession, path: str, tables: Snapshots, institute: str, day=None) -> int:
     """Accounts and balances of one response file; the number of balances read."""
     page = spark.read.schema(f"values array<{ACCOUNT_BALANCE.simpleString()}>").option("multiLine", True).option("mode", "FAILFAST").json(path)
-    balances = page.select(F.explode("values").alias("v")).select("v.*")
-    merge_balances(tables, balances, F.struct(F.col("account_id")), day)
+    balances = page.select(F.posexplode("values").alias("_at", "v")).select("v.*", "_at")
+    merge_balances(tables, balances, institute, day)
     return balances.count()

@@ -101,3 +101,66 @@ def test_stream_is_idempotent(spark, tmp_path):
     run("second")
     run("second")
     assert sorted((r.reference, r.account_id, r.amount) for r in store.read("account_transactions").collect()) == [("1", "first", 7.0), ("2", "second", 7.0)]
+
+
+def test_no_line_feed_slips_through(spark):
+    df = spark.createDataFrame([("1.5\n", "2025-01-02\n")], "n string, d string")
+    row = df.select(C.parse_or_zero(F.col("n")).alias("n"), C.try_date(F.col("d")).alias("d")).first()
+    assert row.n == 0.0 and row.d is None
+
+
+def test_last_delivery_wins_in_order_of_arrival(spark, tmp_path):
+    store = tables.Snapshots(spark, str(tmp_path / "tables"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.ndjson").write_text("\n".join(json.dumps(_document("1", v)) for v in ("100", "7")) + "\n")
+    (tmp_path / "in" / "2.ndjson").write_text(json.dumps(_document("2", "9")) + "\n" + json.dumps(_document("2", "3")) + "\n")
+    ingest.import_transactions(spark, str(tmp_path / "in"), store, str(tmp_path / "checkpoint"), "a").awaitTermination()
+    assert {r.reference: r.amount for r in store.read("account_transactions").collect()} == {"1": 7.0, "2": 3.0}
+
+
+def test_a_version_counts_once_its_marker_is_there(spark, tmp_path):
+    store = tables.Snapshots(spark, str(tmp_path))
+    rows = lambda n: spark.createDataFrame([(i, "c", "s") for i in range(n)], tables.TABLES["categories"][0])
+    assert store.read("categories").count() == 0
+    store.write("categories", rows(1))
+    store.write("categories", rows(2))
+    rows(9).write.parquet(str(tmp_path / "categories" / "broken"))  # a writer that stopped before its marker
+    assert store.read("categories").count() == 2
+    for k in range(9):
+        store.write("categories", rows(k))
+    assert store.read("categories").count() == 8  # the tenth comes after the ninth
+
+
+def test_stored_ids_stay(spark):
+    pairs = lambda *names: spark.createDataFrame([(n, "x") for n in names], "category string, subcategory string")
+    first = categorize.category_dim(pairs("b", "c"))
+    assert sorted(tuple(r) for r in categorize.category_dim(pairs("a", "b", "d"), first).collect()) == [(1, "b", "x"), (2, "c", "x"), (3, "a", "x"), (4, "d", "x")]
+
+
+def test_replace_keeps_the_tables_columns(spark):
+    table = spark.createDataFrame([("x", 1)], "k string, v int")
+    assert merge.replace(table, _batch(spark, [("x", "a", 2, 1)]), KEYS, F.col("n")).columns == ["k", "v"]
+
+
+def test_balances_in_order(spark, tmp_path):
+    value = lambda i, v: {"account": {"iban": i, "bic": "b", "accountId": i, "accountDisplayId": f"d{v}", "accountType": {"text": "t"}}, "accountId": i, "balance": {"value": v, "unit": "EUR"}}
+    (tmp_path / "page.json").write_text(json.dumps({"values": [value("a", "5"), value("b", "1"), value("a", "2")], "paging": {"index": 0, "matches": 3}}))
+    store = tables.Snapshots(spark, str(tmp_path / "tables"))
+    assert ingest.load_accounts(spark, str(tmp_path / "page.json"), store, "Bank", F.lit("2025-01-01").cast("date")) == 3
+    assert {r.account_id: r.amount for r in store.read("account_balance").collect()} == {"a": 5.0, "b": 1.0}
+    assert {(r.account_id, r.display_id, r.institute) for r in store.read("account").collect()} == {("a", "d5", "Bank"), ("b", "d1", "Bank")}
+
+
+def test_accounts_of_a_table(spark):
+    accounts = spark.createDataFrame([("one",), ("rest",), (None,), ("empty",)], "account_id string")
+    rows = paged.transactions_of(accounts, {"client": "fake_bank:bank"}).collect()
+    assert sorted((r.account_id, json.loads(r.value)["reference"]) for r in rows) == sorted([("one", f"one-{k}") for k in range(3)] + [("rest", f"rest-{k}") for k in range(7)])
+
+
+def test_one_or_fail(spark):
+    two = spark.createDataFrame([("x", 1), ("x", 2)], "k string, v int")
+    assert merge.first_or_fail(two, F.col("v")).first().v == 1
+    for bad in (lambda: merge.first_or_fail(two.limit(0), F.col("v")).collect(), lambda: merge.exactly_one(two, KEYS).collect()):
+        with pytest.raises(Exception):
+            bad()
+    assert two.select(C.random_id().alias("u")).distinct().count() == 2
