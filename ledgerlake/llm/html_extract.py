@@ -1,17 +1,17 @@
 """HTML extraction: parser events, text-to-tag ratios, Gaussian smoothing, threshold clusters (operator 5).
 
 The standard library's streaming parser splits a page into lines of text (one for each block
-element). Each line has a ratio of its characters to its tags; the smoothed ratios above their mean
-form clusters, and the clusters choose the content region: the element that holds nearly all their
-text. Lines of that region, and those around it up to the next menu, notice or the like, are the result,
-without the lines of these.
+element). Each line has a ratio of its characters to its tags, nothing for lines that are mostly links;
+the smoothed ratios that reach a threshold form clusters. The clusters choose the content region, the
+element that holds nearly all their text, and they decide on the doubtful lines: runs of linked lines and
+marked elements in it. What stands around the region goes on up to the next menu, notice or the like.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
 import numpy as np
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose text is never content, and those that end where a block of the second kind begins.
+#: Elements whose text is never content, but for the header of an article.
 DROPPED = frozenset("nav header footer aside form script style noscript template head title menu button select option textarea iframe object svg canvas dialog math audio video".split())
-ENDS_P = BLOCKS - {"html", "body"}
 #: Whole classes, ids and roles (- and _ alike) that mark an element as something else than the article.
 MARKS = frozenset(
     "ad ads adbox ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored sponsored-content promo promos promotion promotions promoted"
@@ -37,6 +36,10 @@ HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Dropped elements around which a text goes on.
 PASSED = frozenset("script style noscript template title button select option textarea iframe object svg canvas math audio video".split())
 CONTAINERS = frozenset("article main section div body td blockquote center details".split())
+NAMED = frozenset(("article", "main"))
+#: What an end tag that isn't of a block doesn't reach across, and what ends a search for an open item of a list or table.
+BOUNDS = frozenset("body article main table".split())
+ITEMS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "td": ("table",), "th": ("table",), "tr": ("table",)}
 #: Width of the smoothing window to each side, and its standard deviation, in lines.
 RADIUS, SIGMA = 2, 1.0
 #: Share of the clusters' text that the content region must hold.
@@ -45,38 +48,79 @@ HELD = 0.9
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(tag: str, attrs: list, inside: bool) -> bool:
-    """Whether a class, id or role is one of MARKS. The id of a heading, or of a section inside an article, names its text."""
-    named = tag in HEADINGS or inside and tag == "section"
-    return any(t.replace("_", "-") in MARKS for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not named) for t in v.lower().split())
+@dataclass
+class Page:
+    """Elements by number (0: the page): parent, tag, whether dropped, nearest marked one at or above it, whether in an article or main, whether in a heading; and lines."""
 
+    parent: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    dropped: list[bool] = field(default_factory=lambda: [False])
+    mark: list[int] = field(default_factory=lambda: [0])
+    named: list[bool] = field(default_factory=lambda: [False])
+    heading: list[bool] = field(default_factory=lambda: [False])
+    text: list[str] = field(default_factory=list)
+    tags: list[int] = field(default_factory=list)
+    linked: list[int] = field(default_factory=list)
+    at: list[int] = field(default_factory=list)
 
-class _Lines(HTMLParser):
-    """Lines of text with the count of tags since the last line, link characters, path of open elements, and whether they are dropped.
 
-    ``marked`` has the numbers of the elements that only their marks drop; the lines in them aren't dropped here.
-    """
+class _Reader(HTMLParser):
+    """Fills a Page. Open elements stand on a stack, with their places by tag, so that no event walks down it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []
-        self.lines: list[tuple[str, int, int, tuple[int, ...], bool]] = []
-        self.kinds: list[str] = [""]
-        self.marked: set[int] = set()
+        self.page = Page()
+        self.stack: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.bounds: list[int] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.made = 0
-        self.in_link = 0
+        self.tags = self.linked = 0
 
-    def _close_line(self) -> None:
+    def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.lines.append((text, self.tags, self.linked, tuple(e[1] for e in self.stack), bool(self.stack) and self.stack[-1][2]))
+            p = self.page
+            p.text.append(text)
+            p.tags.append(self.tags)
+            p.linked.append(self.linked)
+            p.at.append(self.stack[-1] if self.stack else 0)
             self.tags = 0
         self.parts, self.linked = [], 0
 
-    def _pop_to(self, k: int) -> None:
-        del self.stack[k:]
-        self.in_link = sum(e[0] == "a" for e in self.stack)
+    def _open(self, tag: str, attrs: list) -> None:
+        p, above = self.page, self.stack[-1] if self.stack else 0
+        inside = p.named[above]
+        dropped = p.dropped[above] or tag in DROPPED and not (tag == "header" and inside)
+        mark = p.mark[above]
+        if not dropped and tag not in ("html", "body", *NAMED):
+            dropped = any(a == "hidden" or (a == "aria-hidden" and v == "true") for a, v in attrs)
+            # the id of a heading, or of a section inside an article, names its text
+            own = tag in HEADINGS or inside and tag == "section"
+            if any(t.replace("_", "-") in MARKS for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not own) for t in v.lower().split()):
+                mark = len(p.tag)
+        self.stack.append(len(p.tag))
+        for values, value in ((p.parent, above), (p.tag, tag), (p.dropped, dropped), (p.mark, mark), (p.named, inside or tag in NAMED), (p.heading, p.heading[above] or tag in HEADINGS)):
+            values.append(value)
+        place = len(self.stack) - 1
+        self.places.setdefault(tag, []).append(place)
+        if tag in BLOCKS:
+            self.blocks.append(place)
+        if tag in BOUNDS:
+            self.bounds.append(place)
+
+    def _place(self, tag: str) -> int:
+        found = self.places.get(tag)
+        return found[-1] if found else -1
+
+    def _close_from(self, place: int) -> None:
+        while len(self.stack) > place:
+            tag = self.page.tag[self.stack.pop()]
+            self.places[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -84,34 +128,13 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
             return
         if tag in BLOCKS or tag in DROPPED:
-            self._close_line()
-        if tag in ENDS_P:
-            for k in range(len(self.stack) - 1, -1, -1):
-                name = self.stack[k][0]
-                if name == "p":
-                    self._pop_to(k)
-                    break
-                if name in BLOCKS:
-                    break
-        if tag in ("li", "td", "th", "tr", "dd", "dt", "option"):
-            stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",)}.get(tag, ("table",))
-            for k in range(len(self.stack) - 1, -1, -1):
-                if self.stack[k][0] == tag:
-                    self._pop_to(k)
-                    break
-                if self.stack[k][0] in stop:
-                    break
-        if tag in VOID:
-            return
-        dropped = (bool(self.stack) and self.stack[-1][2]) or tag in DROPPED
-        if not dropped and tag not in ("html", "body", "article", "main"):
-            dropped = any(a == "hidden" or (a == "aria-hidden" and v == "true") for a, v in attrs)
-            if not dropped and _marked(tag, attrs, any(e[0] in ("article", "main") for e in self.stack)):
-                self.marked.add(self.made + 1)
-        self.made += 1
-        self.kinds.append(tag)
-        self.stack.append((tag, self.made, dropped))
-        self.in_link += tag == "a"
+            self.end_line()
+        if tag in BLOCKS and tag not in ("html", "body") and self.blocks and self.blocks[-1] == self._place("p"):
+            self._close_from(self.blocks[-1])
+        if tag in ITEMS and self._place(tag) > max(map(self._place, ITEMS[tag])):
+            self._close_from(self._place(tag))
+        if tag not in VOID:
+            self._open(tag, attrs)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,29 +144,23 @@ class _Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCKS or tag in DROPPED:
-            self._close_line()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                self._pop_to(k)
-                break
-            if self.stack[k][0] in ("body", "article", "main", "table") and tag not in BLOCKS:
-                break
+            self.end_line()
+        place = self._place(tag)
+        if place >= 0 and (tag in BLOCKS or not self.bounds or self.bounds[-1] <= place):
+            self._close_from(place)
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
-        if self.in_link:
-            self.linked += len(data)
+        if self.places.get("a"):
+            self.linked += len(data.strip())
 
 
-def read_lines(html: str) -> tuple[list[tuple[str, int, int, tuple[int, ...], bool]], list[str]]:
-    """Lines of a page, those in marked elements dropped, and the tag of each element by its number."""
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser._close_line()
-    gone = parser.marked - _holding(parser.lines, parser.kinds, parser.marked)
-    lines = [(t, tags, linked, path, dropped or not gone.isdisjoint(path)) for t, tags, linked, path, dropped in parser.lines] if gone else parser.lines
-    return lines, parser.kinds
+def read_page(html: str) -> Page:
+    reader = _Reader()
+    reader.feed(html)
+    reader.close()
+    reader.end_line()
+    return reader.page
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -159,67 +176,97 @@ def clusters(ratios: np.ndarray) -> np.ndarray:
     return s >= s.mean() - 0.5 * s.std()
 
 
-def _holding(lines: list[tuple[str, int, int, tuple[int, ...], bool]], kinds: list[str], marked: set[int]) -> set[int]:
-    """Marked elements that stay: those with over half the text of the page's clusters, but for those beside an article or main.
+def _picked(page: Page, lines: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """For these lines, whether they are in a cluster. Links count for nothing in a ratio."""
+    ratios = np.array([0.0 if links[k] else len(page.text[k]) / max(1, page.tags[k]) for k in lines.tolist()])
+    return clusters(ratios) if len(lines) else np.zeros(0, bool)
 
-    An article or main with text of its own, outside the element, makes it what its mark says.
-    """
-    open_ = [x for x in lines if not x[4]] if marked else []
-    if not open_:
-        return set()
-    held = Counter()
-    picked = set(np.flatnonzero(picked_lines(open_)).tolist())
-    total = sum(len(open_[k][0]) for k in picked)
-    for k in picked:
-        held.update(dict.fromkeys(marked.intersection(open_[k][3]), len(open_[k][0])))
-    big = {e for e, n in held.items() if 2 * n > total}
-    named = [path for _, _, _, path, _ in open_ if any(kinds[e] in ("article", "main") for e in path) and (marked - big).isdisjoint(path)]
-    return {e for e in big if all(e in path for path in named)}
+
+def _below(page: Page, amounts: np.ndarray) -> np.ndarray:
+    """The sum of the lines' amounts for each element, those below it included (a child has a greater number)."""
+    total = np.bincount(np.array(page.at, np.int64), weights=amounts, minlength=len(page.tag)).tolist()
+    for e in range(len(total) - 1, 0, -1):
+        total[page.parent[e]] += total[e]
+    return np.array(total)
 
 
-def picked_lines(lines: list[tuple[str, int, int, tuple[int, ...], bool]]) -> np.ndarray:
-    return clusters(np.array([len(t) / max(1, tags) for t, tags, *_ in lines], float))
+def _holds(page: Page, region: int) -> np.ndarray:
+    """For each line, whether it is in this element."""
+    inside = [region == 0]
+    for e in range(1, len(page.tag)):
+        inside.append(e == region or inside[page.parent[e]])
+    return np.array(inside)[np.array(page.at, np.int64)]
 
 
-def content_region(lines: list[tuple[tuple[int, ...], int]], picked: set[int], kinds: list[str]) -> int:
-    """Number of the content element, 0: the whole page. lines: path of elements and size of each.
+def content_region(page: Page, open_: np.ndarray, picked: np.ndarray) -> int:
+    """Number of the content element, 0: the whole page, for the lines that aren't dropped and those in clusters.
 
-    Of the containers that hold HELD of the picked lines' text, the outermost article or main;
-    else the innermost with two lines or more.
+    Of the containers that hold HELD of the clusters' text, the outermost article or main; else the
+    innermost with two lines or more.
     """
-    held, count = Counter(), Counter()
-    for k, (path, n) in enumerate(lines):
-        for e in path:
-            count[e] += 1
-            held[e] += n * (k in picked)
-    need = HELD * sum(lines[k][1] for k in picked)
-    full = [e for e, n in held.items() if n >= need and kinds[e] in CONTAINERS]
-    named = [e for e in full if kinds[e] in ("article", "main")]
+    sizes = np.array([len(t) for t in page.text], float)
+    held, count = _below(page, sizes * picked), _below(page, open_.astype(float))
+    full = [e for e in np.flatnonzero(held >= HELD * (sizes * picked).sum()).tolist() if e and page.tag[e] in CONTAINERS]
+    named = [e for e in full if page.tag[e] in NAMED]
     return min(named) if named else max((e for e in full if count[e] > 1), default=0)  # an inner element opens later
 
 
-def _is_links(line: tuple[str, int, int, tuple[int, ...], bool], kinds: list[str]) -> bool:
-    """Over half of it in links, outside an article and no heading."""
-    return 2 * line[2] > len(line[0]) and not any(kinds[e] in ("article", "main") or kinds[e] in HEADINGS for e in line[3])
+def _kept_marks(page: Page, open_: np.ndarray, links: np.ndarray) -> set[int]:
+    """Marked elements that stay: those with over half of the clusters' text, if no article or main has text outside marked ones."""
+    marks, at = np.array(page.mark, np.int64), np.array(page.at, np.int64)
+    lines = np.flatnonzero(open_)
+    if not marks[at[lines]].any():
+        return set()
+    picked = np.zeros(len(open_), bool)
+    picked[lines] = _picked(page, lines, links)
+    sizes = np.array([len(t) for t in page.text], float) * picked
+    if any(page.named[e] and not marks[e] for e in at[lines].tolist()):
+        return set()
+    held = _below(page, sizes)
+    return {e for e in set(marks.tolist()) - {0} if 2 * held[e] > sizes.sum()}
 
 
 def extract(html: str | None) -> str:
     """Content lines of a page, joined by line feeds."""
-    found, kinds = read_lines(html or "")
-    kept = [not x[4] and not _is_links(x, kinds) for x in found]
-    lines = [x for x, ok in zip(found, kept, strict=True) if ok]
-    if not lines:
+    page = read_page(html or "")
+    at = np.array(page.at, np.int64)
+    if not len(at):
+        return ""
+    dropped, named, heading, mark = (np.array(x)[at] for x in (page.dropped, page.named, page.heading, page.mark))
+    links = np.array([2 * n > len(t) for n, t in zip(page.linked, page.text, strict=True)]) & ~named & ~heading
+    stay = _kept_marks(page, ~dropped, links)
+    gone = [False]
+    for e in range(1, len(page.tag)):
+        gone.append(gone[page.parent[e]] or page.mark[e] == e and e not in stay)
+    open_ = ~dropped & ~np.array(gone)[at]
+    if not open_.any():
+        return ""
+    lines = np.flatnonzero(open_)
+    picked = np.zeros(len(at), bool)
+    picked[lines] = _picked(page, lines, links)
+    text = picked & ~links
+    region = content_region(page, open_, text if text.any() else open_)
+    inside = np.flatnonzero(_holds(page, region) & open_)
+    if not len(inside):
         return ""
-    picked = set(np.flatnonzero(picked_lines(lines)).tolist())
-    region = content_region([(path, len(t)) for t, _, _, path, _ in lines], picked or set(range(len(lines))), kinds)
-    inside = [not region or region in x[3] for x in found]
-    first, last = inside.index(True), len(inside) - 1 - inside[::-1].index(True)
-    fence = lambda k: not kept[k] and not (found[k][4] and any(kinds[e] in PASSED for e in found[k][3]))
-    while first and not fence(first - 1):
+    # a run of linked lines is the text's own where smoothing from both sides carries its cluster over it
+    menu, k = np.zeros(len(at), bool), 0
+    while k < len(lines):
+        end = k
+        while end < len(lines) and links[lines[end]]:
+            end += 1
+        run = lines[k:end]
+        menu[run] = not (k > 0 and end < len(lines) and picked[run].all() and inside[0] < lines[k] and lines[end - 1] < inside[-1]) if len(run) else False
+        k = max(end, k + 1)
+    kept = open_ & ~menu
+    passed = np.array([t in PASSED for t in page.tag])[at]
+    fence = menu | ~open_ & ~passed
+    first, last = int(inside[0]), int(inside[-1])
+    while first and not fence[first - 1]:
         first -= 1
-    while last + 1 < len(found) and not fence(last + 1):
+    while last + 1 < len(at) and not fence[last + 1]:
         last += 1
-    return "\n".join(found[k][0] for k in range(first, last + 1) if kept[k])
+    return "\n".join(page.text[k] for k in range(first, last + 1) if kept[k])
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -227,8 +274,8 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
 
     A null or empty page, and one without content, has empty text. A page of plain text is one
     line. Repeated rows and equal or null keys give a row each. Other columns are left out. No rows
-    in, none out. Outside an article or main, a line with over half its characters in links counts as a
-    menu's unless it is a heading.
+    in, none out. Outside an article or main, runs of lines with over half their characters in links
+    count as a menu's, unless they are headings or in the midst of a cluster.
     """
 
     @F.arrow_udf("string")
