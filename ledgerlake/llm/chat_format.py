@@ -17,30 +17,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialised
+from .common import materialised, stored
 
 _CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("odd", pa.string())])
 _TOOL = pa.struct([("name", pa.string()), ("schema", pa.string())])
-_PARSED = pa.struct([("content", pa.string()), ("calls", pa.list_(_CALL)), ("result_id", pa.string()), ("result", pa.string()), ("tools", pa.list_(_TOOL))])
+_PARSED = pa.struct([("content", pa.string()), ("shown", pa.string()), ("calls", pa.list_(_CALL)), ("result_id", pa.string()), ("result", pa.string()), ("tools", pa.list_(_TOOL))])
 #: Calls of a message as they are written: in topological order, with errors and result.
 CALLS = "array<struct<id: string, name: string, arguments: string, level: int, errors: array<string>, result: string, odd: string>>"
-_PARSED_SQL = "struct<content: string, calls: array<struct<id: string, name: string, arguments: string, after: array<string>, odd: string>>, result_id: string, result: string, tools: array<struct<name: string, schema: string>>>"
+#: Deepest nesting of a message; conversations with up to so many calls and links are ordered in one task each.
+DEPTH, IN_ONE_TASK = 200, 100_000
+_PARSED_SQL = "struct<content: string, shown: string, calls: array<struct<id: string, name: string, arguments: string, after: array<string>, odd: string>>, result_id: string, result: string, tools: array<struct<name: string, schema: string>>>"
+
+
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def escaped(text: str) -> str:
+    """Half a surrogate pair, which no UTF-8 has, as its JSON escape."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+    return escaped(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if value in (float("inf"), float("-inf")):
+        raise ValueError(text)
+    return value
 
 
 def _strict(text: str) -> object:
+    """A JSON value; numbers beyond a double, NaN and nesting over DEPTH are errors."""
+
     def refuse(name: str) -> None:
         raise ValueError(name)
 
-    return json.loads(text, parse_constant=refuse)
+    value = json.loads(text, parse_constant=refuse, parse_float=_finite)
+    level = [value]
+    for _ in range(DEPTH):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            return value
+    raise ValueError("nesting")
+
+
+def _is_text(value: object) -> bool:
+    return isinstance(value, str) and _LONE.search(value) is None
 
 
 def parse_message(role: str | None, text: str | None) -> dict:
-    """Parts of a message. What isn't a JSON object with the keys of its role is plain content."""
-    plain = {"content": text, "calls": [], "result_id": None, "result": None, "tools": []}
+    """Parts of a message. What isn't a JSON object with the keys of its role is plain content; shown: content from JSON, as JSON."""
+    plain = {"content": text, "shown": None, "calls": [], "result_id": None, "result": None, "tools": []}
     if text is None or role not in ("system", "assistant", "tool") or not text.lstrip().startswith("{"):
         return plain
     try:
@@ -48,12 +77,12 @@ def parse_message(role: str | None, text: str | None) -> dict:
     except (ValueError, RecursionError):
         return plain
     content = data.get("content")
-    shown = content if content is None or isinstance(content, str) else canonical(content)
-    if role == "tool" and isinstance(data.get("tool_call_id"), str):
+    shown = canonical(content if content is None or isinstance(content, str) else canonical(content))
+    if role == "tool" and _is_text(data.get("tool_call_id")):
         return plain | {"content": None, "result_id": data["tool_call_id"], "result": canonical(content)}
     if role == "system" and isinstance(data.get("tools"), list):
         tools = [t.get("function", t) for t in data["tools"] if isinstance(t, dict) and isinstance(t.get("function", t), dict)]
-        return plain | {"content": shown, "tools": [{"name": t["name"], "schema": canonical(t.get("parameters", {}))} for t in tools if isinstance(t.get("name"), str)]}
+        return plain | {"content": None, "shown": shown, "tools": [{"name": t["name"], "schema": canonical(t.get("parameters", {}))} for t in tools if _is_text(t.get("name"))]}
     if role == "assistant" and isinstance(data.get("tool_calls"), list):
         calls = []
         for c in data["tool_calls"]:
@@ -67,10 +96,10 @@ def parse_message(role: str | None, text: str | None) -> dict:
                     arguments = _strict(arguments)
                 except (ValueError, RecursionError):
                     pass  # stays a string, which no object schema takes
-            after = [a for a in c.get("depends_on", []) if isinstance(a, str)] if isinstance(c.get("depends_on", []), list) else []
-            own = isinstance(c.get("id"), str)
-            calls.append({"id": c["id"] if own else None, "odd": None if own else canonical(c.get("id")), "name": f.get("name") if isinstance(f.get("name"), str) else None, "arguments": canonical(arguments), "after": sorted(set(after))})
-        return plain | {"content": shown, "calls": calls}
+            after = [a for a in c.get("depends_on", []) if _is_text(a)] if isinstance(c.get("depends_on", []), list) else []
+            own = _is_text(c.get("id"))
+            calls.append({"id": c["id"] if own else None, "odd": None if own else canonical(c.get("id")), "name": f.get("name") if _is_text(f.get("name")) else None, "arguments": canonical(arguments), "after": sorted(set(after))})
+        return plain | {"content": None, "shown": shown, "calls": calls}
     return plain
 
 
@@ -141,16 +170,16 @@ def _violations(arguments: pa.Array, schemas: pa.Array) -> pa.Array:
     rows = []
     for a, s in zip(arguments.to_pylist(), schemas.to_pylist(), strict=True):
         try:
-            rows.append(["tool: unknown"] if s is None else violations(json.loads(a), json.loads(s)))
-        except (TypeError, ValueError, re.error) as e:
+            rows.append(["tool: unknown"] if s is None else [escaped(v) for v in violations(json.loads(a), json.loads(s))])
+        except (AttributeError, TypeError, ValueError, RecursionError, re.error) as e:
             rows.append([f"schema: {type(e).__name__}"])
     return pa.array(rows, pa.list_(pa.string()))
 
 
-def _message(role: pa.Array, turn: pa.Array, content: pa.Array, calls: pa.Array, result_id: pa.Array, linked: pa.Array) -> pa.Array:
+def _message(role: pa.Array, turn: pa.Array, content: pa.Array, shown: pa.Array, calls: pa.Array, result_id: pa.Array, linked: pa.Array) -> pa.Array:
     rows = []
-    for r, t, c, cs, i, ok in zip(*(x.to_pylist() for x in (role, turn, content, calls, result_id, linked)), strict=True):
-        out = {"role": r, "turn": t, "content": c}
+    for r, t, c, j, cs, i, ok in zip(*(x.to_pylist() for x in (role, turn, content, shown, calls, result_id, linked)), strict=True):
+        out = {"role": r, "turn": t, "content": c if j is None else json.loads(j)}
         if cs:
             order = sorted(cs, key=lambda x: (x["level"] is None, x["level"] or 0, x["id"] is None, x["id"] or "", x["odd"] or "", x["name"] or "", x["arguments"]))
             out["tool_calls"] = [
@@ -162,11 +191,49 @@ def _message(role: pa.Array, turn: pa.Array, content: pa.Array, calls: pa.Array,
     return pa.array(rows, pa.string())
 
 
+def levels_of(after: dict[str, list[str]]) -> dict[str, int | None]:
+    """Level of each call by what it builds on: 0 without a known call to build on, else one above the highest. In or behind a cycle: None."""
+    out: dict[str, int | None] = dict.fromkeys(after)
+    behind, open_ = {i: [] for i in after}, {}
+    for i, on in after.items():
+        known = {x for x in on if x in after}
+        open_[i] = len(known)
+        for x in known:
+            behind[x].append(i)
+    ready = [i for i, n in open_.items() if not n]
+    for i in ready:
+        out[i] = 0
+    while ready:
+        fresh = []
+        for x in ready:
+            for i in behind[x]:
+                out[i] = max(out[i] or 0, out[x] + 1)
+                open_[i] -= 1
+                if not open_[i]:
+                    fresh.append(i)
+        ready = fresh
+    return {i: None if open_[i] else level for i, level in out.items()}
+
+
 def call_levels(calls: DataFrame) -> DataFrame:
-    """conv, id and level of calls (conv, id, after): 0 without a known call to build on, else one above the highest. In or behind a cycle: null.
+    """conv, id and level (levels_of) of calls (conv, id, after).
 
-    A round for each level, so as many as the longest chain has calls.
+    A conversation of up to IN_ONE_TASK calls and links is ordered by one task; larger ones by a
+    round of joins for each level, so that none is gathered in one place.
     """
+    size = calls.groupBy("conv").agg(F.sum(1 + F.size("after")).alias("size"))
+    marked, told = stored(calls.join(size, "conv").withColumn("large", F.col("size") > IN_ONE_TASK), large=F.col("size") > IN_ONE_TASK)
+
+    def order(rows: pa.Table) -> pa.Table:
+        found = levels_of(dict(zip(rows["id"].to_pylist(), rows["after"].to_pylist(), strict=True)))
+        return pa.table({"conv": rows["conv"], "id": rows["id"], "level": pa.array([found[i] for i in rows["id"].to_pylist()], pa.int32())})
+
+    kind = calls.schema["conv"].dataType.simpleString()
+    small = marked.where("not large").select("conv", "id", "after").groupBy("conv").applyInArrow(order, f"conv {kind}, id string, level int")
+    return small if not told["large"] else small.union(_levels_by_rounds(marked.where("large")))
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
     ids = calls.select("conv", "id")
     edges = calls.select("conv", "id", F.explode("after").alias("on")).join(ids.select("conv", F.col("id").alias("on")), ["conv", "on"])
     edges = materialised(edges)
@@ -177,10 +244,9 @@ def call_levels(calls: DataFrame) -> DataFrame:
         known = edges.join(levels.select("conv", F.col("id").alias("on"), "level"), ["conv", "on"], "left")
         ready = known.groupBy("conv", "id").agg(F.max("level").alias("top"), F.sum(F.col("level").isNull().cast("int")).alias("open")).where("open = 0")
         fresh = ready.join(levels.select("conv", "id"), ["conv", "id"], "left_anti").select("conv", "id", (F.col("top") + 1).alias("level"))
-        grown = materialised(levels.union(fresh))
-        if grown.where(F.col("level") == depth).limit(1).count() == 0:
+        levels, told = stored(levels.union(fresh), new=F.col("level") == depth)
+        if not told["new"]:
             return ids.join(levels, ["conv", "id"], "left")
-        levels = grown
 
 
 def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -193,20 +259,23 @@ def format_chats(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     and has the error 'id: type'. What a call builds on is the last call of that identifier before or in
     its turn, else the first after it. Null and empty texts are content as they are; null
     conversations hold messages that link with nothing. Repeated messages give a row each. Tool
-    definitions: the first by turn of a name. Other columns are left out. No rows in, none out.
+    definitions: the first by turn of a name. Numbers beyond a double and nesting over DEPTH make a text plain
+    content; half a surrogate pair is written as its escape, and an identifier or name with one is no text. Other
+    columns are left out. No rows in, none out.
     """
-    parsed = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), _parse_column(F.col(role), F.col(text)).alias("p"))
-    parsed = parsed.select("conv", "turn", "role", "p.*")
-    special = (F.size("calls") > 0) | F.col("result_id").isNotNull() | (F.size("tools") > 0)
-    rare = materialised(parsed.where(special))
-    plain = parsed.where(~special)
+    slim = messages.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content"))
+    # only what looks like a JSON object is parsed, once
+    special = F.coalesce(F.col("role").isin("system", "assistant", "tool") & F.col("content").rlike(r"^[ \t\r\n]*\{"), F.lit(False))
+    none = F.lit(None).cast("string")
+    plain = slim.where(~special).withColumns({"shown": none, "result_id": none})
+    rare, told = stored(slim.where(special).withColumn("p", _parse_column(F.col("role"), F.col("content"))).select("conv", "turn", "role", "p.*"))
     no_calls = F.array().cast(CALLS)
     shape = lambda df, calls, linked: df.select(
         F.col("conv").alias("conv_id"), "turn", "role", F.coalesce(F.size(calls), F.lit(0)).alias("n_calls"), F.coalesce(F.size(F.filter(calls, lambda c: c["result"].isNotNull())), F.lit(0)).alias("n_linked"),
-        F.coalesce(F.size(F.filter(calls, lambda c: F.size(c["errors"]) > 0)), F.lit(0)).alias("n_invalid"), F.arrow_udf(_message, "string")("role", "turn", "content", calls, "result_id", linked).alias("message"),
+        F.coalesce(F.size(F.filter(calls, lambda c: F.size(c["errors"]) > 0)), F.lit(0)).alias("n_invalid"), F.arrow_udf(_message, "string")("role", "turn", "content", "shown", calls, "result_id", linked).alias("message"),
     )
     done = shape(plain, no_calls, F.lit(False))
-    if rare.limit(1).count() == 0:
+    if not told["rows"]:
         return done
     made = rare.select("conv", "turn", F.explode("calls").alias("c")).select("conv", "turn", "c.*").where("conv is not null and id is not null")
     first = made.groupBy("conv", "id", "turn").agg(F.min(F.struct("name", "arguments", "after")).alias("f")).select("conv", "id", "turn", "f.*")
