@@ -100,6 +100,25 @@ FROM conversations
 """
 
 
+#: crc32 by its rule: a table of 256 entries, then byte by byte. Shards by the greatest first 52 bits of an md5.
+_OP6 = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), texts AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents
+), sums AS (
+  SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM texts, crc_table
+), bids AS (
+  SELECT doc_id, s, substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || s), 1, 13) AS bid FROM (SELECT DISTINCT doc_id FROM documents), range(25) r(s)
+), won AS (
+  SELECT doc_id, arg_max(s, (bid, s)) FILTER (s < 24) AS shard, arg_max(s, (bid, s)) AS grown_shard FROM bids GROUP BY doc_id
+)
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(doc_id || ' ' || size || ' ' || crc), 1, 3), doc_id, size, crc) - 1 AS slot, grown_shard::INTEGER AS grown_shard
+FROM sums JOIN won USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op8 by all pairs and a recursive closure. op9 for tables without tool messages, which the given ones are."""
-    return {"op8_near_duplicates": _OP8, "op9_chat": _OP9}
+    return {"op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9}

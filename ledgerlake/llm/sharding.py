@@ -26,17 +26,25 @@ def _draw(key: Column, shard: int) -> Column:
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+def best_bid(key: Column, weights: Sequence[float], even: bool, first: int = 0) -> Column:
+    """Struct bid, shard of the highest bid among shards from number ``first`` on; of equal bids the higher number."""
+    bids = [F.struct((_draw(key, s) if even else -float(w) / F.ln(_draw(key, s))).alias("bid"), F.lit(s).alias("shard")) for s, w in enumerate(weights, first)]
+    return F.greatest(*bids) if len(bids) > 1 else bids[0]
+
+
+def _is_even(weights: Sequence[float]) -> bool:
+    if not weights or min(weights) <= 0:
+        raise ValueError("weights must be positive")
+    return min(weights) == max(weights)
+
+
 def winner(key: Column, weights: Sequence[float]) -> Column:
-    """Number of the shard with the highest bid; of equal bids the higher number. Weights must be positive.
+    """Number of the shard with the highest bid. Weights must be positive.
 
     A null key bids as the empty text does. With equal weights the draws themselves are compared,
     which orders them alike and needs no logarithm.
     """
-    if not weights or min(weights) <= 0:
-        raise ValueError("weights must be positive")
-    even = min(weights) == max(weights)
-    bids = [F.struct((_draw(key, s) if even else -float(w) / F.ln(_draw(key, s))).alias("bid"), F.lit(s).alias("shard")) for s, w in enumerate(weights)]
-    return (F.greatest(*bids) if len(bids) > 1 else bids[0])["shard"]
+    return best_bid(key, weights, _is_even(weights))["shard"]
 
 
 def assign_shards(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, shard: str = "shard") -> DataFrame:
@@ -62,8 +70,13 @@ def shard_layout(docs: DataFrame, key: str = "doc_id", text: str = "text", weigh
     # by size and checksum too, so that different texts of one key are spread over the buckets
     alike = F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size"), F.col("text_crc32"))
     bucket = F.conv(F.substring(F.md5(alike.cast("binary")), 1, 3), 16, 10).cast("int")
-    counted = slim.groupBy("doc_id", "size", "text_crc32", "part").agg(F.count("*").alias("n"))
-    placed = materialised(counted.select("*", winner(F.col("doc_id"), weights).alias("shard"), winner(F.col("doc_id"), grown).alias("grown_shard"), bucket.alias("bucket")))
+    # bids are made where rows are read; further shards bid against the best so far
+    same = _is_even(grown) == _is_even(weights) and list(grown[: len(weights)]) == list(weights) and len(grown) > len(weights)
+    bids = slim.withColumn("best", best_bid(F.col("doc_id"), weights, _is_even(weights)))
+    more = F.greatest("best", best_bid(F.col("doc_id"), grown[len(weights) :], _is_even(grown), len(weights)))["shard"] if same else winner(F.col("doc_id"), grown)
+    bids = bids.select("doc_id", "size", "text_crc32", "part", F.col("best.shard").alias("shard"), more.alias("grown_shard"))
+    counted = bids.groupBy("doc_id", "size", "text_crc32", "part", "shard", "grown_shard").agg(F.count("*").alias("n"))
+    placed = materialised(counted.withColumn("bucket", bucket))
     totals = placed.groupBy("shard", "bucket").agg(F.sum("n").alias("rows"))  # shards x BUCKETS rows at most
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
