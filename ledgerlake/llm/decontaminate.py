@@ -12,7 +12,7 @@ distinct shingles) lay beyond it, and more do where one repeated shingle is most
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS, BLOCKS = 64, 20, 7
 #: Items in one broadcast index; a larger benchmark is worked through in so large parts.
-MAX_ITEMS, MAX_ITEM_CHARS = 2_000, 20_000_000
+MAX_ITEMS, MAX_ITEM_CHARS = 20_000, 20_000_000
+#: Pairs of a window and an item that are looked at in one go.
+SLICE_PAIRS = 2_000_000
 
 _WORD = re.compile(r"\w+")
 _SCALE = np.random.default_rng(1).integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
@@ -66,27 +68,53 @@ def _block_values(prints: np.ndarray) -> list[np.ndarray]:
     return [prints[:, a:b] @ (1 << np.arange(b - a)) for a, b in zip(_EDGES[:-1], _EDGES[1:], strict=True)]
 
 
+def _packed(prints: np.ndarray) -> np.ndarray:
+    return np.packbits(prints, axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 @dataclass
 class HammingIndex:
-    """Item fingerprints of one window size, with a table for each block: near[value, item]."""
+    """Item fingerprints of one window size; for each block and value the items whose own value is near it, as starts and items."""
 
     prints: np.ndarray
-    near: list[np.ndarray] = field(default_factory=list)
+    near: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self):
+        self.packed = _packed(self.prints)
         for (a, b), values in zip(zip(_EDGES[:-1], _EDGES[1:], strict=True), _block_values(self.prints), strict=True):
-            apart = np.bitwise_count(np.arange(1 << (b - a), dtype=np.uint16)[:, None] ^ values.astype(np.uint16))
-            self.near.append(apart <= RADIUS // BLOCKS)
+            masks = np.arange(1 << (b - a))
+            masks = masks[np.bitwise_count(masks) <= RADIUS // BLOCKS]
+            probes = (values[:, None] ^ masks).ravel()  # all values near each item's
+            order = np.argsort(probes, kind="stable")
+            starts = np.searchsorted(probes[order], np.arange((1 << (b - a)) + 1))
+            self.near.append((starts, (order // len(masks)).astype(np.int64)))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every (window, item) with at most RADIUS bits between them, and the number of bits."""
-        hit = np.zeros((len(prints), len(self.prints)), bool)
-        for table, values in zip(self.near, _block_values(prints), strict=True):
-            hit |= table[values]
-        w, i = np.nonzero(hit)
-        apart = (prints[w] != self.prints[i]).sum(1)
-        ok = apart <= RADIUS
-        return w[ok], i[ok], apart[ok]
+        n, out = len(self.packed), []
+        step = max(1, SLICE_PAIRS // n)
+        for begin in range(0, len(prints), step):
+            part = prints[begin : begin + step]
+            hit = np.zeros(len(part) * n, bool)
+            for (starts, items), values in zip(self.near, _block_values(part), strict=True):
+                first, count = starts[values], starts[values + 1] - starts[values]
+                ends = np.cumsum(count)
+                at = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+                hit[np.repeat(np.arange(len(part)) * n, count) + items[at]] = True
+            w, i = np.divmod(np.flatnonzero(hit), n)
+            apart = np.bitwise_count(_packed(part)[w] ^ self.packed[i]).astype(np.int64)
+            ok = apart <= RADIUS
+            out.append((w[ok] + begin, i[ok], apart[ok]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+def shared_count(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two bags of numbers, by multiplicity."""
+    x, m = np.unique(a, return_counts=True)
+    y, n = np.unique(b, return_counts=True)
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    same = y[at] == x
+    return int(np.minimum(m[same], n[at[same]]).sum())
 
 
 class ItemIndex:
@@ -102,13 +130,20 @@ class ItemIndex:
         self.size = [len(w) for w in words]
         self.width = [min(shingle, len(w)) for w in words]
         self.shingles = [shingle_hashes(word_hashes(w), k) if k else np.zeros(0, np.uint64) for w, k in zip(words, self.width, strict=True)]
-        self.counts = [Counter(s.tolist()) for s in self.shingles]
-        anchors: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, (w, k) in enumerate(zip(words, self.width, strict=True)):
+        pairs = defaultdict(list)  # by width: shingle and size in words of the item that has it
+        for w, k in zip(words, self.width, strict=True):
             if k:
-                for h in set(shingle_hashes(np.array([self.codes[x] for x in w], np.uint64), k).tolist()):
-                    anchors[k][h].append(i)
-        self.anchors = {k: (np.array(sorted(d), np.uint64), [d[h] for h in sorted(d)]) for k, d in anchors.items()}
+                own = np.unique(shingle_hashes(np.array([self.codes[x] for x in w], np.uint64), k))
+                pairs[k].append((own, np.full(len(own), len(w))))
+        self.anchors = {}
+        for k, found in pairs.items():
+            hashes, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((sizes, hashes))
+            once = np.ones(len(order), bool)
+            once[1:] = (np.diff(hashes[order]) != 0) | (np.diff(sizes[order]) != 0)
+            hashes, sizes = hashes[order][once], sizes[order][once]
+            known, starts = np.unique(hashes, return_index=True)
+            self.anchors[k] = (known, np.append(starts, len(hashes)), sizes)
         by_size = defaultdict(list)
         for i, n in enumerate(self.size):
             if n:
@@ -122,13 +157,13 @@ class ItemIndex:
         """Places of shared shingles in a text, by item size (in words)."""
         codes = np.fromiter((self.codes.get(w, 0) for w in words), np.uint64, len(words))
         places = defaultdict(set)
-        for k, (known, items) in self.anchors.items():
+        for k, (known, first, sizes) in self.anchors.items():
             if len(words) < k:
                 continue
             hashes = shingle_hashes(codes, k)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             for place in np.flatnonzero(known[at] == hashes).tolist():
-                for n in {self.size[i] for i in items[at[place]]}:
+                for n in sizes[first[at[place]] : first[at[place] + 1]].tolist():
                     places[n].add(place)
         return {n: sorted(p) for n, p in places.items()}
 
@@ -153,8 +188,7 @@ class ItemIndex:
                 shingles = shingle_hashes(word_hashes(words[begin:end]), k)
                 for w, i, apart in zip(*index.within(window_prints(shingles, starts, size)), strict=True):
                     item, start = members[i], int(starts[w])
-                    mine = Counter(shingles[start : start + size].tolist())
-                    shared = sum((mine & self.counts[item]).values())
+                    shared = shared_count(shingles[start : start + size], self.shingles[item])
                     similar = shared / (size + len(self.shingles[item]) - shared)
                     if similar >= self.similarity and (item not in best or (similar, -start - begin) > (best[item][4], -best[item][1])):
                         best[item] = (item, begin + start, min(n, len(words)), int(apart), similar)
@@ -195,7 +229,7 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     """A row for each document and item it holds: doc_id, item_id, first_word, n_words, hamming, similarity.
 
     Words are runs of letters, digits and underscores in lower case. Null and empty texts and items
-    match nothing; an item under ``shingle`` words is one shingle, and so is a shorter text. Repeated
+    match nothing; of equally similar windows the first counts; an item under ``shingle`` words is one shingle, and so is a shorter text. Repeated
     documents and equal items give a row each; a null key stays null. Other columns are left out.
     No rows in, none out.
     """
@@ -213,7 +247,11 @@ def contaminations(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+    """The rows of ``docs``, all columns, that hold no item.
+
+    Null and empty texts hold none and stay; a window at exactly the least similarity goes; repeated
+    rows are judged alike. No items keep all rows; no rows in, none out.
+    """
     columns = docs.columns
     name = "_items_in_text"
     while name in columns:
