@@ -71,6 +71,17 @@ def _worth(rule: Rule, x: np.ndarray, bad: np.ndarray) -> float:
     return (bad[hit].sum() - (~bad[hit]).sum()) / max(1, hit.sum())
 
 
+def _pruned(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
+    """The rule without the conditions, whichever they are, that it does as well without on the pruning rows."""
+    while len(rule.conditions) > 1:
+        shorter = [Rule(rule.conditions[:k] + rule.conditions[k + 1 :]) for k in range(len(rule.conditions))]
+        best = max(shorter, key=lambda r: _worth(r, x, bad))
+        if _worth(best, x, bad) < _worth(rule, x, bad):
+            return rule
+        rule = best
+    return rule
+
+
 def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 7, most: int = 12) -> list[Rule]:
     """An ordered list of rules for bad rows; empty where none is precise enough or one class is missing."""
     rules: list[Rule] = []
@@ -84,8 +95,7 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 7, most: int = 12) -
         if not rule.conditions:
             break
         px, pb = x[left & ~grow], bad[left & ~grow]
-        shorter = [Rule(rule.conditions[:k]) for k in range(1, len(rule.conditions) + 1)]
-        rule = max(shorter, key=lambda r: (_worth(r, px, pb), -len(r.conditions)))
+        rule = _pruned(rule, px, pb)
         hit = rule.covers(px)
         if hit.sum() < SUPPORT or pb[hit].mean() < PRECISION:
             break

@@ -66,8 +66,14 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), piece_sampling.load_pieces())
 
 
+def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op3 counts before its rules, for which there is SQL."""
+    counted = quality_rules.apply_quality_rules(read_table(spark, sf_dir, "documents"), [])
+    return counted.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces)}
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, base_text_counts)}
 
 
 _OP8 = r"""
@@ -119,6 +125,24 @@ FROM sums JOIN won USING (doc_id)
 """
 
 
+_BASE = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT row, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM words)
+), again AS (
+  SELECT row, g FROM windows GROUP BY row, g HAVING count(*) > 1
+), covered AS (
+  SELECT row, count(DISTINCT i + k) AS n FROM windows JOIN again USING (row, g), range(3) r(k) GROUP BY row
+), lines AS (
+  SELECT row, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM words
+)
+SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM words JOIN lines USING (row) LEFT JOIN covered USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op8 by all pairs and a recursive closure. op9 for tables without tool messages, which the given ones are."""
-    return {"op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9}
+    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9}
