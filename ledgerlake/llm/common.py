@@ -75,12 +75,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[in
     """
     modulus, remainder = fold
     ids = (
-        labels.select(F.col(key).alias("id"), F.col(label).cast("int").alias("y"))
+        labels.select(F.col(f"`{key}`").alias("id"), F.col(f"`{label}`").cast("int").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & (crc32_mod(F.col("id"), modulus) != remainder))
         .groupBy("id").agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(max_rows)
     )
-    return texts_of(docs.select(F.col(key).alias("id"), F.col(text).alias("text")), ids, max_chars)
+    return texts_of(docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")), ids, max_chars)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:

@@ -106,10 +106,10 @@ def learn_ensemble(x: np.ndarray, y: np.ndarray, seed: int = 11, trees: int = 30
     return RuleEnsemble(tuple(rules[k] for k in keep), tuple(float(w[k]) for k in keep), float(b))
 
 
-def fit_ensemble(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2)) -> RuleEnsemble:
+def fit_ensemble(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2), key: str = "doc_id", text: str = "text", label: str = "quality") -> RuleEnsemble:
     """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
     learn = lambda texts, y: learn_ensemble(feature_matrix(count_batch(pa.array(texts, pa.string()))), np.array(y, int))
-    return learned(training_rows(docs, labels, "quality", fold, MAX_ROWS, MAX_CHARS), learn)
+    return learned(training_rows(docs, labels, label, fold, MAX_ROWS, MAX_CHARS, key, text), learn)
 
 
 def quality_score(model: RuleEnsemble, text: Column) -> tuple[Column, callable]:

@@ -104,10 +104,10 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 7, most: int = 12) -
     return rules
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2)) -> list[Rule]:
+def fit_rules(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2), key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
     """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
     learn = lambda texts, y: learn_rules(feature_matrix(count_batch(pa.array(texts, pa.string()))), np.array(y, int) == 0)
-    return learned(training_rows(docs, labels, "quality", fold, MAX_ROWS, MAX_CHARS), learn)
+    return learned(training_rows(docs, labels, label, fold, MAX_ROWS, MAX_CHARS, key, text), learn)
 
 
 def verdict(rules: list[Rule], features: dict[str, Column]) -> Column:

@@ -266,9 +266,9 @@ def learn_field(texts: list[str], y: np.ndarray) -> Field:
     return field
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0)) -> Field:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
     """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
-    return learned(training_rows(docs, labels, "toxic", fold, MAX_ROWS, MAX_CHARS), learn_field)
+    return learned(training_rows(docs, labels, label, fold, MAX_ROWS, MAX_CHARS, key, text), learn_field)
 
 
 def toxic_spans(text: str, p: np.ndarray, at: float = SPAN_AT) -> list[tuple[int, int]]:

@@ -146,3 +146,13 @@ def test_stages_on_awkward_tables(spark, tmp_path):
         table = docs.select("doc_id", "text", "lang", "source", "n_chars")
         table.write.parquet(str(tmp_path / str(k) / "documents.parquet"))
         assert corpus_pipeline.run(spark, str(tmp_path / str(k))).count() >= 0
+
+
+def test_models_of_other_column_names(spark):
+    rows = [(i, ("idiot clown " if i % 2 else "kind words ") + "of the house and the tree " * 12, i % 2) for i in range(160)]
+    docs = spark.createDataFrame(rows, "`the id` long, body string, bad int")
+    for fit in (quality_model.fit_ensemble, quality_rules.fit_rules, toxicity.fit_toxicity):
+        fit(docs, docs, key="the id", text="body", label="bad")
+    field = toxicity.fit_toxicity(docs, docs, key="the id", text="body", label="bad")
+    told = toxicity.score_toxicity(docs.select(docs["the id"].alias("k"), "body"), field, key="k", text="body").collect()
+    assert all(r.predicted == r.doc_id % 2 for r in told)
