@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,13 +24,14 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never content, but for the header of an article.
 DROPPED = frozenset("nav header footer aside form script style noscript template head title menu button select option textarea iframe object svg canvas dialog math audio video".split())
-#: Whole classes, ids and roles (- and _ alike) that mark an element as something else than the article.
+#: Whole classes, ids and roles (- and _ alike, numbers at the end aside) that mark an element as something else than the article.
 MARKS = frozenset(
     "ad ads adbox ad-box ad-slot ad-unit ad-banner ad-container ad-wrapper advert adverts advertisement advertisements advertising banner banners sponsor sponsors sponsored sponsored-content promo promos promotion promotions promoted"
     " cookie cookies cookie-bar cookie-banner cookie-consent cookie-notice consent consent-banner notice notices newsletter newsletter-signup newsletter-form subscribe popup modal overlay alert"
     " nav navbar nav-bar nav-menu main-nav main-navigation site-nav site-navigation top-nav navigation menu main-menu nav-links breadcrumb breadcrumbs toolbar login signup search search-form search-box"
     " sidebar side-bar sidebar-left sidebar-right left-sidebar right-sidebar side widget widgets related related-posts related-articles related-stories related-links recommended recommended-posts"
     " share sharing share-buttons share-bar social social-share social-links social-media social-icons comment comments comment-list commentlist comments-area comments-section comment-section comment-form replies reply disqus disqus-thread"
+    " user-comments reader-comments post-comments article-comments comments-wrapper comments-container comment-thread comment-body ad-inline inline-ad ad-block adsbygoogle native-ad"
     " footer foot site-footer page-footer masthead siteheader site-header pageheader page-header complementary contentinfo".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
@@ -46,6 +48,9 @@ RADIUS, SIGMA = 2, 1.0
 HELD = 0.9
 
 _SPACE = re.compile(r"\s+")
+_NUMBER = re.compile(r"-?[0-9]+$")
+_COMMENT_END = re.compile(r"-->|(?<!<!)--!>")
+_UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 
 
 @dataclass
@@ -76,6 +81,25 @@ class _Reader(HTMLParser):
         self.bounds: list[int] = []
         self.parts: list[str] = []
         self.tags = self.linked = 0
+        self.unclosed = False
+
+    def read(self, html: str) -> None:
+        """The whole page. A tag, comment or declaration that never ends is dropped with what follows, as in browsers; a search for its end isn't made twice."""
+        end = html.rfind(">") + 1
+        self.feed(html[:end])
+        self.close()
+        if not self.unclosed:
+            self.handle_data(unescape(_UNFINISHED.split(html[end:], maxsplit=1)[0]))
+        self.end_line()
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        found = _COMMENT_END.search(self.rawdata, i + 2)
+        self.unclosed = not found
+        return found.end() if found else len(self.rawdata)
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        """Where <![ ... ends: at the next >, which is there, as the parser is fed up to the last one."""
+        return self.rawdata.index(">", i) + 1
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
@@ -97,7 +121,7 @@ class _Reader(HTMLParser):
             dropped = any(a == "hidden" or (a == "aria-hidden" and v == "true") for a, v in attrs)
             # the id of a heading, or of a section inside an article, names its text
             own = tag in HEADINGS or inside and tag == "section"
-            if any(t.replace("_", "-") in MARKS for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not own) for t in v.lower().split()):
+            if any(_NUMBER.sub("", t.replace("_", "-")) in MARKS for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not own) for t in v.lower().split()):
                 mark = len(p.tag)
         self.stack.append(len(p.tag))
         for values, value in ((p.parent, above), (p.tag, tag), (p.dropped, dropped), (p.mark, mark), (p.named, inside or tag in NAMED), (p.heading, p.heading[above] or tag in HEADINGS)):
@@ -157,9 +181,7 @@ class _Reader(HTMLParser):
 
 def read_page(html: str) -> Page:
     reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    reader.end_line()
+    reader.read(html)
     return reader.page
 
 
@@ -273,7 +295,7 @@ def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html
     """page_id, url, text and n_chars of every page, from the whole html.
 
     A null or empty page, and one without content, has empty text. A page of plain text is one
-    line. Repeated rows and equal or null keys give a row each. Other columns are left out. No rows
+    line. A comment, tag or declaration that never ends goes with what follows it. Repeated rows and equal or null keys give a row each. Other columns are left out. No rows
     in, none out. Outside an article or main, runs of lines with over half their characters in links
     count as a menu's, unless they are headings or in the midst of a cluster.
     """

@@ -53,3 +53,29 @@ def test_open_elements_cost_no_more_than_their_length(tag):
 
 def test_a_tag_that_is_never_closed_at_the_end():
     assert html_extract.extract("<p>one<p>two<b>three</p>four") == "one\ntwothree\nfour"
+
+
+def test_what_never_ends_is_dropped_and_costs_linear_time():
+    for html, text in (
+        ("<article><p>text <a href='x", "text"),
+        ("<article><p>a <!-- b <p>c</p>", "a"),
+        ("<p>1 < 2 and 3 > 2</p>", "1 < 2 and 3 > 2"),
+        ("<p>1 < 2", "1 < 2"),
+        ("<p>a &amp; b &lt", "a & b <"),
+        ("<article><![foo[ x ]]> y</article>", "y"),
+        ("<!--[if !IE]><!--> <p>in</p> <!--<![endif]--><p>out</p>", "in\nout"),
+        ("<p>x<!--> y</p><p>z</p>", "x y\nz"),
+        ("<p>x</p><!DOCTYPE", "x"),
+        ("<script>x", ""),
+    ):
+        assert html_extract.extract(html) == text
+    began = time.perf_counter()
+    for part in ("<a <", "<!--", '<a x="', "</a <", "<![CDATA[", "<!x", "<?"):
+        for end in ("", ">"):
+            html_extract.extract(part * 50_000 + end)
+    assert time.perf_counter() - began < 30
+
+
+def test_numbered_marks():
+    page = "<article><p>{0}</p><div class='ad_3'>Buy</div><li id='comment-12'>Me: {0}</li><p>End.</p></article>".format("A sentence of the article. " * 5)
+    assert html_extract.extract(page).split("\n") == [("A sentence of the article. " * 5).strip(), "End."]
