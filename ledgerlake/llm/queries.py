@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, language, near_dedup, piece_sampling, quality_model, quality_rules, sharding, toxicity
+from . import centroids, chat_format, decontaminate, html_extract, language, near_dedup, piece_sampling, quality_model, quality_rules, sharding, toxicity
 from .common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.sample_segmentations(read_table(spark, sf_dir, "documents"), piece_sampling.load_pieces())
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
 def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 counts before its rules, for which there is SQL."""
     counted = quality_rules.apply_quality_rules(read_table(spark, sf_dir, "documents"), [])
@@ -73,7 +77,7 @@ def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, base_text_counts)}
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, op11_centroids, base_text_counts)}
 
 
 _OP8 = r"""
@@ -143,6 +147,27 @@ FROM words JOIN lines USING (row) LEFT JOIN covered USING (row)
 """
 
 
+def _op11(rounds: int = centroids.ROUNDS) -> str:
+    """Every vector against every centroid, a chain of common tables for each round."""
+    nearest = """a{r} AS MATERIALIZED (
+  SELECT vec_id, v, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+    SELECT k.vec_id, k.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.v[i]) * (k.v[i] - m.v[i]))) AS d FROM kept k, m{r} m) GROUP BY vec_id, v)"""
+    moved = """m{n} AS MATERIALIZED (
+  SELECT m.c, coalesce(f.v, m.v) AS v FROM m{r} m LEFT JOIN (
+    SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS v FROM (
+      SELECT c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c) f USING (c))"""
+    steps = [x.format(r=r, n=r + 1) for r in range(rounds) for x in (nearest, moved)]
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), m0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept ORDER BY 1 LIMIT {centroids.CLUSTERS}
+), {", ".join(steps)}, {nearest.format(r=rounds)}
+SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN m{rounds} m USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op8 by all pairs and a recursive closure. op9 for tables without tool messages, which the given ones are."""
-    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9}
+    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9, "op11_centroids": _op11()}

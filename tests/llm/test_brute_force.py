@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     columns = ", ".join(df.columns)

@@ -1,0 +1,65 @@
+"""kd-tree filtering against plain integer k-means."""
+
+import hashlib
+import math
+
+import numpy as np
+import pytest
+
+from ledgerlake.llm import centroids
+
+
+def _plain(rows, clusters, rounds, components, scale=256):
+    most = centroids.bound(components)
+    kept = [(i, [max(-most, min(most, math.floor(scale * x))) if abs(x) * scale < most else (most if x > 0 else -most) for x in v]) for i, v in rows if v is not None and len(v) == components and all(x is not None and math.isfinite(x) for x in v)]
+    named = sorted(kept, key=lambda r: (hashlib.sha256(f"2:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    means = [v for _, v in named[:clusters]]
+    away = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    near = lambda v: min((away(v, m), c) for c, m in enumerate(means))
+    for _ in range(rounds):
+        own = [near(v)[1] for _, v in kept]
+        means = [[sum(col) // own.count(c) for col in zip(*(v for (_, v), o in zip(kept, own) if o == c))] if c in own else m for c, m in enumerate(means)]
+    found = [(i, near(v)[1], near(v)[0]) for i, v in kept]
+    by = {c: sum(d for _, o, d in found if o == c) for c in range(len(means))}
+    fits = lambda n: n if n < 1 << 63 else None
+    return sorted(((i, c, d, fits(by[c]), fits(sum(by.values())), centroids.digest(means[c])) for i, c, d in found), key=repr)
+
+
+def _got(spark, rows, **more):
+    df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, cluster string").repartition(3)
+    return sorted((tuple(r) for r in centroids.cluster_vectors(df, **more).collect()), key=repr)
+
+
+@pytest.mark.parametrize("spread", [0.02, 1.0])
+def test_equals_plain_rounds(spark, spread):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(6, 5))
+    rows = [(i, (middles[i % 6] + spread * rng.normal(size=5)).tolist()) for i in range(700)]
+    assert _got(spark, rows, components=5, clusters=7, rounds=3, tree=97, leaf=4) == _plain(rows, 7, 3, 5)
+
+
+def test_ties_copies_and_awkward_rows(spark):
+    """Small integers, so that distances tie; copies over several leaves; what isn't a vector of two finite components is left out."""
+    rng = np.random.default_rng(5)
+    rows = [(i, (rng.integers(-2, 3, 2) / 256).tolist()) for i in range(150)] + [(900 + i, [0.5, 0.5]) for i in range(90)] + [(7, [0.1, 0.2]), (7, [0.1, 0.2]), (None, [0.3, 0.1]), (None, [0.3, 0.2])]
+    odd = [(1, None), (2, []), (3, [1.0]), (4, [1.0, None]), (5, [1.0, float("nan")]), (6, [float("inf"), 1.0]), (8, [1.0, 2.0, 3.0])]
+    assert _got(spark, rows + odd, components=2, clusters=9, rounds=4, tree=64, leaf=5) == _plain(rows, 9, 4, 2)
+    assert _got(spark, odd, components=2) == []
+    assert _got(spark, rows[:3], components=2) == _plain(rows[:3], 40, 5, 2)
+
+
+def test_large_components_stay_exact(spark):
+    rows = [(i, [1e300 if i % 3 else -3e9, float(i) * 1e6, 0.5]) for i in range(20)]
+    assert _got(spark, rows, components=3, clusters=3, rounds=2) == _plain(rows, 3, 2, 3)
+
+
+def test_whole_nodes_are_assigned_and_dominated_centroids_pruned():
+    """Four far clumps: all points of a clump are assigned as nodes, without a look at a single point."""
+    rng = np.random.default_rng(1)
+    means = np.array([[0, 0], [9000, 0], [0, 9000], [9000, 9000]])
+    points = np.concatenate([m + rng.integers(-50, 50, (300, 2)) for m in means]).astype(np.int32)
+    tree = centroids.Tree(points, 16)
+    tree.points, seen = np.full_like(tree.points, -1), tree.points  # a leaf resolved by point would land in cluster 0
+    labels, counts, sums = tree.filtered(means)
+    assert counts.tolist() == [300] * 4 and (labels == ((seen[:, 0] > 4500) + 2 * (seen[:, 1] > 4500))).all()
+    assert sums.tolist() == [seen[labels == c].sum(0).tolist() for c in range(4)]
