@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat_format, decontaminate, html_extract, language, near_dedup, piece_sampling, quality_model, quality_rules, sharding, toxicity
+from . import centroids, chat_format, decontaminate, html_extract, language, mixing, near_dedup, piece_sampling, quality_model, quality_rules, sharding, toxicity
 from .common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
+
+
 def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 counts before its rules, for which there is SQL."""
     counted = quality_rules.apply_quality_rules(read_table(spark, sf_dir, "documents"), [])
@@ -77,7 +81,7 @@ def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, op11_centroids, base_text_counts)}
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, op11_centroids, op12_mixing, base_text_counts)}
 
 
 _OP8 = r"""
@@ -147,6 +151,29 @@ FROM words JOIN lines USING (row) LEFT JOIN covered USING (row)
 """
 
 
+#: Sources reach their bound in the order of bound by weight, so the level is found in one pass; rows are sorted by their hash.
+_OP12 = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, left(md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 16) AS mark FROM documents
+), sources AS (
+  SELECT source, n, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM (SELECT source, sum(size)::BIGINT AS n FROM sized GROUP BY source)
+), levels AS (
+  SELECT *, (sum(n) OVER () - coalesce(sum(3 * n) OVER before, 0))::DOUBLE / (sum(w) OVER () - coalesce(sum(w) OVER before, 0))::DOUBLE AS level, row_number() OVER (ORDER BY 3 * n / w, source NULLS LAST) AS k
+  FROM sources WINDOW before AS (ORDER BY 3 * n / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), filled AS (
+  SELECT arg_min(level, k) AS level FROM levels WHERE NOT (3 * n)::DOUBLE < level * w
+), targets AS (
+  SELECT source, n AS source_size, least(coalesce(level, 0) * w, (3 * n)::DOUBLE) AS target FROM sources, filled
+), parts AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS copies FROM targets
+), upto AS (
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.copies, p.target - p.copies * p.source_size AS rest, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.mark ROWS UNBOUNDED PRECEDING) AS upto
+  FROM sized d JOIN parts p ON d.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, (size * (copies + CASE WHEN size > 0 AND rest > 0 AND (upto <= rest OR 2 * (rest - (upto - size)) > size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM upto
+"""
+
+
 def _op11(rounds: int = centroids.ROUNDS) -> str:
     """Every vector against every centroid, a chain of common tables for each round."""
     nearest = """a{r} AS MATERIALIZED (
@@ -170,4 +197,4 @@ FROM a{rounds} JOIN m{rounds} m USING (c)"""
 
 def oracle_sql() -> dict[str, str]:
     """op8 by all pairs and a recursive closure. op9 for tables without tool messages, which the given ones are."""
-    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9, "op11_centroids": _op11()}
+    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9, "op11_centroids": _op11(), "op12_mixing": _OP12}
