@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, chat_format, decontaminate, html_extract, language, mixing, near_dedup, piece_sampling, quality_model, quality_rules, sharding, toxicity
+from . import centroids, chat_format, decontaminate, html_extract, language, mixing, near_dedup, piece_sampling, prefix_trie, quality_model, quality_rules, sharding, toxicity
 from .common import bound_batches, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,6 +74,10 @@ def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read_table(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(read_table(spark, sf_dir, "conversations"))
+
+
 def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op3 counts before its rules, for which there is SQL."""
     counted = quality_rules.apply_quality_rules(read_table(spark, sf_dir, "documents"), [])
@@ -81,7 +85,7 @@ def base_text_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, op11_centroids, op12_mixing, base_text_counts)}
+    return {f.__name__: _bounded(f) for f in (op1_toxicity, op2_decontamination, op3_quality_rules, op4_language, op5_html, op6_sharding, op7_quality, op8_near_duplicates, op9_chat, op10_pieces, op11_centroids, op12_mixing, op13_prefix_trie, base_text_counts)}
 
 
 _OP8 = r"""
@@ -114,11 +118,14 @@ FROM conversations
 """
 
 
-#: crc32 by its rule: a table of 256 entries, then byte by byte. Shards by the greatest first 52 bits of an md5.
-_OP6 = """
+#: crc32 by its rule: a table of 256 entries, then byte by byte.
+_CRC_TABLE = """
 WITH crc_table AS (
   SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
-), texts AS (
+)"""
+
+#: Shards by the greatest first 52 bits of an md5.
+_OP6 = _CRC_TABLE + """, texts AS (
   SELECT doc_id, strlen(coalesce(text, '')) + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents
 ), sums AS (
   SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS crc FROM texts, crc_table
@@ -195,6 +202,31 @@ SELECT vec_id, c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTI
 FROM a{rounds} JOIN m{rounds} m USING (c)"""
 
 
+#: A node is the text of all digests of its turns; sums go from each node, by its smallest member, to the prefixes of that.
+_OP13 = _CRC_TABLE + """, turns AS (
+  SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS k FROM (
+    SELECT conv_id AS c, turn, md5(md5(coalesce(role, '')) || md5(coalesce(text, ''))) AS digest, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT c, n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda r, x: xor(r >> 8, t[(xor(r, x) & 255) + 1])), 4294967295) % 9 AS h
+  FROM (SELECT c, count(*) AS n FROM turns GROUP BY c), crc_table
+), rebuilt AS (
+  SELECT v.c, k AS pos, digest, bytes FROM convs v JOIN turns t ON t.c = v.c - v.c % 5 WHERE k <= h
+  UNION ALL SELECT v.c, least(v.h, coalesce(b.n, 0)) + k - v.h, digest, bytes FROM convs v LEFT JOIN convs b ON b.c = v.c - v.c % 5 JOIN turns t ON t.c = v.c WHERE k > v.h
+  UNION ALL SELECT c, 0, '', 0 FROM convs
+), paths AS (
+  SELECT c, pos, bytes, string_agg(digest, '') OVER (PARTITION BY c ORDER BY pos) AS path, pos = max(pos) OVER (PARTITION BY c) AS ends FROM rebuilt
+), nodes AS (
+  SELECT path, pos AS depth, min(c) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM paths GROUP BY path, pos
+), children AS (
+  SELECT left(path, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), sums AS (
+  SELECT p.path, count(*) FILTER (k.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.bytes) AS saved FROM nodes n LEFT JOIN children k USING (path) JOIN paths p ON p.c = n.conv_id AND p.pos <= n.depth GROUP BY p.path
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s USING (path) LEFT JOIN children k USING (path) LEFT JOIN nodes u ON n.depth > 0 AND u.path = left(n.path, length(n.path) - 32)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """op8 by all pairs and a recursive closure. op9 for tables without tool messages, which the given ones are."""
-    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9, "op11_centroids": _op11(), "op12_mixing": _OP12}
+    return {"base_text_counts": _BASE, "op6_sharding": _OP6, "op8_near_duplicates": _OP8, "op9_chat": _OP9, "op11_centroids": _op11(), "op12_mixing": _OP12, "op13_prefix_trie": _OP13}
