@@ -1,13 +1,11 @@
-"""Tables as snapshots: each write makes a new Parquet folder, then the catalogue points to it."""
+"""The domain's tables in the catalogue, and schemas for export. Snapshots of stored tables are in ``store``."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.schemas import TABLES
+from .store import Snapshots  # noqa: F401
 
 
 def create_all(spark: SparkSession, database: str = "ledger") -> None:
@@ -22,53 +20,6 @@ def drop_all(spark: SparkSession, database: str = "ledger") -> None:
         spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
 
 
-class Snapshots:
-    """Versions of tables below a folder. A version counts once its marker, an empty file with its number, is there; the greatest is current.
-
-    One writer at a time: a second one that takes the same number fails, as a marker isn't overwritten.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root
-
-    def _files(self, name: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/versions")
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _current(self, name: str) -> tuple[int, str | None]:
-        """Number and folder of the latest version; 0 and None before the first."""
-        folder, files = self._files(name)
-        if not files.exists(folder):
-            return 0, None
-        found = [s.getPath().getName().split("-", 1) for s in files.listStatus(folder)]
-        return max(((int(n), v) for n, v in found), default=(0, None))
-
-    def read(self, name: str) -> DataFrame:
-        """The latest version, or an empty table before the first."""
-        version = self._current(name)[1]
-        if version is None:
-            return self.spark.createDataFrame([], TABLES[name][0])
-        return self.spark.read.schema(TABLES[name][0]).parquet(f"{self.root}/{name}/{version}")
-
-    def write(self, name: str, df: DataFrame) -> None:
-        """All or nothing: the marker is made after the rows are complete, and nothing is removed."""
-        version = uuid.uuid4().hex
-        df.write.parquet(f"{self.root}/{name}/{version}")
-        folder, files = self._files(name)
-        number = self._current(name)[0] + 1
-        if not files.createNewFile(self.spark._jvm.org.apache.hadoop.fs.Path(folder, f"{number}-{version}")):
-            raise RuntimeError(f"another writer of {name}")
-
-
-def migrate(spark: SparkSession, steps: Sequence[tuple[str, Callable[[SparkSession], None]]], done: DataFrame) -> DataFrame:
-    """Run the named steps that ``done`` (name) doesn't list, in order; the names run so far."""
-    known = {r["name"] for r in done.select("name").collect()}  # as many as there are steps
-    fresh = [(name, step) for name, step in steps if name not in known]
-    for _, step in fresh:
-        step(spark)
-    return done.select("name").union(spark.createDataFrame([(n,) for n, _ in fresh], "name string"))
-
-
 def describe(df: DataFrame) -> str:
     """Schema for export."""
     return df.schema.json()

@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import categorize, flatten, merge
-from .plans import reports, tables
-from .sources import files, paged
-from .sources.paged import offsets
+from .operators import categorize, classify, flatten, merge
+from .plans import migrations, reports, sdl, tables
+from .plans.store import Snapshots
+from .sources import files, paged, stored_service
+from .sources.service import offsets
+from .streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -293,9 +295,10 @@ def yearly_counts(spark, sf_dir):
     return reports.chart_series(_table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("count")))
 
 
-@_query("SELECT 'Hello, world!' AS hello")
+@_query("SELECT r_name, 'Hello, world!' AS hello FROM region")
 def hello(spark, sf_dir):
-    return reports.hello(spark)
+    """The constant field beside those of a table."""
+    return _table(spark, sf_dir, "region").select("r_name").join(reports.hello(spark), how="cross")  # one row on the right
 
 
 # Queries over files and stored tables: the rows of test tables are written as the files that the sources read.
@@ -305,7 +308,7 @@ def _scratch(spark: SparkSession) -> str:
     """A new folder that all executors share; in local mode, where none is named, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="spark-")
     return f"{shared}/files-{uuid.uuid4().hex}"
@@ -337,27 +340,30 @@ def file_import(spark, sf_dir):
     return rows.select("reference", "booking_date", "amount", "transaction_type")
 
 
-@_query("SELECT r_regionkey::VARCHAR AS reference, r_name AS transaction_type FROM region")
+@_query("SELECT o_orderkey::VARCHAR AS reference, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount, o_orderstatus AS transaction_type FROM orders")
 def json_array(spark, sf_dir):
+    """Arrays of the orders of 2,000 keys, a file each."""
     folder = _scratch(spark)
-    rows = _table(spark, sf_dir, "region").withColumn("day", F.lit("2025-01-02").cast("date")).agg(F.to_json(F.collect_list(_document("r_regionkey", "day", "r_regionkey", "r_name"))).alias("value"))
-    rows.write.text(folder)
-    return flatten.booked(files.read_array(spark, folder), F.lit("a")).select("reference", "transaction_type")
+    packs = _table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 2000).alias("pack")).agg(F.to_json(F.collect_list(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"))).alias("value"))
+    packs.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return flatten.booked(files.read_array(spark, folder), F.lit("a")).select("reference", "booking_date", "amount", "transaction_type")
 
 
-@_query("SELECT n_name AS category, unnest([n_name || '-1', n_name || '-2']) AS subcategory FROM nation WHERE n_nationkey % 3 <> 0")
+@_query("SELECT DISTINCT p_type AS category, p_brand AS subcategory FROM part")
 def category_file(spark, sf_dir):
+    """Category trees, a file for each category; of its brands each stands once."""
     folder = _scratch(spark)
-    subs = F.when(F.col("n_nationkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat("n_name", F.lit("-1")), F.concat("n_name", F.lit("-2"))))
-    _table(spark, sf_dir, "nation").agg(F.to_json(F.collect_list(F.struct(F.col("n_name").alias("category"), subs.alias("subcategories")))).alias("value")).write.text(folder)
+    trees = _table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.collect_set("p_brand").alias("subcategories"))
+    trees.select(F.to_json(F.array(F.struct("category", "subcategories"))).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return files.read_categories(spark, folder)
 
 
-@_query("SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS value FROM region")
+@_query("SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS value FROM nation GROUP BY n_regionkey")
 def text_file(spark, sf_dir):
+    """A file of names for each region, each read whole."""
     folder = _scratch(spark)
-    _table(spark, sf_dir, "region").orderBy("r_regionkey").select("r_name").coalesce(1).write.text(folder)
-    return files.read_text(spark, folder)
+    _table(spark, sf_dir, "nation").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey").select("n_name", "n_regionkey").write.partitionBy("n_regionkey").text(folder)
+    return files.read_text(spark, folder).select("value")
 
 
 @_query("SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS count FROM orders GROUP BY 1")
@@ -368,22 +374,42 @@ def chart_file(spark, sf_dir):
     return reports.chart_series(files.read_points(spark, folder, "year long, count long"))
 
 
-@_query("SELECT c_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS reference FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_custkey <= 40")
-def paged_accounts(spark, sf_dir):
-    accounts = _table(spark, sf_dir, "customer").where("c_custkey <= 40").select("c_custkey")
-    held = _table(spark, sf_dir, "orders").where("o_custkey <= 40").select(F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).collect()  # the stand-in of a remote service
-    options = {"client": "ledgerlake.registry:_Service", "rows": json.dumps([list(r) for r in held])}
-    documents = paged.transactions_of(accounts, options, "c_custkey")
-    return documents.select("account_id", F.get_json_object("value", "$.reference").alias("reference"))
+def _service(spark, sf_dir) -> dict:
+    """A service of all customers and their orders."""
+    text = lambda c: F.col(c).cast("string")
+    account = F.struct(F.concat(F.lit("iban-"), text("c_custkey")).alias("iban"), text("c_nationkey").alias("bic"), text("c_custkey").alias("accountId"), F.col("c_name").alias("accountDisplayId"), F.struct(F.col("c_mktsegment").alias("text")).alias("accountType"))
+    balances = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), F.to_json(F.struct(account.alias("account"), text("c_custkey").alias("accountId"), F.struct(text("c_acctbal").alias("value"), F.lit("EUR").alias("unit")).alias("balance"))).alias("value"))
+    orders = _table(spark, sf_dir, "orders")
+    documents = orders.select(text("o_custkey").alias("account_id"), F.to_json(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")).alias("value"), "o_orderkey")
+    return stored_service.store_answers(balances, documents, _scratch(spark), max(8, orders.count() // 2000), F.col("o_orderkey")) | {"step": "7"}
 
 
-class _Service:
-    def __init__(self, options: dict):
-        self.rows = json.loads(options["rows"])
+@_query("SELECT c_custkey::VARCHAR AS account_id, c_acctbal AS amount, c_name AS display_id, c_custkey AS place FROM customer")
+def account_balances(spark, sf_dir):
+    """Accounts and balances of all pages of the service."""
+    found = paged.balances_of(spark, _service(spark, sf_dir) | {"step": "50"})
+    return found.select(F.col("account.accountId").alias("account_id"), C.parse_or_zero(F.col("balance.value")).alias("amount"), F.col("account.accountDisplayId").alias("display_id"), "place")
+
 
-    def page(self, account: str, state: str, offset: int) -> dict:
-        mine = [{"reference": r, "bookingStatus": state} for a, r in self.rows if a == account]
-        return {"paging": {"index": offset, "matches": len(mine)}, "values": mine[offset : offset + 3]}
+@_query("SELECT c_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS reference, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM customer JOIN orders ON o_custkey = c_custkey")
+def paged_accounts(spark, sf_dir):
+    """All accounts that the service has, and all pages of each."""
+    options = _service(spark, sf_dir)
+    accounts = paged.balances_of(spark, options | {"step": "50"}).select(F.col("account.accountId").alias("account_id"))
+    return paged.transactions_of(accounts, options).select("account_id", F.get_json_object("value", "$.reference").alias("reference"), "place")
+
+
+@_query("""
+SELECT o_orderkey::VARCHAR AS reference, o_custkey::VARCHAR AS account_id, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount, b.amount AS balance, b.account_type FROM orders
+JOIN (SELECT c_custkey, c_acctbal AS amount, c_mktsegment AS account_type FROM customer) b ON c_custkey = o_custkey""")
+def import_cycle(spark, sf_dir):
+    """Accounts, balances and transactions of the service in one commit, twice; then what is stored."""
+    store = Snapshots(spark, _scratch(spark), buckets=8)
+    options, day = _service(spark, sf_dir) | {"step": "50"}, F.lit("2025-01-02").cast("date")
+    for _ in range(2):
+        ingest.import_all(spark, options, store, "Bank", day)
+    balances = store.read("account_balance").select("account_id", F.col("amount").alias("balance")).join(store.read("account").select("account_id", "account_type"), "account_id")
+    return store.read("account_transactions").join(balances, "account_id").select("reference", "account_id", "booking_date", "amount", "balance", "account_type")
 
 
 def _first_lines(spark, sf_dir, first: bool) -> DataFrame:
@@ -484,20 +510,149 @@ def fields_by_condition(spark, sf_dir):
     return reports.select_fields(totals, ("month", "category", "total_income", "total_expenses"), include={"month": False}, skip={"total_income": True})
 
 
-@_query("SELECT unnest(['account', 'account_balance', 'account_transactions', 'categories', 'mandate_categories', 'transaction_categories', 'transactions']) AS name, 0::BIGINT AS n")
-def created_tables(spark, sf_dir):
-    """The tables after creation, and again after all were dropped and made by migration steps that ran once."""
-    database = f"ledger_{uuid.uuid4().hex[:12]}"
-    steps = [("create", lambda s: tables.create_all(s, database)), ("never", lambda s: tables.drop_all(s, database))]
-    tables.migrate(spark, steps, spark.createDataFrame([("never",)], "name string"))
-    found = [spark.table(f"{database}.{r.tableName}").agg(F.count("*").alias("n")).select(F.lit(r.tableName).alias("name"), "n") for r in spark.sql(f"SHOW TABLES IN {database}").collect()]
-    return functools.reduce(DataFrame.union, found)
+def _lines_store(spark, sf_dir) -> Snapshots:
+    """The first lines of all orders in a stored table."""
+    store = Snapshots(spark, _scratch(spark), buckets=8)
+
+    def work(tx):
+        tx.create("moves", "l_orderkey bigint, account_id bigint, amount double, status string", ("l_orderkey",))
+        tx.upsert("moves", _first_lines(spark, sf_dir, True), F.col("at"), keep=("account_id",))
+
+    store.run(work)
+    return store
+
 
+@_query(f"SELECT l_orderkey, first(l_suppkey ORDER BY {_ORDER}) AS account_id, last(l_extendedprice ORDER BY {_ORDER}) AS amount, last(l_returnflag ORDER BY {_ORDER}) AS status FROM lineitem GROUP BY l_orderkey")
+def stored_upsert(spark, sf_dir):
+    """Upserts into the buckets of a stored table, in two commits."""
+    store = _lines_store(spark, sf_dir)
+    store.run(lambda tx: tx.upsert("moves", _first_lines(spark, sf_dir, False), F.col("at"), keep=("account_id",)), source="lines", batch=1)
+    store.run(lambda tx: tx.overwrite("moves", tx.read("moves").limit(0)), source="lines", batch=1)  # a batch that counts already
+    return store.read("moves")
+
+
+@_query(f"""
+WITH lines AS (SELECT *, l_linenumber > 1 AS later FROM lineitem),
+ firsts AS (SELECT l_orderkey, min(later) AS later FROM lines GROUP BY 1)
+SELECT l_orderkey, arg_min(l_suppkey, ({_ORDER})) AS account_id, CASE WHEN f.later THEN arg_min(l_extendedprice, ({_ORDER})) ELSE arg_max(l_extendedprice, ({_ORDER})) END AS amount
+FROM lines JOIN firsts f USING (l_orderkey, later) GROUP BY l_orderkey, f.later""")
+def stored_insert_ignore(spark, sf_dir):
+    """New keys are added beside the stored files; of those the earliest line counts."""
+    store = _lines_store(spark, sf_dir)
+    before = store.manifest("moves", store.version()).folders
+    store.run(lambda tx: tx.insert_ignore("moves", _first_lines(spark, sf_dir, False), F.col("at")))
+    after = store.manifest("moves", store.version()).folders
+    if any(after[b][: len(f)] != f for b, f in before.items()):
+        raise AssertionError("a stored file was written anew")
+    return store.read("moves").select("l_orderkey", "account_id", "amount")
 
-@_query("SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS field")
+
+@_query("""
+SELECT o_orderkey AS reference, CASE WHEN o_custkey % 7 = 0 THEN 'aside' ELSE 'label' END AS kept_in, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 7 END AS category_id FROM orders""")
+def label_commit(spark, sf_dir):
+    """Labels of known categories and answers of unknown ones, two tables in one commit."""
+    store = Snapshots(spark, _scratch(spark), buckets=8)
+    pair = F.concat(F.lit("c"), F.col("o_custkey") % 7)
+    answers = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), pair.alias("category"), pair.alias("subcategory"), F.lit("r").alias("reasoning"), F.lit(0.5).alias("confidence"))
+    dim = spark.range(1, 7).select("id", F.concat(F.lit("c"), "id").alias("category"), F.concat(F.lit("c"), "id").alias("subcategory"))
+
+    def work(tx):
+        tx.create("labels", "reference bigint, category_id bigint, reasoning string, confidence double", ("reference",))
+        tx.create("aside", "reference bigint, category string", ("reference",))
+        labels, unknown = categorize.write_labels(tx.read("labels"), answers, dim, F.col("reference"))
+        tx.replace("labels", labels, F.lit(0))
+        tx.replace("aside", unknown.select("reference", "category"), F.lit(0))
+
+    store.run(work)
+    aside = store.read("aside").select("reference", F.lit("aside").alias("kept_in"), F.lit(None).cast("bigint").alias("category_id"))
+    return store.read("labels").select("reference", F.lit("label").alias("kept_in"), "category_id").unionByName(aside)
+
+
+class _Model:
+    """Answers by the length and the last digit of a question; some of them break the contract."""
+
+    def __init__(self, options: dict):
+        pass
+
+    def answer(self, question: str) -> str:
+        good = {"reference": "", "category": f"c{len(question) % 2}", "subcategory": "s", "confidence": 0.5, "reasoning": question[-1]}
+        bad = {"0": "no json", "1": {**good, "category": "other"}, "2": {**good, "confidence": 7}, "3": {k: v for k, v in good.items() if k != "reasoning"}}.get(question[-1], good)
+        return bad if isinstance(bad, str) else json.dumps(bad)
+
+
+@_query("""
+SELECT o_orderkey::VARCHAR AS reference, CASE o_orderkey % 10 WHEN 0 THEN 'no JSON object of the schema' WHEN 1 THEN 'unknown category' WHEN 2 THEN 'confidence isn''t from 0 to 1' WHEN 3 THEN 'reasoning is missing' ELSE o_orderkey % 10 || '' END AS told,
+  CASE WHEN o_orderkey % 10 > 3 THEN length(o_orderkey::VARCHAR) % 2 + 1 END AS category_id
+FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber < 3)""")
+def model_labels(spark, sf_dir):
+    """A model's answers for the orders without a label, those that break the contract set aside with the reason."""
+    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store.write("categories", spark.range(2).select((F.col("id") + 1).cast("int").alias("id"), F.concat(F.lit("c"), "id").alias("category"), F.lit("s").alias("subcategory")))
+    labelled = _table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").cast("string").alias("reference")).distinct()
+    store.write("transaction_categories", labelled.select("reference", F.lit(0).alias("category_id"), F.lit("before").alias("reasoning"), F.lit(1.0).alias("confidence")))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("reference"))
+    classify.label_pending(store, orders, F.col("reference"), {"model": f"{__name__}:_Model"})
+    labels = store.read("transaction_categories").where("reasoning <> 'before'").select("reference", F.col("reasoning").alias("told"), "category_id")
+    return labels.unionByName(store.read(classify.REJECTED).select("reference", F.col("reason").alias("told"), F.lit(None).cast("int").alias("category_id")))
+
+
+@_query("SELECT c_custkey AS id, upper(c_mktsegment) || '!' AS segment, c_acctbal * 2 AS twice, NULL::VARCHAR AS note FROM customer")
+def migrated_accounts(spark, sf_dir):
+    """Migrations up, down and up again over stored rows."""
+    store = Snapshots(spark, _scratch(spark), buckets=8)
+    steps = [
+        migrations.Step(1, "accounts", (migrations.Create("held", "id bigint, segment string, balance double", ("id",)),), (migrations.Drop("held"),)),
+        migrations.Step(2, "note", (migrations.AddColumn("held", "note", "string"), migrations.AddColumn("held", "twice", "double", "balance * 2")), (migrations.DropColumn("held", "note"), migrations.DropColumn("held", "twice"))),
+        migrations.Step(3, "segment", (migrations.Update("held", (("segment", "upper(segment) || '!'"),)),), (migrations.Update("held", (("segment", "lower(substring(segment, 1, length(segment) - 1))"),)),)),
+    ]
+    migrations.migrate(store, steps, to=1)
+    store.write("held", _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance")))
+    for to in (3, 1, 3):
+        migrations.migrate(store, steps, to=to)
+    return store.read("held").select("id", "segment", "twice", "note")
+
+
+@_query("""
+SELECT 'account' AS name, count(*) AS n FROM customer UNION ALL SELECT 'account_balance', count(*) FROM events UNION ALL SELECT 'account_transactions', count(*) FROM orders UNION ALL
+SELECT 'categories', count(*) FROM part UNION ALL SELECT unnest(['mandate_categories', 'transaction_categories', 'transactions']), 0""")
+def created_tables(spark, sf_dir):
+    """Rows of the catalogue's tables after given rows were written into some, by a second creation that leaves them alone; the database goes afterwards."""
+    database = f"ledger_{uuid.uuid4().hex[:12]}"
+    tables.create_all(spark, database)
+    try:
+        day = F.to_date("ts").alias("date")
+        given = {
+            "account": _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id")), "account_balance": _table(spark, sf_dir, "events").select(F.col("user_id").alias("account_id"), day, F.col("value").alias("amount")),
+            "account_transactions": _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), F.col("o_totalprice").alias("amount")), "categories": _parts(spark, sf_dir).select("category", "subcategory"),
+        }
+        for name, rows in given.items():
+            kinds = spark.table(f"{database}.{name}").schema.fields
+            rows.select(*((F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds)).write.insertInto(f"{database}.{name}")
+        tables.create_all(spark, database)
+        counts = [spark.table(f"{database}.{r.tableName}").agg(F.count("*").alias("n")).select(F.lit(r.tableName).alias("name"), "n") for r in spark.sql(f"SHOW TABLES IN {database}").collect()]
+        told = functools.reduce(DataFrame.union, counts).collect()  # a row for each table
+    finally:
+        tables.drop_all(spark, database)
+        spark.sql(f"DROP DATABASE IF EXISTS {database}")
+    return spark.createDataFrame(told, "name string, n bigint")
+
+
+_EXPORTED = {
+    "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "events": "event_id ts user_id event_type value props", "conversations": "conv_id turn role text",
+}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS name, '{c}' AS field, count({c}) AS n FROM {t}" for t, cs in _EXPORTED.items() for c in cs.split()))
 def schema_export(spark, sf_dir):
-    told = json.loads(tables.describe(_table(spark, sf_dir, "nation")))
-    return spark.createDataFrame([(f["name"],) for f in told["fields"]], "field string")
+    """Schemas of stored tables to text and back; each table is read by what came back, and the values of each field are counted."""
+    text = sdl.printed(sdl.Schema({t: _table(spark, sf_dir, t).schema for t in _EXPORTED}))
+    parts = []
+    for name, kind in sdl.parsed(text).types.items():
+        rows = spark.read.schema(kind).parquet(f"{sf_dir}/{name}.parquet")
+        counts = rows.agg(*[F.count(F.col(f)).alias(f) for f in rows.columns])
+        parts.append(counts.select(F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.lit(f).alias("field"), F.col(f).alias("n")) for f in rows.columns])).alias("r")).select("r.*"))
+    return functools.reduce(DataFrame.union, parts)
 
 
 def queries() -> dict[str, Query]:

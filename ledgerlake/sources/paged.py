@@ -1,59 +1,71 @@
-"""Paged REST source: one input partition for each account, which reads its pages in turn.
+"""Accounts and transactions of a paged service, as Spark sources.
 
-``spark.read.format("paged_transactions").option("client", "module:factory").option("accounts", "a,b")``,
-or ``transactions_of(accounts, options)`` for the accounts of a DataFrame. The factory takes the options
-and returns an object with ``page(account_id, state, offset)``, which gives
-``{"paging": {"index", "matches"}, "values": [...]}``; the first page tells the number of matches and the
-step. Tasks try each page ``retries`` times more before they fail.
+``spark.read.format("paged_transactions").option("url", ...).option("accounts", "a,b")`` reads named
+accounts, and ``spark.readStream`` what was added since the last batch; ``transactions_of(accounts,
+options)`` reads the accounts of a DataFrame, however many. ``spark.read.format("paged_balances")`` reads
+accounts and balances. Without a ``url`` the option ``client`` names a factory of clients, see ``service``.
 """
 
 from __future__ import annotations
 
-import importlib
 import json
-import time
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, InputPartition
+
+from .schemas import ACCOUNT_BALANCE
+from .service import Service, offsets
 
 BOOKED = "BOOKED"
+#: Paths of the service.
+BALANCES, TRANSACTIONS = "banking/clients/user/v2/accounts/balances", "banking/v1/accounts/{}/transactions"
+DOCUMENTS = "account_id string, page_offset int, place bigint, booking_status string, value string"
+#: Pages that one task of a source reads.
+PAGES = 20
+
+
+class Stretch(InputPartition):
+    """Values of one account between two places, read page by page."""
+
+    def __init__(self, account: str, start: int, end: int):
+        super().__init__((account, start, end))
+        self.account, self.start, self.end = account, start, end
+
 
+def stretches(account: str, start: int, end: int, step: int, pages: int) -> list[Stretch]:
+    """As many stretches of ``pages`` pages as there are."""
+    return [Stretch(account, start + at, min(end, start + at + step * pages)) for at in offsets(step * pages, end - start)]
 
-class Account(InputPartition):
-    def __init__(self, account: str):
-        super().__init__(account)
-        self.account = account
 
+def _document(account: str, offset: int, place: int, value: dict) -> tuple:
+    return account, offset, place, value.get("bookingStatus"), json.dumps(value)
 
-def offsets(first_page: int, matches: int) -> list[int]:
-    """Where pages begin: none without rows, else every first_page-th row."""
-    return list(range(0, matches, first_page)) if first_page > 0 else []
 
+class _Accounts:
+    """What both readers of transactions share."""
 
-class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
-        self.state = options.get("state", BOOKED)
-        self.retries, self.wait = int(options.get("retries", 6)), float(options.get("wait_seconds", 60))
-
-    def _client(self):
-        module, _, factory = self.options["client"].partition(":")
-        return getattr(importlib.import_module(module), factory)(self.options)
-
-    def _page(self, client, account: str, offset: int) -> dict:
-        for attempt in range(self.retries + 1):
-            try:
-                return client.page(account, self.state, offset)
-            except PermissionError:
-                raise
-            except OSError:
-                if attempt == self.retries:
-                    raise
-                time.sleep(min(self.wait * 2**attempt, 9 * self.wait))
-        raise AssertionError("unreachable")
+        self.state, self.pages = options.get("state", BOOKED), int(options.get("pages_per_task", PAGES))
+        self.accounts = [a for a in options.get("accounts", "").split(",") if a]
+
+    def first(self, service: Service, account: str) -> tuple[list, int]:
+        return service.page(TRANSACTIONS.format(account), {"transactionState": self.state}, 0)
+
+    def read(self, partition: Stretch | None) -> Iterator[tuple]:
+        if partition is None:  # what Spark passes when there are no partitions
+            return
+        path = TRANSACTIONS.format(partition.account)
+        for offset, values in Service(self.options).rows(path, {"transactionState": self.state}, partition.start, partition.end):
+            for k, value in enumerate(values):
+                yield _document(partition.account, offset, offset + k, value)
+
+
+class _Reader(_Accounts, DataSourceReader):
+    """The first page of each account is asked for when the read is planned; it tells how many pages tasks are to read."""
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """The booking status goes into the request; all other filters stay with Spark."""
@@ -62,51 +74,120 @@ class _Reader(DataSourceReader):
                 self.state = f.value
             yield f
 
-    def partitions(self) -> list[Account]:
-        return [Account(a) for a in self.options.get("accounts", "").split(",") if a]
+    def partitions(self) -> list[Stretch]:
+        service, out = Service(self.options), []
+        for account in self.accounts:
+            values, matches = self.first(service, account)
+            out += stretches(account, 0, matches, len(values), self.pages)
+        return out
 
-    def pages(self, client, account: str) -> Iterator[tuple[int, list]]:
-        first = self._page(client, account, 0)
-        for offset in offsets(len(first["values"]), first["paging"]["matches"]):
-            yield offset, (self._page(client, account, offset) if offset else first)["values"]
 
-    def read(self, partition: Account | None) -> Iterator[tuple]:
-        if partition is None:  # what Spark passes when there are no partitions
-            return
-        for offset, values in self.pages(self._client(), partition.account):
-            for value in values:
-                yield partition.account, offset, value.get("bookingStatus"), json.dumps(value)
+class _StreamReader(_Accounts, DataSourceStreamReader):
+    """An offset is the number of transactions of each account; a batch reads what lies between two of them."""
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        service = Service(self.options)
+        return {account: self.first(service, account)[1] for account in self.accounts}
+
+    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+        step = int(self.options.get("page_rows", 20))
+        return [x for a, n in sorted(end.items()) for x in stretches(a, min(n, start.get(a, 0)), n, step, self.pages)]
 
 
 class PagedTransactions(DataSource):
-    """account_id, page_offset, booking_status and the document as JSON text."""
+    """account_id, page_offset, place among the account's transactions, booking_status and the document as JSON text."""
 
     @classmethod
     def name(cls) -> str:
         return "paged_transactions"
 
     def schema(self) -> str:
-        return "account_id string, page_offset int, booking_status string, value string"
+        return DOCUMENTS
 
     def reader(self, schema) -> _Reader:
         return _Reader(dict(self.options))
 
+    def streamReader(self, schema) -> _StreamReader:
+        return _StreamReader(dict(self.options))
+
 
-def transactions_of(accounts: DataFrame, options: dict, account_id: str = "account_id") -> DataFrame:
-    """The documents of all accounts of a DataFrame, read where the accounts are: account_id, page_offset, booking_status, value."""
+class _BalancesReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.options, self.pages = options, int(options.get("pages_per_task", PAGES))
+
+    def partitions(self) -> list[Stretch]:
+        values, matches = Service(self.options).page(BALANCES, {}, 0)
+        return stretches("", 0, matches, len(values), self.pages)
+
+    def read(self, partition: Stretch | None) -> Iterator[tuple]:
+        if partition is not None:
+            for offset, values in Service(self.options).rows(BALANCES, {}, partition.start, partition.end):
+                yield from ((offset + k, json.dumps(value)) for k, value in enumerate(values))
+
+
+class PagedBalances(DataSource):
+    """place and the document as JSON text of each account with its balance."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader(options)
-        client = reader._client()
+    @classmethod
+    def name(cls) -> str:
+        return "paged_balances"
+
+    def schema(self) -> str:
+        return "place bigint, value string"
+
+    def reader(self, schema) -> _BalancesReader:
+        return _BalancesReader(dict(self.options))
+
+
+def balances_of(spark: SparkSession, options: dict) -> DataFrame:
+    """account, accountId, balance and place of all accounts of the service; a malformed document fails the read."""
+    register(spark)
+    read = spark.read.format("paged_balances").options(**options).load()
+    return read.select(F.from_json("value", ACCOUNT_BALANCE, {"mode": "FAILFAST"}).alias("v"), "place").select("v.*", "place")
+
+
+def transactions_of(accounts: DataFrame, options: dict, account_id: str = "account_id", tasks: int | None = None) -> DataFrame:
+    """DOCUMENTS of all accounts of a DataFrame.
+
+    Where the accounts are, the first page of each is read, which tells the number of its pages. These are
+    dealt by account and offset over ``tasks`` tasks (the shuffle partitions of the session without one), so
+    an account of many pages is read by all of them. First pages come along and aren't asked for again.
+    """
+    state = options.get("state", BOOKED)
+    query = {"transactionState": state}
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service = Service(options)
         for batch in batches:
             for account in batch.column(0).to_pylist():
-                for offset, values in reader.pages(client, account):
-                    rows = {"account_id": [account] * len(values), "page_offset": pa.array([offset] * len(values), pa.int32()), "booking_status": [v.get("bookingStatus") for v in values], "value": list(map(json.dumps, values))}
-                    yield pa.RecordBatch.from_pydict(rows)
+                values, matches = service.page(TRANSACTIONS.format(account), query, 0)
+                starts = offsets(len(values), matches)
+                for at in range(0, len(starts), 10_000):
+                    part = starts[at : at + 10_000]
+                    first = [json.dumps(values) if o == 0 else None for o in part]
+                    yield pa.RecordBatch.from_pydict({"account": pa.array([account] * len(part), pa.string()), "start": pa.array(part, pa.int64()), "rows": pa.array([min(len(values), matches - o) for o in part], pa.int64()), "first": pa.array(first, pa.string())})
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        service = Service(options)
+        for batch in batches:
+            for page in batch.to_pylist():
+                path, start = TRANSACTIONS.format(page["account"]), page["start"]
+                found = [(start, json.loads(page["first"]))] if page["first"] else service.rows(path, query, start, start + page["rows"])
+                for offset, values in found:
+                    rows = [_document(page["account"], offset, offset + k, v) for k, v in enumerate(values)]
+                    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["account_id", "page_offset", "place", "booking_status", "value"])
 
-    return accounts.select(F.col(account_id).cast("string")).where(F.col(account_id).isNotNull()).mapInArrow(read, "account_id string, page_offset int, booking_status string, value string")
+    named = accounts.select(F.col(account_id).cast("string").alias("account")).where(F.col("account").isNotNull())
+    pages = named.mapInArrow(plan, "account string, start bigint, rows bigint, first string")
+    n = tasks or int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pages.repartition(n, "account", "start").mapInArrow(fetch, DOCUMENTS)
 
 
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(PagedTransactions)
+    spark.dataSource.register(PagedBalances)

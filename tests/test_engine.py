@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import columns as C
 from ledgerlake.operators import categorize, flatten, merge
 from ledgerlake.plans import reports, tables
-from ledgerlake.sources import files, paged
+from ledgerlake.sources import files, paged, service
 from ledgerlake.streaming import ingest
 
 
@@ -56,7 +56,7 @@ def test_paging(spark):
         refs = [json.loads(r.value)["reference"] for r in read(account).collect()]
         assert len(refs) == len(set(refs)) == n
     assert read("one,rest").where("booking_status = 'BOOKED'").count() == 6
-    assert paged.offsets(0, 5) == []
+    assert service.offsets(0, 5) == []
 
 
 KEYS, COLUMNS = ["k"], "k string, a string, v int, n int"
