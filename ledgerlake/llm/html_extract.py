@@ -2,9 +2,10 @@
 
 The standard library's streaming parser splits a page into lines of text (one for each block
 element). Each line has a ratio of its characters to its tags, nothing for lines that are mostly links;
-the smoothed ratios that reach a threshold form clusters. The clusters choose the content region, the
-element that holds nearly all their text, and they decide on the doubtful lines: runs of linked lines and
-marked elements in it. What stands around the region goes on up to the next menu, notice or the like.
+the smoothed ratios that reach a threshold form clusters. The clusters select the content regions: the
+articles most of whose text is in them, or else the innermost element that holds nearly all they have.
+A region's lines are the text, without linked runs and marked elements that no cluster reaches; what
+stands around it isn't, but for the heading of a region that has none.
 """
 
 from __future__ import annotations
@@ -34,18 +35,21 @@ MARKS = frozenset(
     " user-comments reader-comments post-comments article-comments comments-wrapper comments-container comment-thread comment-body ad-inline inline-ad ad-block adsbygoogle native-ad"
     " footer foot site-footer page-footer masthead siteheader site-header pageheader page-header complementary contentinfo".split()
 )
+#: Of these, the words that an article may use for parts of its own text: such a part stays where a cluster reaches it.
+WORDS = frozenset("menu side promo promos promotion promotions promoted banner banners notice notices alert modal overlay popup search login signup widget widgets foot toolbar share sharing social reply replies related recommended subscribe sponsor sponsors".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Dropped elements around which a text goes on.
 PASSED = frozenset("script style noscript template title button select option textarea iframe object svg canvas math audio video".split())
-CONTAINERS = frozenset("article main section div body td blockquote center details".split())
+CONTAINERS = frozenset("article main section div body td center details".split())
 NAMED = frozenset(("article", "main"))
 #: What an end tag that isn't of a block doesn't reach across, and what ends a search for an open item of a list or table.
 BOUNDS = frozenset("body article main table".split())
 ITEMS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "option": ("select",), "td": ("table",), "th": ("table",), "tr": ("table",)}
 #: Width of the smoothing window to each side, and its standard deviation, in lines.
 RADIUS, SIGMA = 2, 1.0
-#: Share of the clusters' text that the content region must hold.
-HELD = 0.9
+APART = 4.0
+#: Share of the clusters' text that the content region must hold, and share of its own text that an article, or an element beside others, must have in them.
+HELD, OWN = 0.9, 0.5
 
 _SPACE = re.compile(r"\s+")
 _NUMBER = re.compile(r"-?[0-9]+$")
@@ -55,12 +59,13 @@ _UNFINISHED = re.compile(r"<[A-Za-z/!?]")
 
 @dataclass
 class Page:
-    """Elements by number (0: the page): parent, tag, whether dropped, nearest marked one at or above it, whether in an article or main, whether in a heading; and lines."""
+    """Elements by number (0: the page): parent, tag, whether dropped, nearest marked one at or above it, whether that has no marks but WORDS, whether in an article or main, whether in a heading; and lines."""
 
     parent: list[int] = field(default_factory=lambda: [0])
     tag: list[str] = field(default_factory=lambda: [""])
     dropped: list[bool] = field(default_factory=lambda: [False])
     mark: list[int] = field(default_factory=lambda: [0])
+    word: list[bool] = field(default_factory=lambda: [False])
     named: list[bool] = field(default_factory=lambda: [False])
     heading: list[bool] = field(default_factory=lambda: [False])
     text: list[str] = field(default_factory=list)
@@ -116,15 +121,16 @@ class _Reader(HTMLParser):
         p, above = self.page, self.stack[-1] if self.stack else 0
         inside = p.named[above]
         dropped = p.dropped[above] or tag in DROPPED and not (tag == "header" and inside)
-        mark = p.mark[above]
+        mark, word = p.mark[above], p.word[above]
         if not dropped and tag not in ("html", "body", *NAMED):
             dropped = any(a == "hidden" or (a == "aria-hidden" and v == "true") for a, v in attrs)
             # the id of a heading, or of a section inside an article, names its text
             own = tag in HEADINGS or inside and tag == "section"
-            if any(_NUMBER.sub("", t.replace("_", "-")) in MARKS for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not own) for t in v.lower().split()):
-                mark = len(p.tag)
+            names = {_NUMBER.sub("", t.replace("_", "-")) for a, v in attrs if v and (a in ("class", "role", "itemprop") or a == "id" and not own) for t in v.lower().split()} & MARKS
+            if names and not (mark and names <= WORDS):
+                mark, word = len(p.tag), inside and names <= WORDS
         self.stack.append(len(p.tag))
-        for values, value in ((p.parent, above), (p.tag, tag), (p.dropped, dropped), (p.mark, mark), (p.named, inside or tag in NAMED), (p.heading, p.heading[above] or tag in HEADINGS)):
+        for values, value in ((p.parent, above), (p.tag, tag), (p.dropped, dropped), (p.mark, mark), (p.word, word), (p.named, inside or tag in NAMED), (p.heading, p.heading[above] or tag in HEADINGS)):
             values.append(value)
         place = len(self.stack) - 1
         self.places.setdefault(tag, []).append(place)
@@ -193,9 +199,24 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
 
 
 def clusters(ratios: np.ndarray) -> np.ndarray:
-    """Lines whose smoothed ratio reaches the mean less half a standard deviation."""
-    s = smoothed(ratios)
-    return s >= s.mean() - 0.5 * s.std()
+    """Lines whose smoothed ratio reaches a threshold: the one that best parts the logarithms in two groups.
+
+    There is none where these groups are less than a factor of APART from each other, and it is no higher
+    than an APARTth of the ratio at and above which half of the sum of all ratios lies, so that a few very
+    long lines don't set all others aside.
+    """
+    smooth = smoothed(ratios)
+    s, ranked = np.log1p(smooth), np.sort(np.log1p(smooth))
+    n, left = np.arange(1, len(s)), np.cumsum(ranked)[:-1]
+    if not len(n):
+        return np.ones(len(s), bool)
+    low, high = left / n, (ranked.sum() - left) / (len(s) - n)
+    best = int(np.argmax(n * (len(s) - n) * (high - low) ** 2))
+    if high[best] - low[best] < np.log(APART):
+        return np.ones(len(s), bool)
+    falling = np.sort(smooth)[::-1]
+    half = falling[int(np.argmax(2 * np.cumsum(falling) >= falling.sum()))]
+    return s >= min(ranked[best + 1], np.log1p(half / APART))
 
 
 def _picked(page: Page, lines: np.ndarray, links: np.ndarray) -> np.ndarray:
@@ -212,29 +233,96 @@ def _below(page: Page, amounts: np.ndarray) -> np.ndarray:
     return np.array(total)
 
 
-def _holds(page: Page, region: int) -> np.ndarray:
-    """For each line, whether it is in this element."""
-    inside = [region == 0]
+def _region_of(page: Page, regions: list[int]) -> np.ndarray:
+    """For each line, the outermost of these elements that holds it; -1: none."""
+    own, of = set(regions), [0 if 0 in regions else -1]
     for e in range(1, len(page.tag)):
-        inside.append(e == region or inside[page.parent[e]])
-    return np.array(inside)[np.array(page.at, np.int64)]
+        above = of[page.parent[e]]
+        of.append(e if above < 0 and e in own else above)
+    return np.array(of)[np.array(page.at, np.int64)]
 
 
-def content_region(page: Page, open_: np.ndarray, picked: np.ndarray) -> int:
-    """Number of the content element, 0: the whole page, for the lines that aren't dropped and those in clusters.
+def _units(page: Page, tags: frozenset) -> list[int]:
+    """For each element, the outermost one with these tags at or above it; 0: none."""
+    of = [0]
+    for e in range(1, len(page.tag)):
+        of.append(of[page.parent[e]] or (e if page.tag[e] in tags else 0))
+    return of
+
 
-    Of the containers that hold HELD of the clusters' text, the outermost article or main; else the
-    innermost with two lines or more.
+def content_regions(page: Page, open_: np.ndarray, picked: np.ndarray) -> list[int]:
+    """Numbers of the content elements, for the lines that aren't dropped and those in clusters; 0 is the page.
+
+    Articles, or a main with text of its own, if they have OWN of their text in clusters, and half of
+    all clusters' text together; else the innermost container that holds HELD of the clusters' text in two
+    lines or more, and those around it as long as all they add are lines of their own in clusters. If that
+    is the body, those of its parts that have OWN of their text in clusters, unless most of the clusters'
+    text stands in none.
     """
     sizes = np.array([len(t) for t in page.text], float)
-    held, count = _below(page, sizes * picked), _below(page, open_.astype(float))
-    full = [e for e in np.flatnonzero(held >= HELD * (sizes * picked).sum()).tolist() if e and page.tag[e] in CONTAINERS]
-    named = [e for e in full if page.tag[e] in NAMED]
-    return min(named) if named else max((e for e in full if count[e] > 1), default=0)  # an inner element opens later
+    held, whole, count = _below(page, sizes * picked), _below(page, sizes * open_), _below(page, open_.astype(float))
+    mine = lambda e: whole[e] > 0 and held[e] >= OWN * whole[e]
+    unit, article = _units(page, NAMED), _units(page, frozenset(("article",)))
+    inner: dict[int, list[int]] = {}
+    for e in sorted(set(article) - {0}):
+        if mine(e):
+            inner.setdefault(unit[e], []).append(e)
+    named = []
+    for e in sorted(set(unit) - {0}):
+        within = inner.get(e, [])
+        if page.tag[e] == "main" and sum(held[x] for x in within) >= HELD * held[e] > 0:
+            named += within
+        elif mine(e):
+            named.append(e)
+    if named and 2 * sum(held[e] for e in named) >= held[0]:
+        return named
+    full = [e for e in np.flatnonzero(held >= HELD * held[0]).tolist() if e and page.tag[e] in CONTAINERS]
+    region = max((e for e in full if count[e] > 1), default=0)  # an inner element opens later
+    if not region or page.tag[region] == "body":
+        part = set(_units(page, CONTAINERS - {"body"})) - {0}
+        parts = sorted(e for e in part if mine(e))
+        return parts if parts and 2 * sum(held[e] for e in parts) > held[0] else [region]
+    around = [0]
+    for e in range(1, len(page.tag)):
+        around.append(e if page.tag[e] in CONTAINERS else around[page.parent[e]])
+    loose = np.bincount(np.array(around)[np.array(page.at, np.int64)], weights=(open_ & picked).astype(float), minlength=len(page.tag))
+    while (above := around[page.parent[region]]) and page.tag[above] != "body" and loose[above] == count[above] - count[region]:
+        region = above
+    return [region]
+
+
+def _container(page: Page, e: int) -> int:
+    """The nearest container at or above an element."""
+    while e and page.tag[e] not in CONTAINERS:
+        e = page.parent[e]
+    return e
+
+
+def _with_heading(page: Page, region: int, inside: np.ndarray, fence: np.ndarray, open_: np.ndarray) -> list[int]:
+    """Lines from a heading before a region to its first line, if both stand in one element and the region has no such heading itself."""
+    around = _container(page, page.parent[region]) if region else 0
+    if not around or page.tag[around] == "body" or not len(inside):
+        return []
+    level = lambda k: next((int(page.tag[e][1]) for e in _upward(page, page.at[k]) if page.tag[e] in HEADINGS), 7) if page.heading[page.at[k]] else 7
+    least = min(map(level, inside.tolist()))
+    limit = least if page.tag[region] not in NAMED else 7 if least == 7 else 0
+    found, k = [], int(inside[0]) - 1
+    while k >= 0 and not fence[k] and (not open_[k] or _container(page, page.at[k]) == around):
+        found.append(k)
+        if open_[k] and level(k) < limit:
+            return found[::-1]
+        k -= 1
+    return []
+
+
+def _upward(page: Page, e: int) -> Iterator[int]:
+    while e:
+        yield e
+        e = page.parent[e]
 
 
 def _kept_marks(page: Page, open_: np.ndarray, links: np.ndarray) -> set[int]:
-    """Marked elements that stay: those with over half of the clusters' text, if no article or main has text outside marked ones."""
+    """Marked elements that stay: those with nearly all of the clusters' text, if no article or main has text outside marked ones."""
     marks, at = np.array(page.mark, np.int64), np.array(page.at, np.int64)
     lines = np.flatnonzero(open_)
     if not marks[at[lines]].any():
@@ -245,7 +333,7 @@ def _kept_marks(page: Page, open_: np.ndarray, links: np.ndarray) -> set[int]:
     if any(page.named[e] and not marks[e] for e in at[lines].tolist()):
         return set()
     held = _below(page, sizes)
-    return {e for e in set(marks.tolist()) - {0} if 2 * held[e] > sizes.sum()}
+    return {e for e in set(marks.tolist()) - {0} if held[e] > HELD * sizes.sum()}
 
 
 def extract(html: str | None) -> str:
@@ -257,18 +345,29 @@ def extract(html: str | None) -> str:
     dropped, named, heading, mark = (np.array(x)[at] for x in (page.dropped, page.named, page.heading, page.mark))
     links = np.array([2 * n > len(t) for n, t in zip(page.linked, page.text, strict=True)]) & ~named & ~heading
     stay = _kept_marks(page, ~dropped, links)
-    gone = [False]
-    for e in range(1, len(page.tag)):
-        gone.append(gone[page.parent[e]] or page.mark[e] == e and e not in stay)
-    open_ = ~dropped & ~np.array(gone)[at]
+    words = {e for e, w in zip(page.mark, page.word, strict=True) if w}
+    open_ = ~dropped & ~_gone(page, stay | words)[at]
+    if words and open_.any():  # a part of an article that is called like boilerplate stays where a cluster reaches it
+        lines = np.flatnonzero(open_)
+        reached = lines[_picked(page, lines, links)]
+        open_ = ~dropped & ~_gone(page, stay | (words & set(mark[reached].tolist())))[at]
     if not open_.any():
         return ""
     lines = np.flatnonzero(open_)
     picked = np.zeros(len(at), bool)
     picked[lines] = _picked(page, lines, links)
     text = picked & ~links
-    region = content_region(page, open_, text if text.any() else open_)
-    inside = np.flatnonzero(_holds(page, region) & open_)
+    regions = content_regions(page, open_, text if text.any() else open_)
+    fence = ~open_ & ~np.array([t in PASSED for t in page.tag])[at]
+    of = _region_of(page, regions)
+    chosen = (of >= 0) & open_
+    sizes, ranked = np.array([len(t) for t in page.text]), np.argsort(of, kind="stable")
+    for region, start, end in zip(regions, *np.searchsorted(of[ranked], [regions, np.array(regions) + 1]).tolist(), strict=True):
+        own = ranked[start:end][open_[ranked[start:end]]]
+        if text.any() and sizes[own[text[own]]].sum() < OWN * sizes[own].sum():  # the clusters take parts of it
+            chosen[own] = text[own]
+        chosen[_with_heading(page, region, own, fence, open_)] = True
+    inside = np.flatnonzero(chosen & open_)
     if not len(inside):
         return ""
     # a run of linked lines is the text's own where smoothing from both sides carries its cluster over it
@@ -280,22 +379,22 @@ def extract(html: str | None) -> str:
         run = lines[k:end]
         menu[run] = not (k > 0 and end < len(lines) and picked[run].all() and inside[0] < lines[k] and lines[end - 1] < inside[-1]) if len(run) else False
         k = max(end, k + 1)
-    kept = open_ & ~menu
-    passed = np.array([t in PASSED for t in page.tag])[at]
-    fence = menu | ~open_ & ~passed
-    first, last = int(inside[0]), int(inside[-1])
-    while first and not fence[first - 1]:
-        first -= 1
-    while last + 1 < len(at) and not fence[last + 1]:
-        last += 1
-    return "\n".join(page.text[k] for k in range(first, last + 1) if kept[k])
+    return "\n".join(page.text[k] for k in inside.tolist() if not menu[k])
+
+
+def _gone(page: Page, stay: set[int]) -> np.ndarray:
+    """For each element, whether it is in a marked one that doesn't stay."""
+    gone = [False]
+    for e in range(1, len(page.tag)):
+        gone.append(gone[page.parent[e]] or page.mark[e] == e and e not in stay)
+    return np.array(gone)
 
 
 def extract_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page, from the whole html.
 
     A null or empty page, and one without content, has empty text. A page of plain text is one
-    line. A comment, tag or declaration that never ends goes with what follows it. Repeated rows and equal or null keys give a row each. Other columns are left out. No rows
+    line. Text beside an article, or beside the element that holds the clusters, isn't content. A comment, tag or declaration that never ends goes with what follows it. Repeated rows and equal or null keys give a row each. Other columns are left out. No rows
     in, none out. Outside an article or main, runs of lines with over half their characters in links
     count as a menu's, unless they are headings or in the midst of a cluster.
     """
