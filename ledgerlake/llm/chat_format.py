@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialised, stored
+from .linear_match import Unsupported, pattern_of
 
 _CALL = pa.struct([("id", pa.string()), ("name", pa.string()), ("arguments", pa.string()), ("after", pa.list_(pa.string())), ("odd", pa.string())])
 _TOOL = pa.struct([("name", pa.string()), ("schema", pa.string())])
@@ -37,8 +38,17 @@ def escaped(text: str) -> str:
     return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
+def _whole(value: object) -> object:
+    """The value with numbers that are whole written as such: 1.0 and 1e0 are 1."""
+    if isinstance(value, float) and value.is_integer() and abs(value) < 1 << 53:
+        return int(value)
+    if isinstance(value, dict):
+        return {k: _whole(v) for k, v in value.items()}
+    return [_whole(v) for v in value] if isinstance(value, list) else value
+
+
 def canonical(value: object) -> str:
-    return escaped(json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
+    return escaped(json.dumps(_whole(value), sort_keys=True, ensure_ascii=False, separators=(",", ":"), allow_nan=False))
 
 
 def _finite(text: str) -> float:
@@ -114,10 +124,22 @@ def _is(value: object, kind: str) -> bool:
     return kind in _KINDS and isinstance(value, _KINDS[kind])
 
 
+def equal(a: object, b: object) -> bool:
+    """JSON equality: numbers by value, and true and false are no numbers."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(equal(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(equal, a, b))
+    return a == b
+
+
 def violations(value: object, schema: object, at: str = "$") -> list[str]:
     """Where a value breaks a JSON schema: type, enum, const, bounds, lengths, pattern, properties, required, items.
 
-    Other keywords that constrain the value (UNSUPPORTED, a list of items, a boolean bound) are told as unsupported.
+    Other keywords that constrain the value (UNSUPPORTED, a list of items, a boolean bound) are told as unsupported, and so
+    are patterns that ``linear_match`` can't follow in time that grows with pattern times text.
     """
     if schema is True or schema is None:
         return []
@@ -131,18 +153,21 @@ def violations(value: object, schema: object, at: str = "$") -> list[str]:
     kinds = [kinds] if isinstance(kinds, str) else kinds
     if isinstance(kinds, list) and not any(_is(value, k) for k in kinds):
         return [*out, f"{at}: type"]
-    same = lambda a, b: canonical(a) == canonical(b)
-    if "enum" in schema and not any(same(value, v) for v in schema["enum"]):
+    if "enum" in schema and not any(equal(value, v) for v in schema["enum"]):
         out.append(f"{at}: enum")
-    if "const" in schema and not same(value, schema["const"]):
+    if "const" in schema and not equal(value, schema["const"]):
         out.append(f"{at}: const")
     if _is(value, "number"):
         out += [f"{at}: {k}" for k, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b), ("exclusiveMinimum", lambda b: value <= b), ("exclusiveMaximum", lambda b: value >= b)) if k in schema and not isinstance(schema[k], bool) and bad(schema[k])]
     if isinstance(value, (str, list)):
         low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
         out += [f"{at}: {k}" for k, bad in ((low, lambda b: len(value) < b), (high, lambda b: len(value) > b)) if k in schema and bad(schema[k])]
-    if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
-        out.append(f"{at}: pattern")
+    if isinstance(value, str) and "pattern" in schema:
+        try:
+            if not pattern_of(schema["pattern"]).found_in(value):
+                out.append(f"{at}: pattern")
+        except Unsupported as e:
+            out.append(f"{at}: pattern unsupported ({e})")
     if isinstance(value, list) and "items" in schema and not isinstance(schema["items"], list):
         for k, v in enumerate(value):
             out += violations(v, schema["items"], f"{at}[{k}]")
