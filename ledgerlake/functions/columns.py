@@ -84,5 +84,10 @@ def redacted(secret: Column) -> Column:
     return F.when(secret.isNotNull(), F.lit("[redacted]"))
 
 
+def page_url(base: Column, account: Column, offset: Column, state: str = "BOOKED") -> Column:
+    """Address of a page of an account's transactions; the base may end in /api, however often."""
+    return F.format_string(f"%s/banking/v1/accounts/%s/transactions?transactionState={state}&paging-first=%d", strip_suffix(base, "/api"), account, offset)
+
+
 def label_text(reference: Column, category: Column, subcategory: Column, confidence: Column) -> Column:
     return F.format_string("%s: %s/%s (%.2f)", reference, category, subcategory, confidence)

@@ -56,5 +56,10 @@ def chart_series(df: DataFrame, label: str = "year", value: str = "count") -> Da
     return df.select(label, value)
 
 
+def literal_rows(spark: SparkSession, rows: Sequence[tuple], columns: str) -> DataFrame:
+    """Rows that the caller states, as a table."""
+    return spark.createDataFrame(list(rows), columns)
+
+
 def hello(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT 'Hello, world!' AS hello")

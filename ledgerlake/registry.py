@@ -27,6 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 REPORT_MONTH = ("10", "1997")
+_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 
 def _query(sql: str) -> Callable[[Query], Query]:
@@ -314,10 +315,10 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared}/files-{uuid.uuid4().hex}"
 
 
-def _document(reference, day, amount, kind):
+def _document(reference, day, amount, kind, state=None):
     text = lambda c: F.col(c).cast("string")
     return F.struct(
-        text(reference).alias("reference"), F.lit("BOOKED").alias("bookingStatus"), F.date_format(day, "yyyy-MM-dd").alias("bookingDate"), F.struct(text(amount).alias("value"), F.lit("EUR").alias("unit")).alias("amount"),
+        text(reference).alias("reference"), (F.lit("BOOKED") if state is None else state).alias("bookingStatus"), F.date_format(day, "yyyy-MM-dd").alias("bookingDate"), F.struct(text(amount).alias("value"), F.lit("EUR").alias("unit")).alias("amount"),
         F.date_format(day, "yyyy-MM-dd").alias("valutaDate"), F.lit(False).alias("newTransaction"), F.lit("x").alias("remittanceInfo"), F.struct(F.lit("K").alias("key"), text(kind).alias("text")).alias("transactionType"),
     )
 
@@ -380,7 +381,8 @@ def _service(spark, sf_dir) -> dict:
     account = F.struct(F.concat(F.lit("iban-"), text("c_custkey")).alias("iban"), text("c_nationkey").alias("bic"), text("c_custkey").alias("accountId"), F.col("c_name").alias("accountDisplayId"), F.struct(F.col("c_mktsegment").alias("text")).alias("accountType"))
     balances = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("place"), F.to_json(F.struct(account.alias("account"), text("c_custkey").alias("accountId"), F.struct(text("c_acctbal").alias("value"), F.lit("EUR").alias("unit")).alias("balance"))).alias("value"))
     orders = _table(spark, sf_dir, "orders")
-    documents = orders.select(text("o_custkey").alias("account_id"), F.to_json(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")).alias("value"), "o_orderkey")
+    state = F.when(F.col("o_orderstatus") == "P", "NOTBOOKED").otherwise("BOOKED")
+    documents = orders.select(text("o_custkey").alias("account_id"), state.alias("state"), F.to_json(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", state)).alias("value"), "o_orderkey")
     return stored_service.store_answers(balances, documents, _scratch(spark), max(8, orders.count() // 2000), F.col("o_orderkey")) | {"step": "7"}
 
 
@@ -391,25 +393,60 @@ def account_balances(spark, sf_dir):
     return found.select(F.col("account.accountId").alias("account_id"), C.parse_or_zero(F.col("balance.value")).alias("amount"), F.col("account.accountDisplayId").alias("display_id"), "place")
 
 
-@_query("SELECT c_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS reference, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM customer JOIN orders ON o_custkey = c_custkey")
+@_query("SELECT c_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS reference, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'")
 def paged_accounts(spark, sf_dir):
-    """All accounts that the service has, and all pages of each."""
-    options = _service(spark, sf_dir)
+    """All accounts that the service has, and all pages of each that are booked; every third page is asked for twice, as the service is busy."""
+    options = _service(spark, sf_dir) | {"busy": "3", "wait_seconds": "0"}
     accounts = paged.balances_of(spark, options | {"step": "50"}).select(F.col("account.accountId").alias("account_id"))
     return paged.transactions_of(accounts, options).select("account_id", F.get_json_object("value", "$.reference").alias("reference"), "place")
 
 
 @_query("""
-SELECT o_orderkey::VARCHAR AS reference, o_custkey::VARCHAR AS account_id, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount, b.amount AS balance, b.account_type FROM orders
-JOIN (SELECT c_custkey, c_acctbal AS amount, c_mktsegment AS account_type FROM customer) b ON c_custkey = o_custkey""")
+SELECT o_orderkey::VARCHAR AS reference, o_custkey::VARCHAR AS account_id, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount, b.amount AS balance, b.account_type, 'Bank' AS institute, DATE '2025-01-02' AS date FROM orders
+JOIN (SELECT c_custkey, c_acctbal AS amount, c_mktsegment AS account_type FROM customer) b ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'""")
 def import_cycle(spark, sf_dir):
     """Accounts, balances and transactions of the service in one commit, twice; then what is stored."""
     store = Snapshots(spark, _scratch(spark), buckets=8)
     options, day = _service(spark, sf_dir) | {"step": "50"}, F.lit("2025-01-02").cast("date")
     for _ in range(2):
         ingest.import_all(spark, options, store, "Bank", day)
-    balances = store.read("account_balance").select("account_id", F.col("amount").alias("balance")).join(store.read("account").select("account_id", "account_type"), "account_id")
-    return store.read("account_transactions").join(balances, "account_id").select("reference", "account_id", "booking_date", "amount", "balance", "account_type")
+    balances = store.read("account_balance").select("account_id", F.col("amount").alias("balance"), "date").join(store.read("account").select("account_id", "account_type", "institute"), "account_id")
+    return store.read("account_transactions").join(balances, "account_id").select("reference", "account_id", "booking_date", "amount", "balance", "account_type", "institute", "date")
+
+
+@_query("SELECT o_custkey::VARCHAR AS account_id, o_orderkey::VARCHAR AS reference, 'NOTBOOKED' AS booking_status FROM orders WHERE o_orderstatus = 'P'")
+def other_state(spark, sf_dir):
+    """What isn't booked: the state goes into the requests."""
+    accounts = _table(spark, sf_dir, "customer").select("c_custkey")
+    found = paged.transactions_of(accounts, _service(spark, sf_dir) | {"state": "NOTBOOKED"}, "c_custkey")
+    return found.select("account_id", F.get_json_object("value", "$.reference").alias("reference"), "booking_status")
+
+
+@_query("SELECT c_custkey::VARCHAR AS account_id, c_name AS display_id, c_acctbal AS amount, true AS today FROM customer")
+def loaded_accounts(spark, sf_dir):
+    """Response files of 500 accounts each; accounts and balances come into the tables, with today's date."""
+    folder = _scratch(spark)
+    text = lambda c: F.col(c).cast("string")
+    account = F.struct(F.concat(F.lit("iban-"), text("c_custkey")).alias("iban"), F.lit("b").alias("bic"), text("c_custkey").alias("accountId"), F.col("c_name").alias("accountDisplayId"), F.struct(F.lit("t").alias("text")).alias("accountType"))
+    value = F.struct(account.alias("account"), text("c_custkey").alias("accountId"), F.struct(text("c_acctbal").alias("value"), F.lit("EUR").alias("unit")).alias("balance"))
+    pages = _table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("page")).agg(F.collect_list(value).alias("values"))
+    pages.select(F.to_json(F.struct("values")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    store = Snapshots(spark, _scratch(spark), buckets=8)
+    ingest.load_accounts(spark, folder, store, "Bank")
+    return store.read("account").join(store.read("account_balance"), "account_id").select("account_id", "display_id", "amount", (F.col("date") == F.current_date()).alias("today"))
+
+
+@_query(f"SELECT l_orderkey::VARCHAR AS reference, last(l_extendedprice ORDER BY {_ORDER}) AS amount, count(*) > 1 AS again FROM lineitem GROUP BY l_orderkey")
+def streamed_import(spark, sf_dir):
+    """Files of two deliveries, imported by two runs of a stream: the first lines of orders, then the later ones; a third run finds nothing."""
+    folder, at, store = _scratch(spark), _scratch(spark), Snapshots(spark, _scratch(spark), buckets=8)
+    for first in (True, False):
+        last = merge.last_of_each(_first_lines(spark, sf_dir, first), ["l_orderkey"], F.col("at")).withColumn("day", F.lit("2025-01-02").cast("date"))
+        last.select(F.to_json(_document("l_orderkey", "day", "amount", "status")).alias("value")).write.mode("append").text(folder)
+        for _ in range(1 if first else 2):
+            ingest.import_transactions(spark, folder, store, at, "a").awaitTermination()
+    counts = _versions(spark, sf_dir).groupBy(F.col("l_orderkey").cast("string").alias("reference")).agg((F.count("*") > 1).alias("again"))
+    return store.read("account_transactions").select("reference", "amount").join(counts, "reference")
 
 
 def _first_lines(spark, sf_dir, first: bool) -> DataFrame:
@@ -417,9 +454,6 @@ def _first_lines(spark, sf_dir, first: bool) -> DataFrame:
     return lines.select("l_orderkey", F.col("l_suppkey").alias("account_id"), F.col("l_extendedprice").alias("amount"), F.col("l_returnflag").alias("status"), _arrival().alias("at"))
 
 
-_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
-
-
 @_query(f"SELECT l_orderkey, first(l_suppkey ORDER BY {_ORDER}) AS account_id, last(l_extendedprice ORDER BY {_ORDER}) AS amount, last(l_returnflag ORDER BY {_ORDER}) AS status FROM lineitem GROUP BY l_orderkey")
 def upsert_into_stored(spark, sf_dir):
     columns, at = ["l_orderkey", "account_id", "amount", "status"], F.col("at")
@@ -637,6 +671,43 @@ def created_tables(spark, sf_dir):
     return spark.createDataFrame(told, "name string, n bigint")
 
 
+@_query("SELECT o_orderkey AS reference, o_orderkey % 4 = 0 AS kept FROM orders WHERE o_orderkey % 4 = 0")
+def blank_lines(spark, sf_dir):
+    """Lines of text of which three in four are blank: empty, plain spaces, or other white space."""
+    kind = F.col("o_orderkey") % 4
+    line = F.when(kind == 0, F.concat(F.lit("\t "), F.col("o_orderkey"))).when(kind == 1, "").when(kind == 2, "  ").otherwise("\u2003\t\u00a0")
+    folder = _scratch(spark)
+    _table(spark, sf_dir, "orders").select(line.alias("value")).write.text(folder)
+    kept = spark.read.text(folder).where(~C.is_blank(F.col("value")))
+    return kept.select(F.trim(F.translate("value", "\t", "")).cast("bigint").alias("reference"), F.lit(True).alias("kept"))
+
+
+@_query("""
+SELECT c_custkey AS account_id, printf('http://bank/banking/v1/accounts/%d/transactions?transactionState=BOOKED&paging-first=%d', c_custkey, o) AS url
+FROM customer, (SELECT unnest(range(0, 60, 20)) AS o)""")
+def request_urls(spark, sf_dir):
+    accounts = _table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(59), F.lit(20))).alias("at"))
+    return accounts.select(F.col("c_custkey").alias("account_id"), C.page_url(F.lit("http://bank/api/api"), F.col("c_custkey").cast("string"), F.col("at")).alias("url"))
+
+
+@_query("SELECT o_orderpriority AS priority, count(*) AS n, count(*) AS ids, 36::INTEGER AS length FROM orders GROUP BY 1")
+def random_ids(spark, sf_dir):
+    """An id for each row, no two alike."""
+    marked = _table(spark, sf_dir, "orders").withColumn("id", C.random_id())
+    return marked.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.max(F.length("id")).alias("length"))
+
+
+@_query("""
+WITH budget(category, most) AS (VALUES ('F', 100000.0), ('O', 250000.0), ('X', 1.0))
+SELECT category, most::DOUBLE AS most, count(o_orderkey) AS above FROM budget LEFT JOIN orders ON o_orderstatus = category AND o_totalprice > most GROUP BY 1, 2""")
+def over_budget(spark, sf_dir):
+    """Stated rows, and how many transactions lie above each."""
+    budget = reports.literal_rows(spark, [("F", 100000.0), ("O", 250000.0), ("X", 1.0)], "category string, most double")
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    found = budget.join(orders, (F.col("o_orderstatus") == F.col("category")) & (F.col("o_totalprice") > F.col("most")), "left")
+    return found.groupBy("category", "most").agg(F.count("o_orderkey").alias("above"))
+
+
 _EXPORTED = {
     "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
     "events": "event_id ts user_id event_type value props", "conversations": "conv_id turn role text",

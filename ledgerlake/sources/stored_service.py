@@ -18,22 +18,23 @@ _STRETCH = 1_000  # balances of a file
 
 
 def store_answers(balances: DataFrame, documents: DataFrame, folder: str, files: int, order: Column) -> dict:
-    """Options of a service that answers with ``balances`` (place from 0, value) and ``documents`` (account_id, value) in this order."""
+    """Options of a service that answers with ``balances`` (place from 0, value) and ``documents`` (account_id, state, value) in this order."""
     of_account = F.pmod(F.crc32(F.col("account_id").cast("binary")), F.lit(files))
-    kept = documents.select("account_id", "value", order.alias("_at"), of_account.alias("b"))
-    kept.repartition("b").sortWithinPartitions("b", "account_id", "_at").select("account_id", "value", "b").write.partitionBy("b").parquet(f"{folder}/documents")
+    kept = documents.select("account_id", "state", "value", order.alias("_at"), of_account.alias("b"))
+    kept.repartition("b").sortWithinPartitions("b", "account_id", "_at").select("account_id", "state", "value", "b").write.partitionBy("b").parquet(f"{folder}/documents")
     stretches = balances.select("place", "value", F.floor(F.col("place") / _STRETCH).alias("b"))
     stretches.repartition("b").sortWithinPartitions("b", "place").write.partitionBy("b").parquet(f"{folder}/balances")
     return {"client": f"{__name__}:StoredService", "folder": folder, "files": str(files), "matches": str(balances.count())}
 
 
 class StoredService:
-    """Options: folder, files and matches as ``store_answers`` gives them, step: rows of a page."""
+    """Options: folder, files and matches as ``store_answers`` gives them, step: rows of a page, busy: every so manyth page is refused once to each client."""
 
     def __init__(self, options: dict):
         where = options["folder"]
         self.files, self.root = fs.FileSystem.from_uri(where if "://" in where or not where.startswith("file:") else "file://" + where[5:])
         self.buckets, self.matches, self.step = int(options["files"]), int(options["matches"]), int(options.get("step", 50))
+        self.busy, self.refused = int(options.get("busy", 0)), set()
         self._last: tuple[str, pa.Table | None] = ("", None)
 
     def _table(self, name: str) -> pa.Table | None:
@@ -46,6 +47,10 @@ class StoredService:
 
     def get(self, path: str, query: dict[str, str]) -> tuple[int, str]:
         start = int(query["paging-first"])
+        asked = f"{path} {start}"
+        if self.busy and zlib.crc32(asked.encode()) % self.busy == 0 and asked not in self.refused:
+            self.refused.add(asked)
+            return 503, "busy"
         if path == BALANCES:
             values, matches = [], self.matches
             for b in range(start // _STRETCH, (start + self.step - 1) // _STRETCH + 1):
@@ -55,6 +60,6 @@ class StoredService:
         else:
             account = path.split("/")[-2]
             rows = self._table(f"documents/b={zlib.crc32(account.encode()) % self.buckets}")
-            all_values = [] if rows is None else rows.filter(pc.field("account_id") == account).column("value").to_pylist()
+            all_values = [] if rows is None else rows.filter((pc.field("account_id") == account) & (pc.field("state") == query["transactionState"])).column("value").to_pylist()
             values, matches = all_values[start : start + self.step], len(all_values)
         return 200, json.dumps({"paging": {"index": start, "matches": matches}, "values": [json.loads(v) for v in values]})
