@@ -86,18 +86,32 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, fold: tuple[in
 def texts_of(docs: DataFrame, ids: DataFrame, max_chars: int) -> DataFrame:
     """id, y and text of a bounded list of ids (a limit stands above; so the broadcast is bounded too).
 
-    Texts over ``max_chars`` don't count, and of the others, in the order of the id as text, as many as
-    have MAX_TOTAL characters together.
+    Texts over ``max_chars`` don't count. If the others have more than MAX_TOTAL characters together, the
+    classes give a text each in turn, in the order of a hash of the id, as long as there is room.
     """
     texts = docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     found = materialised(texts.join(F.broadcast(ids), "id").groupBy("id", "y").agg(F.min("text").alias("text")))
-    total, last = 0, None
-    for r in sorted(found.select(F.col("id").cast("string").alias("id"), F.length("text").alias("n")).collect()):
-        total += r["n"]
-        if total > MAX_TOTAL:
+    sizes = found.select(F.col("id").cast("string").alias("id"), F.col("y").cast("string").alias("y"), F.xxhash64("id").alias("at"), F.length("text").alias("n")).collect()
+    if sum(r["n"] for r in sizes) <= MAX_TOTAL:
+        return found
+    chosen = docs.sparkSession.createDataFrame([(i,) for i in fair_share([tuple(r) for r in sizes], MAX_TOTAL)], "_id string")
+    return found.join(F.broadcast(chosen), F.col("id").cast("string") == F.col("_id"), "left_semi")
+
+
+def fair_share(rows: list[tuple[str, str, int, int]], most: int) -> list[str]:
+    """Ids of rows (id, class, place, size) of at most ``most`` in all: the classes in turn, in the order of the places; none after the first that has no room."""
+    seen: dict[str, int] = {}
+    turns = []
+    for i, y, at, n in sorted(rows, key=lambda r: (r[2], r[0])):
+        turns.append((seen.get(y, 0), at, i, n))
+        seen[y] = seen.get(y, 0) + 1
+    out, total = [], 0
+    for _, _, i, n in sorted(turns):
+        total += n
+        if total > most:
             break
-        last = r["id"]
-    return found.where(F.col("id").cast("string") <= F.lit(last)) if total > MAX_TOTAL else found
+        out.append(i)
+    return out
 
 
 def learned(rows: DataFrame, learn: Callable[[list[str], list], object]) -> object:

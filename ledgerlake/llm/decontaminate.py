@@ -3,7 +3,8 @@
 For each item, every window of as many words that shares a shingle with it (no other can be
 similar) gets a 64-bit SimHash. Hamming blocks find all item fingerprints within RADIUS: two
 fingerprints that differ in RADIUS bits at most differ in RADIUS // BLOCKS bits at most in one
-block. Weighted Jaccard similarity of the shingles, with their multiplicity, decides.
+block. A run of windows is held against the items of which it has a shingle, so its cost doesn't grow
+with the number of all items. Weighted Jaccard similarity of the shingles, with their multiplicity, decides.
 
 RADIUS doesn't reach every window: with random bits, 2 to 9 of 40,000 windows at exactly 0.8 (of 9 to 90
 distinct shingles) lay beyond it, and more do where one repeated shingle is most of what differs.
@@ -72,16 +73,20 @@ def _packed(prints: np.ndarray) -> np.ndarray:
     return np.packbits(prints, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+#: For each width of a block, whether two values of it differ in RADIUS // BLOCKS bits at most.
+_NEAR = {w: np.bitwise_count(np.arange(1 << w)[:, None] ^ np.arange(1 << w)) <= RADIUS // BLOCKS for w in set(np.diff(_EDGES).tolist())}
+
+
 @dataclass
 class HammingIndex:
-    """Item fingerprints of one window size; for each block and value the items whose own value is near it, as starts and items."""
+    """Item fingerprints of one window size; for each block the items' values, and for each value the items whose own value is near it, as starts and items."""
 
     prints: np.ndarray
     near: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     def __post_init__(self):
-        self.packed = _packed(self.prints)
-        for (a, b), values in zip(zip(_EDGES[:-1], _EDGES[1:], strict=True), _block_values(self.prints), strict=True):
+        self.packed, self.values = _packed(self.prints), _block_values(self.prints)
+        for (a, b), values in zip(zip(_EDGES[:-1], _EDGES[1:], strict=True), self.values, strict=True):
             masks = np.arange(1 << (b - a))
             masks = masks[np.bitwise_count(masks) <= RADIUS // BLOCKS]
             probes = (values[:, None] ^ masks).ravel()  # all values near each item's
@@ -89,24 +94,40 @@ class HammingIndex:
             starts = np.searchsorted(probes[order], np.arange((1 << (b - a)) + 1))
             self.near.append((starts, (order // len(masks)).astype(np.int64)))
 
-    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Every (window, item) with at most RADIUS bits between them, and the number of bits."""
-        n, out = len(self.packed), []
-        step = max(1, SLICE_PAIRS // n)
+    def within(self, prints: np.ndarray, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every (window, item) with at most RADIUS bits between them, and the number of bits; reach: the items that count, ascending (none given: all).
+
+        Few items are held against the windows block by block; if most of them count, each window looks up its lists.
+        """
+        all_items = reach is None or 2 * len(reach) >= len(self.packed)
+        items = np.arange(len(self.packed)) if all_items else reach
+        counts = None if reach is None or not all_items else np.isin(items, reach)
+        out, step = [], max(1, SLICE_PAIRS // max(1, len(items)))
         for begin in range(0, len(prints), step):
             part = prints[begin : begin + step]
-            hit = np.zeros(len(part) * n, bool)
-            for (starts, items), values in zip(self.near, _block_values(part), strict=True):
-                first, count = starts[values], starts[values + 1] - starts[values]
-                ends = np.cumsum(count)
-                at = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
-                hit[np.repeat(np.arange(len(part)) * n, count) + items[at]] = True
-            w, i = np.divmod(np.flatnonzero(hit), n)
-            apart = np.bitwise_count(_packed(part)[w] ^ self.packed[i]).astype(np.int64)
-            ok = apart <= RADIUS
-            out.append((w[ok] + begin, i[ok], apart[ok]))
+            hit = self._by_lists(part) if all_items else self._by_blocks(part, items)
+            w, i = np.divmod(np.flatnonzero(hit), len(items))
+            apart = np.bitwise_count(_packed(part)[w] ^ self.packed[items[i]]).astype(np.int64)
+            ok = apart <= RADIUS if counts is None else (apart <= RADIUS) & counts[i]
+            out.append((w[ok] + begin, items[i[ok]], apart[ok]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
+    def _by_lists(self, part: np.ndarray) -> np.ndarray:
+        n = len(self.packed)
+        hit = np.zeros(len(part) * n, bool)
+        for (starts, items), values in zip(self.near, _block_values(part), strict=True):
+            first, count = starts[values], starts[values + 1] - starts[values]
+            ends = np.cumsum(count)
+            at = np.repeat(first - (ends - count), count) + np.arange(ends[-1])
+            hit[np.repeat(np.arange(len(part)) * n, count) + items[at]] = True
+        return hit
+
+    def _by_blocks(self, part: np.ndarray, items: np.ndarray) -> np.ndarray:
+        hit = np.zeros((len(part), len(items)), bool)
+        for width, own, values in zip(np.diff(_EDGES).tolist(), self.values, _block_values(part), strict=True):
+            hit |= _NEAR[width][values[:, None], own[items]]
+        return hit.ravel()
+
 
 def shared_count(a: np.ndarray, b: np.ndarray) -> int:
     """Size of the intersection of two bags of numbers, by multiplicity."""
@@ -130,42 +151,55 @@ class ItemIndex:
         self.size = [len(w) for w in words]
         self.width = [min(shingle, len(w)) for w in words]
         self.shingles = [shingle_hashes(word_hashes(w), k) if k else np.zeros(0, np.uint64) for w, k in zip(words, self.width, strict=True)]
-        pairs = defaultdict(list)  # by width: shingle and size in words of the item that has it
-        for w, k in zip(words, self.width, strict=True):
+        pairs = defaultdict(list)  # by width: shingle, size in words and number of the item that has it
+        for i, (w, k) in enumerate(zip(words, self.width, strict=True)):
             if k:
                 own = np.unique(shingle_hashes(np.array([self.codes[x] for x in w], np.uint64), k))
-                pairs[k].append((own, np.full(len(own), len(w))))
-        self.anchors = {}
+                pairs[k].append((own, np.full(len(own), len(w)), np.full(len(own), i)))
+        self.anchors = {}  # known shingles, where their entries begin, the entries' sizes, where their items begin, and the items
         for k, found in pairs.items():
-            hashes, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
-            order = np.lexsort((sizes, hashes))
-            once = np.ones(len(order), bool)
-            once[1:] = (np.diff(hashes[order]) != 0) | (np.diff(sizes[order]) != 0)
-            hashes, sizes = hashes[order][once], sizes[order][once]
-            known, starts = np.unique(hashes, return_index=True)
-            self.anchors[k] = (known, np.append(starts, len(hashes)), sizes)
+            hashes, sizes, holders = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((holders, sizes, hashes))
+            hashes, sizes, holders = hashes[order], sizes[order], holders[order]
+            entry = np.flatnonzero((np.diff(hashes, prepend=hashes[:1] + np.uint64(1)) != 0) | (np.diff(sizes, prepend=-1) != 0))
+            known, starts = np.unique(hashes[entry], return_index=True)
+            self.anchors[k] = (known, np.append(starts, len(entry)), sizes[entry], np.append(entry, len(hashes)), holders)
         by_size = defaultdict(list)
         for i, n in enumerate(self.size):
             if n:
                 by_size[n].append(i)
-        self.by_size = {}
+        self.by_size, self.slot = {}, np.zeros(len(items), np.int64)
         for n, members in by_size.items():
+            self.slot[members] = np.arange(len(members))
             prints = np.vstack([window_prints(self.shingles[i], np.array([0]), len(self.shingles[i])) for i in members])
             self.by_size[n] = (members, HammingIndex(prints))
 
-    def _touched(self, words: list[str]) -> dict[int, list[int]]:
-        """Places of shared shingles in a text, by item size (in words)."""
+    def _touched(self, words: list[str]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By item size (in words): places of shared shingles in a text, ascending, and the entries of these shingles."""
         codes = np.fromiter((self.codes.get(w, 0) for w in words), np.uint64, len(words))
-        places = defaultdict(set)
-        for k, (known, first, sizes) in self.anchors.items():
+        out = {}
+        for k, (known, first, sizes, _, _) in self.anchors.items():
             if len(words) < k:
                 continue
             hashes = shingle_hashes(codes, k)
             at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            for place in np.flatnonzero(known[at] == hashes).tolist():
-                for n in sizes[first[at[place]] : first[at[place] + 1]].tolist():
-                    places[n].add(place)
-        return {n: sorted(p) for n, p in places.items()}
+            hit = np.flatnonzero(known[at] == hashes)
+            if not len(hit):
+                continue
+            begin, count = first[at[hit]], first[at[hit] + 1] - first[at[hit]]
+            ends = np.cumsum(count)
+            entries = np.repeat(begin - (ends - count), count) + np.arange(ends[-1])
+            places = np.repeat(hit, count)
+            order = np.argsort(sizes[entries], kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(sizes[entries[order]])) + 1):
+                out[int(sizes[entries[own[0]]])] = (places[own], entries[own])
+        return out
+
+    def _reach(self, k: int, entries: np.ndarray) -> np.ndarray:
+        """Places in their size's list of the items with these shingles, ascending."""
+        _, _, _, starts, holders = self.anchors[k]
+        own = np.unique(entries)
+        return np.unique(self.slot[np.concatenate([holders[a:b] for a, b in zip(starts[own].tolist(), starts[own + 1].tolist(), strict=True)])])
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int, float]]:
         """The best window (item, first word, words, Hamming distance, similarity) of each item that the text holds."""
@@ -173,20 +207,21 @@ class ItemIndex:
         if not words:
             return []
         best: dict[int, tuple] = {}
-        for n, places in self._touched(words).items():
+        for n, (places, entries) in self._touched(words).items():
             members, index = self.by_size[n]
             k = self.width[members[0]]
             if len(words) < n:  # the text is shorter than the item: it is one window
                 runs = [(0, len(words), np.array([0]))]
                 size = max(1, len(words) - k + 1)
             else:
-                starts = np.unique(np.concatenate([np.arange(max(0, p - (n - k)), min(p, len(words) - n) + 1) for p in places]))
+                starts = np.unique(np.concatenate([np.arange(max(0, p - (n - k)), min(p, len(words) - n) + 1) for p in np.unique(places).tolist()]))
                 cuts = np.flatnonzero(np.diff(starts) > n) + 1
                 runs = [(int(s[0]), int(s[-1]) + n, s - s[0]) for s in np.split(starts, cuts)]
                 size = n - k + 1
             for begin, end, starts in runs:
                 shingles = shingle_hashes(word_hashes(words[begin:end]), k)
-                for w, i, apart in zip(*index.within(window_prints(shingles, starts, size)), strict=True):
+                reach = self._reach(k, entries[np.searchsorted(places, begin) : np.searchsorted(places, end)])
+                for w, i, apart in zip(*index.within(window_prints(shingles, starts, size), reach), strict=True):
                     item, start = members[i], int(starts[w])
                     shared = shared_count(shingles[start : start + size], self.shingles[item])
                     similar = shared / (size + len(self.shingles[item]) - shared)
