@@ -49,6 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder that nothing reads any more goes."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialised(df: DataFrame) -> DataFrame:
     """The rows of ``df`` in the shared checkpoint folder, its lineage cut."""
     folder = shared_folder(df.sparkSession)

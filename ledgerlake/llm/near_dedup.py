@@ -450,7 +450,8 @@ def _links_left(open_: DataFrame, groups: DataFrame, nodes: DataFrame, docs: Dat
 def one_of_each(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs``, with all columns, for each component: the first by id, then by place.
 
-    A null id comes after all others. The rows are checkpointed with their places, which a scan that
+    Null, empty and blank texts are alike to none, so all of them stay. Of repeated rows one stays, and of equal ids
+    the first in the table's order. A null id comes after all others. No rows in, none out. The rows are checkpointed with their places, which a scan that
     is planned anew (with another count of cores, say) would give to other rows.
     """
     place = "_place"

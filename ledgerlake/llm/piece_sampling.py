@@ -29,6 +29,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES = 2
 #: Longest piece, and longest token whose lattice a task keeps, in characters; no piece of the model is longer.
 PIECE_CHARS, TOKEN_CHARS = 16, 48
+#: A token over so many characters is worked on in stretches of STRETCH of them: only the mass of each place is kept, and edges are made again where they are needed.
+LONG_CHARS, STRETCH = 16_384, 4_096
+#: Tokens and edges of such tokens are numbered from here; an edge by token, place and size.
+FAR, PLACES = 1 << 40, 1 << 35
 #: Bytes of text that are worked on at once.
 SLICE_BYTES = 400_000
 #: A task keeps the lattices of the tokens it has seen, and begins anew beyond so many edges.
@@ -186,6 +190,97 @@ class Rows:
         return self.room[: self.size]
 
 
+class LongToken:
+    """The lattice of one long token; its edges are numbered by place and size."""
+
+    def __init__(self, pieces: Pieces, points: np.ndarray):
+        self.pieces, self.points, self.n = pieces, points.astype(np.int32), len(points)
+        self.code = np.concatenate([pieces.code[points], np.zeros(PIECE_CHARS, np.int32)])
+        self.mass = np.zeros(self.n + 1)
+        self.begin, self.made = -1, None
+        for b in range(self.n, 0, -STRETCH):
+            first, sizes, logs, _ = self._edges(max(0, b - STRETCH), b)
+            mass = self.mass[max(0, b - STRETCH) : min(self.n, b + PIECE_CHARS) + 1].tolist()
+            for k in range(len(first) - 2, -1, -1):
+                v = [logs[e] + mass[k + sizes[e]] for e in range(first[k], first[k + 1])]
+                top = max(v)
+                mass[k] = top + math.log(sum(math.exp(x - top) for x in v))
+            self.mass[max(0, b - STRETCH) : b] = mass[: len(first) - 1]
+
+    def _edges(self, a: int, b: int) -> tuple[list, list, list, list]:
+        """Of the places from a to b: where each one's edges begin, longer pieces first, and the edges' sizes, log probabilities and pieces (-1: the bytes of a character)."""
+        pieces, n = self.pieces, b - a
+        found, live, node = [], np.arange(n)[self.code[a:b] > 0], np.zeros(1, np.int64)
+        for size in range(1, PIECE_CHARS + 1):
+            k = pieces.find(node * pieces.radix + self.code[a + live + size - 1])
+            ok = k >= 0
+            live, node = live[ok], k[ok]
+            piece = pieces.piece_at[node]
+            found.append((live[piece >= 0], np.full(int((piece >= 0).sum()), size), piece[piece >= 0]))
+            keep = a + live + size < self.n
+            live, node = live[keep], node[keep]
+            if not len(live):
+                break
+        alone = np.zeros(n, bool)
+        alone[found[0][0]] = True
+        lost = np.flatnonzero(~alone)
+        found.append((lost, np.ones(len(lost), np.int64), np.full(len(lost), -1)))
+        source, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((-size, source))
+        source, size, piece = source[order], size[order], piece[order]
+        point = self.points[a + source]
+        logp = np.where(piece >= 0, pieces.logp[piece], LOG_BYTE * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)))
+        return np.searchsorted(source, np.arange(n + 1)).tolist(), size.tolist(), logp.tolist(), piece.tolist()
+
+    def edges_at(self, place: int) -> tuple[list[int], list[float]]:
+        """Sizes and log chances of a place's edges; the stretch of the last place asked for is kept."""
+        begin = place - place % STRETCH
+        if begin != self.begin:
+            self.begin, self.made = begin, self._edges(begin, min(self.n, begin + STRETCH))
+        first, sizes, logs, _ = self.made
+        own = range(first[place - begin], first[place - begin + 1])
+        here = float(self.mass[place])
+        return [sizes[e] for e in own], [logs[e] + float(self.mass[place + sizes[e]]) - here for e in own]
+
+    def draw(self, seed: int) -> tuple[np.ndarray, float]:
+        """Edges of a segmentation and its log chance."""
+        place, out, total, drawn = 0, [], 0.0, []
+        while place < self.n:
+            if len(out) % STRETCH == 0:
+                drawn = uniform(np.uint64(seed) + np.uint64(0x9E3779B97F4A7C15) * np.arange(len(out) + 1, len(out) + STRETCH + 1, dtype=np.uint64)).tolist()
+            sizes, logs = self.edges_at(place)
+            u, upto, k = drawn[len(out) % STRETCH], 0.0, 0
+            for k, log in enumerate(logs):
+                upto += math.exp(log)
+                if u < min(upto, 1.0):
+                    break
+            out.append(place * 32 + sizes[k])
+            total += logs[k]
+            place += sizes[k]
+        return np.array(out, np.int64), total
+
+    def chances(self, edges: np.ndarray) -> np.ndarray:
+        place, size = edges >> 5, edges & 31
+        point, piece = self.points[place], self._pieces(place, size)
+        logp = np.where(piece >= 0, self.pieces.logp[piece], LOG_BYTE * (1 + (point > 0x7F) + (point > 0x7FF) + (point > 0xFFFF)))
+        return logp + self.mass[place + size] - self.mass[place]
+
+    def _pieces(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        node, at = np.zeros(len(place), np.int64), np.arange(len(place))
+        for k in range(int(size.max(initial=0))):
+            at = at[(size[at] > k) & (node[at] >= 0)]
+            node[at] = np.where(self.code[place[at] + k] > 0, self.pieces.find(node[at] * self.pieces.radix + self.code[place[at] + k]), -1)
+        return np.where(node >= 0, self.pieces.piece_at[node], -1)
+
+    def ids(self, edges: np.ndarray) -> np.ndarray:
+        place = edges >> 5
+        piece = self._pieces(place, edges & 31)
+        if (piece >= 0).all():
+            return piece
+        told = [[p] if p >= 0 else self.pieces.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))].tolist() for p, c in zip(piece.tolist(), self.points[place].tolist(), strict=True)]
+        return np.fromiter((i for t in told for i in t), np.int64)
+
+
 class Lattices:
     """Edges of the lattices of the tokens seen so far: places are characters of the tokens laid end to end.
 
@@ -196,6 +291,7 @@ class Lattices:
     def __init__(self, pieces: Pieces):
         self.pieces = pieces
         self.known: dict[int, int] = {}
+        self.far: list[LongToken] = []
         self._start, self._end, self._first, self._target, self._first_id, self._ids = (Rows(np.int32) for _ in range(6))
         self._n_ids, self._log_chance, self._upto = Rows(np.int8), Rows(np.float64), Rows(np.float64)
         self._first.extend(np.zeros(1, np.int32))
@@ -204,8 +300,10 @@ class Lattices:
         """The tokens' numbers; lattices of new ones are added, those of long ones until forget()."""
         out = np.fromiter(map(self.known.get, parts.hashes.tolist(), repeat(-1)), np.int64, len(parts.starts))
         fresh = np.flatnonzero(out < 0)
-        long = parts.sizes[fresh] > TOKEN_CHARS
-        short, long = fresh[~long], fresh[long]
+        size = parts.sizes[fresh]
+        short, long, far = fresh[size <= TOKEN_CHARS], fresh[(size > TOKEN_CHARS) & (size <= LONG_CHARS)], fresh[size > LONG_CHARS]
+        self.far = [LongToken(self.pieces, parts.points[a : a + n]) for a, n in zip(parts.starts[far].tolist(), parts.sizes[far].tolist(), strict=True)]
+        out[far] = FAR + np.arange(len(far))
         if len(short):
             keys, first, which = np.unique(parts.hashes[short], return_index=True, return_inverse=True)
             out[short] = len(self.known) + which
@@ -224,6 +322,7 @@ class Lattices:
 
     def forget(self) -> None:
         """Drop the lattices of long tokens, and the room that they took."""
+        self.far = []
         for rows, size in zip(self._all(), self._marks, strict=True):
             if rows.size > size:
                 rows.room, rows.size = rows.room[: 2 * size + 1024].copy(), size
@@ -306,8 +405,44 @@ class Lattices:
         for rows, values in ((self._ids, flat), (self._n_ids, width), (self._log_chance, log_chance), (self._upto, upto)):
             rows.extend(values)
 
+    def chances(self, edges: np.ndarray) -> np.ndarray:
+        """Log chance of each edge."""
+        far = edges >= FAR
+        if not far.any():
+            return self.log_chance[edges]
+        out = np.zeros(len(edges))
+        out[~far] = self.log_chance[edges[~far]]
+        for k in np.unique(edges[far] // PLACES).tolist():
+            own = np.flatnonzero(far & (edges // PLACES == k))
+            out[own] = self.far[k - FAR // PLACES].chances(edges[own] % PLACES)
+        return out
+
+    def ids_of(self, edges: np.ndarray) -> np.ndarray:
+        """Piece ids of edges, one after the other."""
+        told = []
+        for run in np.split(edges, np.flatnonzero(np.diff(np.maximum(edges // PLACES, FAR // PLACES - 1))) + 1) if len(edges) and edges.max() >= FAR else [edges]:
+            far = len(run) and run[0] >= FAR
+            told.append(self.far[int(run[0] // PLACES) - FAR // PLACES].ids(run % PLACES) if far else self.ids[ragged(self.first_id[run], self.n_ids[run])])
+        return np.concatenate(told)
+
     def draw(self, token: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """A segmentation for each of these tokens: edges, how many each has, and its log chance."""
+        far = np.flatnonzero(token >= FAR)
+        if not len(far):
+            return self._draw(token, seed)
+        rest = np.flatnonzero(token < FAR)
+        edges, some, chances = self._draw(token[rest], seed[rest])
+        counts, chance, parts = np.zeros(len(token), np.int64), np.zeros(len(token)), [np.zeros(0, np.int64)] * len(token)
+        counts[rest], chance[rest] = some, chances
+        for i, part in zip(rest.tolist(), np.split(edges, np.cumsum(some)[:-1]) if len(rest) else (), strict=True):
+            parts[i] = part
+        for i in far.tolist():
+            k = int(token[i] - FAR)
+            own, chance[i] = self.far[k].draw(int(seed[i]))
+            parts[i], counts[i] = own + (FAR // PLACES + k) * PLACES, len(own)
+        return np.concatenate(parts), counts, chance
+
+    def _draw(self, token: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         place, end = self.start[token].astype(np.int64), self.end[token]
         counts, chance = np.zeros(len(token), np.int64), np.zeros(len(token))
         live, steps = np.flatnonzero(place < end), []
@@ -331,22 +466,30 @@ class Lattices:
 
     def draw_other(self, token: int, seed: int, barred: set[tuple[int, ...]]) -> tuple[int, ...]:
         """A segmentation of a token outside a set of them, by its chance among the others."""
-        place, end, path, rng = int(self.start[token]), int(self.end[token]), [], random.Random(seed)
+        path, rng, far = [], random.Random(seed), None
+        if token >= FAR:
+            far, base = self.far[token - FAR], (FAR // PLACES + token - FAR) * PLACES
+        place, end = (0, far.n) if far else (int(self.start[token]), int(self.end[token]))
         # each barred way with the log chance of what follows its k-th edge
-        left = [(p, (np.cumsum(self.log_chance[list(p)][::-1])[::-1] - self.log_chance[list(p)]).tolist()) for p in barred]
+        logs = [(p, self.chances(np.array(p, np.int64))) for p in barred]
+        left = [(p, (np.cumsum(x[::-1])[::-1] - x).tolist()) for p, x in logs]
         while place < end:
-            a, b = self.edges_of[place : place + 2].tolist()
-            k, weight = len(path), np.exp(self.log_chance[a:b]).tolist()
+            if far:
+                sizes, chance = far.edges_at(place)
+                own, k, weight = [base + place * 32 + x for x in sizes], len(path), np.exp(chance).tolist()
+            else:
+                a, b = self.edges_of[place : place + 2].tolist()
+                own, k, weight = range(a, b), len(path), np.exp(self.log_chance[a:b]).tolist()
             for e in {p[k] for p, _ in left}:
                 held = [(p, tail) for p, tail in left if p[k] == e]
                 whole = any(len(p) == k + 1 for p, _ in held)
-                weight[e - a] *= 0.0 if whole else max(0.0, 1.0 - sum(math.exp(min(0.0, tail[k])) for _, tail in held))
+                weight[own.index(e)] *= 0.0 if whole else max(0.0, 1.0 - sum(math.exp(min(0.0, tail[k])) for _, tail in held))
             if sum(weight) <= 0:
                 return ()
-            (e,) = rng.choices(range(a, b), weight)
+            (e,) = rng.choices(own, weight)
             left = [(p, tail) for p, tail in left if p[k] == e]
             path.append(e)
-            place = int(self.target[e])
+            place = place + (e & 31) if far else int(self.target[e])
         return tuple(path)
 
 
@@ -424,7 +567,7 @@ class _Search:
         minus, _, place, leaf, barred, _ = self.node
         if leaf is not None:
             old_edges, old_counts, old_chance = self.leaves[leaf][:3]
-            here = self.lattices.log_chance[list(self.other)].sum()
+            here = self.lattices.chances(np.array(self.other, np.int64)).sum()
             edges = np.concatenate([old_edges[: old_counts[:place].sum()], np.array(self.other, np.int64), edges])
             counts = np.concatenate([old_counts[:place], [len(self.other)], counts])
             chance = np.concatenate([old_chance[:place], [here], chance])
@@ -435,7 +578,7 @@ class _Search:
         before = np.cumsum(chance) - chance
         free = -np.expm1(chance)
         if leaf is not None:
-            gone = sum(float(np.exp(self.lattices.log_chance[list(p)].sum())) for p in barred)
+            gone = sum(float(np.exp(self.lattices.chances(np.array(p, np.int64)).sum())) for p in barred)
             free[place] -= gone
         at = np.arange(place, n)
         at = at[free[place:] > 1e-12]
@@ -458,7 +601,7 @@ class _Search:
         for rank, (edges, _, chance, g) in enumerate(self.leaves):
             logp = float(chance.sum())
             inclusion = 1.0 if limit == -np.inf else float(-np.expm1(-np.exp(min(50.0, logp - limit))))
-            ids = self.lattices.ids[ragged(self.lattices.first_id[edges], self.lattices.n_ids[edges])]
+            ids = self.lattices.ids_of(edges)
             out.append({"rank": rank, "log_prob": logp, "perturbed": float(g), "inclusion": inclusion, "ids": ids})
         return out
 

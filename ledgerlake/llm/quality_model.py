@@ -107,7 +107,12 @@ def learn_ensemble(x: np.ndarray, y: np.ndarray, seed: int = 11, trees: int = 30
 
 
 def fit_ensemble(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2), key: str = "doc_id", text: str = "text", label: str = "quality") -> RuleEnsemble:
-    """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
+    """Learned from a bounded sample of labelled documents outside the fold.
+
+    Null labels, ids and texts don't count, empty texts do. An id with several labels counts with its smallest,
+    one with several texts with the smallest text, so repeated rows count once. Without a labelled row, or with one
+    label only, every text gets one and the same score.
+    """
     learn = lambda texts, y: learn_ensemble(feature_matrix(count_batch(pa.array(texts, pa.string()))), np.array(y, int))
     return learned(training_rows(docs, labels, label, fold, MAX_ROWS, MAX_CHARS, key, text), learn)
 

@@ -105,7 +105,12 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, seed: int = 7, most: int = 12) -
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (4, 2), key: str = "doc_id", text: str = "text", label: str = "quality") -> list[Rule]:
-    """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
+    """Learned from a bounded sample of labelled documents outside the fold.
+
+    Null labels, ids and texts don't count, empty texts do. An id with several labels counts with its smallest,
+    one with several texts with the smallest text, so repeated rows count once. Without a labelled row, or with one
+    label only, there are no rules.
+    """
     learn = lambda texts, y: learn_rules(feature_matrix(count_batch(pa.array(texts, pa.string()))), np.array(y, int) == 0)
     return learned(training_rows(docs, labels, label, fold, MAX_ROWS, MAX_CHARS, key, text), learn)
 

@@ -48,7 +48,10 @@ def winner(key: Column, weights: Sequence[float]) -> Column:
 
 
 def assign_shards(df: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,) * SHARDS, shard: str = "shard") -> DataFrame:
-    """All rows and columns of ``df`` and the shard of each; a column of that name is replaced."""
+    """All rows and columns of ``df`` and the shard of each; a column of that name is replaced, so name another one to keep it.
+
+    Null keys go to the shard of the empty text; equal keys go to one shard. No rows in, none out.
+    """
     return df.withColumn(shard, winner(F.col(key), weights))
 
 

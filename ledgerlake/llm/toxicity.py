@@ -267,7 +267,12 @@ def learn_field(texts: list[str], y: np.ndarray) -> Field:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = (5, 0), key: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
-    """Learned from a bounded sample of labelled documents outside the fold; null labels, ids and texts don't count."""
+    """Learned from a bounded sample of labelled documents outside the fold.
+
+    Null labels, ids and texts don't count, empty texts do. An id with several labels counts with its smallest,
+    one with several texts with the smallest text, so repeated rows count once. Without a labelled row, or with one
+    label only, every text gets one and the same score.
+    """
     return learned(training_rows(docs, labels, label, fold, MAX_ROWS, MAX_CHARS, key, text), learn_field)
 
 

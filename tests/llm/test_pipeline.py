@@ -53,7 +53,7 @@ def test_run_equals_plain_stages(spark):
     sf = "/root/testdata/sf0.001"
     root = spark.conf.get("spark.checkpoint.dir")
     old = set(glob.glob(f"{root}/pipeline-*"))
-    got = corpus_pipeline.run(spark, sf).collect()
+    got = corpus_pipeline.run(spark, sf, keep_stages=True).collect()
     (new,) = set(glob.glob(f"{root}/pipeline-*")) - old
     texts_of = lambda df: {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
     docs = common.read_table(spark, sf, "documents")
@@ -70,3 +70,11 @@ def test_run_equals_plain_stages(spark):
     assert {r.doc_id for r in got} == stages[4].keys()
     pieces = piece_sampling.load_pieces()
     assert all(piece_sampling.decode(pieces, r.ids) == stages[4][r.doc_id] for r in got)
+
+
+def test_only_the_last_stage_is_kept(spark):
+    root = spark.conf.get("spark.checkpoint.dir")
+    old = set(glob.glob(f"{root}/pipeline-*"))
+    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    (new,) = set(glob.glob(f"{root}/pipeline-*")) - old
+    assert glob.glob(f"{new}/*") == [f"{new}/{len(corpus_pipeline.STAGES) - 1}"] and got.count() > 0
