@@ -6,11 +6,14 @@ side, so a key that is delivered very often needs no large group.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import materialised
+
 _OLD, _SEQ = "_stored", "_seq"
 
 
@@ -36,6 +39,36 @@ def insert_ignore(table: DataFrame, batch: DataFrame, keys: Sequence[str], order
     return table.unionByName(first_of_each(fresh, keys, order).select(*table.columns))
 
 
+def insert_unique(table: DataFrame, batch: DataFrame, keys: Sequence[Sequence[str]], order: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of the batch that come in, and those that don't, as if one came after the other in this order.
+
+    A row comes in unless one that is stored, or came in before, has the same values in one of the keys;
+    null values are the same as none. Each round takes the rows that are the first of all their keys among
+    those left, and drops what these exclude; so there are as many rounds as rows exclude one another in a
+    chain, and no key is gathered in one place. Rows of equal order come one after the other all the same.
+    """
+    place = F.struct(order.alias("o"), F.monotonically_increasing_id().alias("n"))
+    whole = materialised(batch.withColumn(_SEQ, place))
+    left, parts = whole, []
+    for key in keys:
+        left = left.join(table.select(*key), list(key), "left_anti")
+    while True:
+        left = materialised(left)
+        if left.isEmpty():
+            break
+        winners = left
+        for k, key in enumerate(keys):
+            known = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in key])
+            first = left.where(known).groupBy(*key).agg(F.min(_SEQ).alias(f"_first{k}"))
+            winners = winners.join(first, list(key), "left").where(F.col(f"_first{k}").isNull() | (F.col(f"_first{k}") == F.col(_SEQ))).drop(f"_first{k}")
+        parts.append(materialised(winners.select(*whole.columns)))
+        left = left.join(parts[-1].select(_SEQ), _SEQ, "left_anti")
+        for key in keys:
+            left = left.join(parts[-1].select(*key), list(key), "left_anti")
+    taken = functools.reduce(DataFrame.unionByName, parts) if parts else whole.limit(0)
+    return taken.select(*batch.columns), whole.join(taken.select(_SEQ), _SEQ, "left_anti").select(*batch.columns)
+
+
 def upsert(table: DataFrame, batch: DataFrame, keys: Sequence[str], order: Column, keep: Sequence[str] = ()) -> DataFrame:
     """The latest row of each key wins, but for the ``keep`` columns, which stay as first stored."""
     seq = F.struct(F.lit(0).alias(_OLD), F.lit(None).cast(batch.select(order.alias("o")).schema["o"].dataType).alias("o"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import merge
-from ..sources.schemas import TABLES
+from ..sources.schemas import PARENTS, TABLES
 
 BUCKETS = 16
 _BUCKET = "_bucket"
@@ -159,6 +159,15 @@ class Transaction:
         added = self._written(name, m, merge.first_of_each(fresh, m.keys, order).select(*old.columns))
         self.changed[name] = replace(m, folders={**m.folders, **{b: [*m.folders.get(b, []), f] for b, f in added.items()}})
 
+    def insert_unique(self, name: str, batch: DataFrame, order: Column, unique: Sequence[Sequence[str]]) -> DataFrame:
+        """As insert_ignore, with further unique keys; the rows left out because of these. Only the keys of stored rows are read."""
+        m = self.manifest(name)
+        old = self.read(name)
+        taken, left = merge.insert_unique(old, batch, [m.keys, *unique], order)
+        added = self._written(name, m, taken.select(*old.columns))
+        self.changed[name] = replace(m, folders={**m.folders, **{b: [*m.folders.get(b, []), f] for b, f in added.items()}})
+        return left.join(self.read(name).select(*m.keys), list(m.keys), "left_anti")
+
     def upsert(self, name: str, batch: DataFrame, order: Column, keep: Sequence[str] = ()) -> None:
         """The latest row of each key, but for the ``keep`` columns, which stay as first stored."""
         self._rewrite(name, batch, lambda old, keys: merge.upsert(old, batch, keys, order, keep))
@@ -172,6 +181,14 @@ class Transaction:
         m = self.manifest(name)
         self._rewrite(name, gone if m.keys == (key,) else None, lambda old, _: merge.delete_cascade(old, gone, key))
 
+    def delete_with_children(self, name: str, gone: DataFrame, key: str, parents: Sequence[tuple[str, str, str, str]] = PARENTS) -> None:
+        """Without the rows whose ``key`` is listed, and without the rows of other tables that name them, and those that name these."""
+        for parent, own, child, column in parents:
+            if parent == name and self.exists(child):
+                listed = gone.select(F.col(key).alias(own)) if own == key else self.read(name).join(gone.select(key), key, "left_semi").select(own)
+                self.delete_with_children(child, listed.select(F.col(own).alias(column)).distinct(), column, parents)
+        self.delete(name, gone, key)
+
     def compact(self, name: str, most: int = 8) -> None:
         """Buckets of more than ``most`` folders in one each."""
         m = self.manifest(name)

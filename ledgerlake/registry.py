@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import functools
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -19,6 +18,7 @@ from .functions import columns as C
 from .operators import categorize, classify, flatten, merge
 from .plans import migrations, reports, sdl, tables
 from .plans.store import Snapshots
+from .shared import scratch
 from .sources import files, paged, stored_service
 from .sources.service import offsets
 from .streaming import ingest
@@ -305,16 +305,6 @@ def hello(spark, sf_dir):
 # Queries over files and stored tables: the rows of test tables are written as the files that the sources read.
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share; in local mode, where none is named, a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/files-{uuid.uuid4().hex}"
-
-
 def _document(reference, day, amount, kind, state=None):
     text = lambda c: F.col(c).cast("string")
     return F.struct(
@@ -324,7 +314,7 @@ def _document(reference, day, amount, kind, state=None):
 
 
 def _as_lines(spark, sf_dir) -> str:
-    folder = _scratch(spark)
+    folder = scratch(spark)
     _table(spark, sf_dir, "orders").select(F.to_json(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")).alias("value")).write.text(folder)
     return folder
 
@@ -344,7 +334,7 @@ def file_import(spark, sf_dir):
 @_query("SELECT o_orderkey::VARCHAR AS reference, CAST(o_orderdate AS DATE) AS booking_date, o_totalprice AS amount, o_orderstatus AS transaction_type FROM orders")
 def json_array(spark, sf_dir):
     """Arrays of the orders of 2,000 keys, a file each."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     packs = _table(spark, sf_dir, "orders").groupBy(F.floor(F.col("o_orderkey") / 2000).alias("pack")).agg(F.to_json(F.collect_list(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus"))).alias("value"))
     packs.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return flatten.booked(files.read_array(spark, folder), F.lit("a")).select("reference", "booking_date", "amount", "transaction_type")
@@ -353,7 +343,7 @@ def json_array(spark, sf_dir):
 @_query("SELECT DISTINCT p_type AS category, p_brand AS subcategory FROM part")
 def category_file(spark, sf_dir):
     """Category trees, a file for each category; of its brands each stands once."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     trees = _table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("category")).agg(F.collect_set("p_brand").alias("subcategories"))
     trees.select(F.to_json(F.array(F.struct("category", "subcategories"))).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
     return files.read_categories(spark, folder)
@@ -362,14 +352,14 @@ def category_file(spark, sf_dir):
 @_query("SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) || chr(10) AS value FROM nation GROUP BY n_regionkey")
 def text_file(spark, sf_dir):
     """A file of names for each region, each read whole."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     _table(spark, sf_dir, "nation").repartition("n_regionkey").sortWithinPartitions("n_regionkey", "n_nationkey").select("n_name", "n_regionkey").write.partitionBy("n_regionkey").text(folder)
     return files.read_text(spark, folder).select("value")
 
 
 @_query("SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS count FROM orders GROUP BY 1")
 def chart_file(spark, sf_dir):
-    folder = _scratch(spark)
+    folder = scratch(spark)
     counts = _table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("count"))
     counts.agg(F.to_json(F.collect_list(F.struct("year", "count"))).alias("value")).write.text(folder)
     return reports.chart_series(files.read_points(spark, folder, "year long, count long"))
@@ -383,7 +373,7 @@ def _service(spark, sf_dir) -> dict:
     orders = _table(spark, sf_dir, "orders")
     state = F.when(F.col("o_orderstatus") == "P", "NOTBOOKED").otherwise("BOOKED")
     documents = orders.select(text("o_custkey").alias("account_id"), state.alias("state"), F.to_json(_document("o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus", state)).alias("value"), "o_orderkey")
-    return stored_service.store_answers(balances, documents, _scratch(spark), max(8, orders.count() // 2000), F.col("o_orderkey")) | {"step": "7"}
+    return stored_service.store_answers(balances, documents, scratch(spark), max(8, orders.count() // 2000), F.col("o_orderkey")) | {"step": "7"}
 
 
 @_query("SELECT c_custkey::VARCHAR AS account_id, c_acctbal AS amount, c_name AS display_id, c_custkey AS place FROM customer")
@@ -406,7 +396,7 @@ SELECT o_orderkey::VARCHAR AS reference, o_custkey::VARCHAR AS account_id, CAST(
 JOIN (SELECT c_custkey, c_acctbal AS amount, c_mktsegment AS account_type FROM customer) b ON c_custkey = o_custkey WHERE o_orderstatus <> 'P'""")
 def import_cycle(spark, sf_dir):
     """Accounts, balances and transactions of the service in one commit, twice; then what is stored."""
-    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store = Snapshots(spark, scratch(spark), buckets=8)
     options, day = _service(spark, sf_dir) | {"step": "50"}, F.lit("2025-01-02").cast("date")
     for _ in range(2):
         ingest.import_all(spark, options, store, "Bank", day)
@@ -425,13 +415,13 @@ def other_state(spark, sf_dir):
 @_query("SELECT c_custkey::VARCHAR AS account_id, c_name AS display_id, c_acctbal AS amount, true AS today FROM customer")
 def loaded_accounts(spark, sf_dir):
     """Response files of 500 accounts each; accounts and balances come into the tables, with today's date."""
-    folder = _scratch(spark)
+    folder = scratch(spark)
     text = lambda c: F.col(c).cast("string")
     account = F.struct(F.concat(F.lit("iban-"), text("c_custkey")).alias("iban"), F.lit("b").alias("bic"), text("c_custkey").alias("accountId"), F.col("c_name").alias("accountDisplayId"), F.struct(F.lit("t").alias("text")).alias("accountType"))
     value = F.struct(account.alias("account"), text("c_custkey").alias("accountId"), F.struct(text("c_acctbal").alias("value"), F.lit("EUR").alias("unit")).alias("balance"))
     pages = _table(spark, sf_dir, "customer").groupBy(F.floor(F.col("c_custkey") / 500).alias("page")).agg(F.collect_list(value).alias("values"))
     pages.select(F.to_json(F.struct("values")).alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
-    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store = Snapshots(spark, scratch(spark), buckets=8)
     ingest.load_accounts(spark, folder, store, "Bank")
     return store.read("account").join(store.read("account_balance"), "account_id").select("account_id", "display_id", "amount", (F.col("date") == F.current_date()).alias("today"))
 
@@ -439,7 +429,7 @@ def loaded_accounts(spark, sf_dir):
 @_query(f"SELECT l_orderkey::VARCHAR AS reference, last(l_extendedprice ORDER BY {_ORDER}) AS amount, count(*) > 1 AS again FROM lineitem GROUP BY l_orderkey")
 def streamed_import(spark, sf_dir):
     """Files of two deliveries, imported by two runs of a stream: the first lines of orders, then the later ones; a third run finds nothing."""
-    folder, at, store = _scratch(spark), _scratch(spark), Snapshots(spark, _scratch(spark), buckets=8)
+    folder, at, store = scratch(spark), scratch(spark), Snapshots(spark, scratch(spark), buckets=8)
     for first in (True, False):
         last = merge.last_of_each(_first_lines(spark, sf_dir, first), ["l_orderkey"], F.col("at")).withColumn("day", F.lit("2025-01-02").cast("date"))
         last.select(F.to_json(_document("l_orderkey", "day", "amount", "status")).alias("value")).write.mode("append").text(folder)
@@ -546,7 +536,7 @@ def fields_by_condition(spark, sf_dir):
 
 def _lines_store(spark, sf_dir) -> Snapshots:
     """The first lines of all orders in a stored table."""
-    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store = Snapshots(spark, scratch(spark), buckets=8)
 
     def work(tx):
         tx.create("moves", "l_orderkey bigint, account_id bigint, amount double, status string", ("l_orderkey",))
@@ -585,7 +575,7 @@ def stored_insert_ignore(spark, sf_dir):
 SELECT o_orderkey AS reference, CASE WHEN o_custkey % 7 = 0 THEN 'aside' ELSE 'label' END AS kept_in, CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE o_custkey % 7 END AS category_id FROM orders""")
 def label_commit(spark, sf_dir):
     """Labels of known categories and answers of unknown ones, two tables in one commit."""
-    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store = Snapshots(spark, scratch(spark), buckets=8)
     pair = F.concat(F.lit("c"), F.col("o_custkey") % 7)
     answers = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("reference"), pair.alias("category"), pair.alias("subcategory"), F.lit("r").alias("reasoning"), F.lit(0.5).alias("confidence"))
     dim = spark.range(1, 7).select("id", F.concat(F.lit("c"), "id").alias("category"), F.concat(F.lit("c"), "id").alias("subcategory"))
@@ -602,6 +592,30 @@ def label_commit(spark, sf_dir):
     return store.read("labels").select("reference", F.lit("label").alias("kept_in"), "category_id").unionByName(aside)
 
 
+@_query("""
+SELECT c_custkey AS account_id, iban FROM (SELECT c_custkey, c_nationkey || c_mktsegment AS iban, row_number() OVER (PARTITION BY c_nationkey || c_mktsegment ORDER BY c_acctbal, c_custkey) AS rn FROM customer) WHERE rn = 1""")
+def unique_accounts(spark, sf_dir):
+    """Accounts come in by balance, none whose second key another one has."""
+    batch = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.concat("c_nationkey", "c_mktsegment").alias("iban"), "c_acctbal")
+    return merge.insert_unique(batch.select("account_id", "iban").limit(0), batch, [["account_id"], ["iban"]], F.struct("c_acctbal", "account_id"))[0].select("account_id", "iban")
+
+
+@_query("""
+SELECT 'account' AS name, count(*) AS n FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT 'account_balance', count(*) FROM customer WHERE c_acctbal >= 0
+UNION ALL SELECT 'account_transactions', count(*) FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal >= 0""")
+def stored_cascade(spark, sf_dir):
+    """Accounts in the red go, and their balances and transactions with them, in one commit."""
+    store, customers = Snapshots(spark, scratch(spark), buckets=8), _table(spark, sf_dir, "customer")
+    given = {
+        "account": customers.select(F.col("c_custkey").cast("string").alias("account_id"), F.col("c_name").alias("iban")), "account_balance": customers.select(F.col("c_custkey").cast("string").alias("account_id"), F.lit("2025-01-02").cast("date").alias("date"), F.col("c_acctbal").alias("amount")),
+        "account_transactions": _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("reference"), F.col("o_custkey").cast("string").alias("account_id")),
+    }
+    store.run(lambda tx: [tx.replace(name, rows, F.lit(0)) for name, rows in given.items()])
+    gone = customers.where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("account_id"))
+    store.run(lambda tx: tx.delete_with_children("account", gone, "account_id"))
+    return functools.reduce(DataFrame.union, [store.read(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in given])
+
+
 class _Model:
     """Answers by the length and the last digit of a question; some of them break the contract."""
 
@@ -620,7 +634,7 @@ SELECT o_orderkey::VARCHAR AS reference, CASE o_orderkey % 10 WHEN 0 THEN 'no JS
 FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber < 3)""")
 def model_labels(spark, sf_dir):
     """A model's answers for the orders without a label, those that break the contract set aside with the reason."""
-    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store = Snapshots(spark, scratch(spark), buckets=8)
     store.write("categories", spark.range(2).select((F.col("id") + 1).cast("int").alias("id"), F.concat(F.lit("c"), "id").alias("category"), F.lit("s").alias("subcategory")))
     labelled = _table(spark, sf_dir, "lineitem").where("l_linenumber < 3").select(F.col("l_orderkey").cast("string").alias("reference")).distinct()
     store.write("transaction_categories", labelled.select("reference", F.lit(0).alias("category_id"), F.lit("before").alias("reasoning"), F.lit(1.0).alias("confidence")))
@@ -633,7 +647,7 @@ def model_labels(spark, sf_dir):
 @_query("SELECT c_custkey AS id, upper(c_mktsegment) || '!' AS segment, c_acctbal * 2 AS twice, NULL::VARCHAR AS note FROM customer")
 def migrated_accounts(spark, sf_dir):
     """Migrations up, down and up again over stored rows."""
-    store = Snapshots(spark, _scratch(spark), buckets=8)
+    store = Snapshots(spark, scratch(spark), buckets=8)
     steps = [
         migrations.Step(1, "accounts", (migrations.Create("held", "id bigint, segment string, balance double", ("id",)),), (migrations.Drop("held"),)),
         migrations.Step(2, "note", (migrations.AddColumn("held", "note", "string"), migrations.AddColumn("held", "twice", "double", "balance * 2")), (migrations.DropColumn("held", "note"), migrations.DropColumn("held", "twice"))),
@@ -676,7 +690,7 @@ def blank_lines(spark, sf_dir):
     """Lines of text of which three in four are blank: empty, plain spaces, or other white space."""
     kind = F.col("o_orderkey") % 4
     line = F.when(kind == 0, F.concat(F.lit("\t "), F.col("o_orderkey"))).when(kind == 1, "").when(kind == 2, "  ").otherwise("\u2003\t\u00a0")
-    folder = _scratch(spark)
+    folder = scratch(spark)
     _table(spark, sf_dir, "orders").select(line.alias("value")).write.text(folder)
     kept = spark.read.text(folder).where(~C.is_blank(F.col("value")))
     return kept.select(F.trim(F.translate("value", "\t", "")).cast("bigint").alias("reference"), F.lit(True).alias("kept"))

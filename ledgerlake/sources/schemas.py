@@ -44,6 +44,14 @@ TABLES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
+#: Further unique keys of tables, and where children name their parents: parent and its key, child and its column.
+UNIQUE: dict[str, tuple[tuple[str, ...], ...]] = {"account": (("iban",),)}
+PARENTS: tuple[tuple[str, str, str, str], ...] = (
+    ("account", "account_id", "account_balance", "account_id"), ("account", "account_id", "account_transactions", "account_id"),
+    ("categories", "id", "transaction_categories", "category_id"), ("categories", "id", "mandate_categories", "category_id"), ("transactions", "reference", "transaction_categories", "reference"),
+)
+
+
 def required(schema: T.StructType, prefix: str = "") -> list[str]:
     """Paths of fields that a document must have, within the optional ones where these are present."""
     out = []

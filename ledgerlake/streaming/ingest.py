@@ -13,7 +13,7 @@ from ..operators.flatten import accounts, booked, daily_balances
 from ..plans.store import Files, Snapshots, Transaction
 from ..sources import paged
 from ..sources.files import decode_lines
-from ..sources.schemas import ACCOUNT_BALANCE, TRANSACTION
+from ..sources.schemas import ACCOUNT_BALANCE, TRANSACTION, UNIQUE
 
 TRANSACTION_KEEPS = ("account_id",)
 
@@ -24,10 +24,18 @@ def merge_transactions(tx: Transaction, rows: DataFrame, order: Column) -> None:
 
 
 def merge_balances(tx: Transaction, balances: DataFrame, institute: str, day: Column | None = None) -> None:
-    """New accounts come in; of each account and day the first balance by ``_at`` stays. Both tables change in one commit."""
+    """New accounts come in; of each account and day the first balance by ``_at`` stays. Both tables change in one commit.
+
+    An account whose IBAN another one has doesn't come in, and neither does a balance without its account.
+    """
     at = F.col("_at")
-    tx.insert_ignore("account", accounts(balances, institute, keep=("_at",)), at)
-    tx.insert_ignore("account_balance", daily_balances(balances, day, keep=("_at",)), at)
+    tx.insert_unique("account", accounts(balances, institute, keep=("_at",)), at, UNIQUE["account"])
+    tx.insert_ignore("account_balance", _of_accounts(tx, daily_balances(balances, day, keep=("_at",))), at)
+
+
+def _of_accounts(tx: Transaction, rows: DataFrame) -> DataFrame:
+    """Rows whose account is stored."""
+    return rows.join(tx.read("account").select("account_id"), "account_id", "left_semi").select(*rows.columns)
 
 
 def query_id(spark: SparkSession, checkpoint: str) -> str:
@@ -96,7 +104,7 @@ def import_all(spark: SparkSession, options: dict, tables: Snapshots, institute:
 
         def work(tx: Transaction) -> None:
             merge_balances(tx, balances, institute, day)
-            merge_transactions(tx, _booked(documents), F.col("_at"))
+            merge_transactions(tx, _of_accounts(tx, _booked(documents)), F.col("_at"))
 
         tables.run(work)
     finally:

@@ -10,7 +10,8 @@ import fake_bank
 from ledgerlake.operators import categorize, classify
 from ledgerlake.plans.store import Snapshots
 from ledgerlake.sources import paged, service
-from ledgerlake.streaming import ingest, schedule
+from ledgerlake.sources.settings import Settings, from_environment
+from ledgerlake.streaming import ingest, job, schedule
 
 OPTIONS = {"client": "fake_bank:bank", "wait_seconds": "0"}
 
@@ -161,3 +162,26 @@ def test_next_run_is_counted_from_the_last_finish():
     with pytest.raises(OSError):
         loop(fatal=(OSError,))
     assert len(runs) == 1 and loop(until=lambda: True) == 0
+
+
+def test_the_import_as_a_job(spark, tmp_path, monkeypatch):
+    """Settings from the environment, two cycles over HTTP, and an end when the session has ended."""
+    server = fake_bank.serve()
+    environ = {"APP_BANK__URL": f"http://127.0.0.1:{server.server_address[1]}", "APP_BANK__TOKEN": "secret", "APP_BANK__WAIT_SECONDS": "0", "APP_STORE": str(tmp_path), "APP_DELAY_SECONDS": "5"}
+    now, slept = [0.0], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    monkeypatch.setattr(fake_bank, "ROWS", {**fake_bank.ROWS, "huge": 0})
+    try:
+        settings = from_environment(Settings, environ)
+        assert job.import_loop(spark, settings, rounds=2, clock=lambda: now[0], sleep=sleep) == 2 and slept == [5.0]
+        store = Snapshots(spark, str(tmp_path))
+        assert store.version().number == 2 and store.read("account_transactions").count() == 16 and store.read("account").count() == 4
+        with pytest.raises(job.SessionEnded):
+            job.import_loop(spark, from_environment(Settings, {**environ, "APP_BANK__TOKEN": "old"}), sleep=lambda s: pytest.fail("it waits"))
+        assert store.version().number == 2
+    finally:
+        server.shutdown()

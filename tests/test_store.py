@@ -1,12 +1,17 @@
 """Transactions over stored tables: conflicts, touched buckets, batches once, several tables, migrations."""
 
+import concurrent.futures
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import fake_bank
+from ledgerlake.operators import merge
 from ledgerlake.plans import migrations as M
 from ledgerlake.plans.store import Conflict, Snapshots
+from ledgerlake.sources.schemas import TABLES
 from ledgerlake.streaming import ingest
 
 COLUMNS = "k string, a string, v int"
@@ -147,6 +152,65 @@ def test_versions_stay_until_they_are_removed(store):
         store.read("t", 2)
 
 
+def test_many_writers_at_once(spark, tmp_path):
+    """Threads that all change the same rows: every change counts, in some order."""
+    store = Snapshots(spark, str(tmp_path), buckets=2)
+    store.run(lambda tx: tx.create("t", COLUMNS, ("k",)))
+    _put(store, [("a", "x", 0, 1)])
+
+    def writer(n):
+        for k in range(2):
+            store.run(lambda tx: tx.upsert("t", tx.read("t").where("k = 'a'").withColumn("v", F.col("v") + 1).withColumn("n", F.lit(1)), F.col("n")), attempts=50)
+            store.run(lambda tx, k=k: tx.upsert("t", _batch(spark, [(f"{n}-{k}", "x", 1, 1)]), F.col("n")), attempts=50)
+
+    with concurrent.futures.ThreadPoolExecutor(4) as pool:
+        list(pool.map(writer, range(4)))
+    rows = {r[0]: r[2] for r in _rows(store)}
+    assert rows.pop("a") == 8 and set(rows) == {f"{n}-{k}" for n in range(4) for k in range(2)}
+    assert store.version().number == 2 + 16
+
+
+def test_children_go_with_their_parents(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path), buckets=2)
+    store.write("categories", spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id int, category string, subcategory string"))
+    store.write("transactions", spark.createDataFrame([("r1",), ("r2",), ("r3",)], "reference string").selectExpr("*", *(f"CAST(NULL AS {t}) AS {c}" for c, t in (x.split() for x in TABLES["transactions"][0].split(", ")[1:]))))
+    store.write("transaction_categories", spark.createDataFrame([("r1", 1, "", 1.0), ("r2", 2, "", 1.0), ("r3", 2, "", 1.0)], TABLES["transaction_categories"][0]))
+    before = store.version().number
+    store.run(lambda tx: tx.delete_with_children("categories", spark.createDataFrame([("a", "x")], "category string, subcategory string").select("category"), "category"))
+    store.run(lambda tx: tx.delete_with_children("transactions", spark.createDataFrame([("r2",)], "reference string"), "reference"))
+    assert store.version().number == before + 2
+    assert [r.id for r in store.read("categories").collect()] == [2] and [r.reference for r in store.read("transaction_categories").collect()] == ["r3"]
+    assert sorted(r.reference for r in store.read("transactions").collect()) == ["r1", "r3"]
+
+
+def test_unique_keys_as_if_row_by_row(spark):
+    """Against a loop over the rows: chains in which a row that is left out lets a later one in, ties, nulls, and what is stored."""
+    rng = random.Random(6)
+    for trial in range(6):
+        rows = [(rng.choice([None, *range(7)]), rng.choice([None, *"abcdef"]), rng.randint(0, 2), k) for k in range(40)]
+        stored = [(3, "c"), (50, "z")] if trial % 2 else []
+        keys, ibans, want = {k for k, _ in stored}, {i for _, i in stored}, []
+        for k, i, _, n in sorted(rows, key=lambda r: (r[2], r[3])):
+            if k not in keys and i not in ibans:
+                want.append(n)
+                keys |= {k} - {None}
+                ibans |= {i} - {None}
+        batch = spark.createDataFrame(rows, "k int, i string, at int, n int")
+        taken, left = merge.insert_unique(spark.createDataFrame(stored, "k int, i string"), batch, [["k"], ["i"]], F.struct("at", "n"))
+        assert sorted(r.n for r in taken.collect()) == sorted(want)
+        assert sorted(r.n for r in left.collect()) == sorted({r[3] for r in rows} - set(want))
+
+
+def test_an_account_with_the_iban_of_another_stays_out(spark, tmp_path):
+    store = Snapshots(spark, str(tmp_path), buckets=2)
+    values = [fake_bank.balance("a", "1"), fake_bank.balance("b", "2"), fake_bank.balance("c", "3")]
+    values[1]["account"]["iban"] = "i-a"
+    (tmp_path / "page.json").write_text(json.dumps({"values": values, "paging": {"index": 0, "matches": 3}}))
+    for _ in range(2):
+        ingest.load_accounts(spark, str(tmp_path / "page.json"), store, "Bank", F.lit("2025-01-02").cast("date"))
+        assert sorted(r.account_id for r in store.read("account").collect()) == sorted(r.account_id for r in store.read("account_balance").collect()) == ["a", "c"]
+
+
 def _document(reference, value):
     return {"reference": reference, "bookingStatus": "BOOKED", "bookingDate": "2025-03-01", "amount": {"value": value, "unit": "EUR"}, "valutaDate": "2025-03-01", "newTransaction": False, "remittanceInfo": "x", "transactionType": {"key": "K", "text": "T"}}
 
