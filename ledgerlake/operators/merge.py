@@ -39,8 +39,8 @@ def insert_ignore(table: DataFrame, batch: DataFrame, keys: Sequence[str], order
     return table.unionByName(first_of_each(fresh, keys, order).select(*table.columns))
 
 
-def insert_unique(table: DataFrame, batch: DataFrame, keys: Sequence[Sequence[str]], order: Column) -> tuple[DataFrame, DataFrame]:
-    """Rows of the batch that come in, and those that don't, as if one came after the other in this order.
+def insert_unique(table: DataFrame | Sequence[DataFrame], batch: DataFrame, keys: Sequence[Sequence[str]], order: Column) -> tuple[DataFrame, DataFrame]:
+    """table: what is stored, or for each key the stored rows that may have one of its values. Rows of the batch that come in, and those that don't, as if one came after the other in this order.
 
     A row comes in unless one that is stored, or came in before, has the same values in one of the keys;
     null values are the same as none. Each round takes the rows that are the first of all their keys among
@@ -50,8 +50,8 @@ def insert_unique(table: DataFrame, batch: DataFrame, keys: Sequence[Sequence[st
     place = F.struct(order.alias("o"), F.monotonically_increasing_id().alias("n"))
     whole = materialised(batch.withColumn(_SEQ, place))
     left, parts = whole, []
-    for key in keys:
-        left = left.join(table.select(*key), list(key), "left_anti")
+    for key, stored in zip(keys, [table] * len(keys) if isinstance(table, DataFrame) else table, strict=True):
+        left = left.join(stored.select(*key), list(key), "left_anti")
     while True:
         left = materialised(left)
         if left.isEmpty():

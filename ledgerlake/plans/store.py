@@ -160,13 +160,14 @@ class Transaction:
         self.changed[name] = replace(m, folders={**m.folders, **{b: [*m.folders.get(b, []), f] for b, f in added.items()}})
 
     def insert_unique(self, name: str, batch: DataFrame, order: Column, unique: Sequence[Sequence[str]]) -> DataFrame:
-        """As insert_ignore, with further unique keys; the rows left out because of these. Only the keys of stored rows are read."""
+        """As insert_ignore, with further unique keys; the rows left out because of these. Of buckets that the batch doesn't hit only those keys are read."""
         m = self.manifest(name)
-        old = self.read(name)
-        taken, left = merge.insert_unique(old, batch, [m.keys, *unique], order)
-        added = self._written(name, m, taken.select(*old.columns))
+        hit = self._hit(m, batch)
+        own, whole = self.read(name, hit), self.read(name)
+        taken, left = merge.insert_unique([own, *[whole] * len(unique)], batch, [m.keys, *unique], order)
+        added = self._written(name, m, taken.select(*own.columns))
         self.changed[name] = replace(m, folders={**m.folders, **{b: [*m.folders.get(b, []), f] for b, f in added.items()}})
-        return left.join(self.read(name).select(*m.keys), list(m.keys), "left_anti")
+        return left.join(self.read(name, hit).select(*m.keys), list(m.keys), "left_anti")
 
     def upsert(self, name: str, batch: DataFrame, order: Column, keep: Sequence[str] = ()) -> None:
         """The latest row of each key, but for the ``keep`` columns, which stay as first stored."""

@@ -1,5 +1,6 @@
 """A paged service in memory, a model and an HTTP server for tests."""
 
+import functools
 import http.server
 import json
 import os
@@ -13,6 +14,7 @@ def page(rows, offset, step):
     return 200, json.dumps({"paging": {"index": offset, "matches": len(rows)}, "values": rows[offset : offset + step]})
 
 
+@functools.cache
 def transactions(account):
     return [
         {"reference": f"{account}-{k}", "bookingStatus": "BOOKED" if k % 2 == 0 else "NOTBOOKED", "bookingDate": "2025-03-01", "amount": {"value": str(k), "unit": "EUR"}, "valutaDate": "2025-03-01", "newTransaction": False, "remittanceInfo": "x", "transactionType": {"key": "K", "text": "T"}}
