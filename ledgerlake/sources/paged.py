@@ -152,8 +152,8 @@ def balances_of(spark: SparkSession, options: dict) -> DataFrame:
 def transactions_of(accounts: DataFrame, options: dict, account_id: str = "account_id", tasks: int | None = None) -> DataFrame:
     """DOCUMENTS of all accounts of a DataFrame.
 
-    Where the accounts are, the first page of each is read, which tells the number of its pages. These are
-    dealt by account and offset over ``tasks`` tasks (the shuffle partitions of the session without one), so
+    The accounts are dealt over ``tasks`` tasks, which read the first page of each; it tells the number of its
+    pages. These are dealt by account and offset over as many tasks (the shuffle partitions of the session without one), so
     an account of many pages is read by all of them. First pages come along and aren't asked for again.
     """
     state = options.get("state", BOOKED)
@@ -182,8 +182,9 @@ def transactions_of(accounts: DataFrame, options: dict, account_id: str = "accou
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["account_id", "page_offset", "place", "booking_status", "value"])
 
     named = accounts.select(F.col(account_id).cast("string").alias("account")).where(F.col("account").isNotNull())
-    pages = named.mapInArrow(plan, "account string, start bigint, rows bigint, first string")
     n = tasks or int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a stated number of partitions: by their few bytes, Spark would put all accounts into one task
+    pages = named.repartition(n, "account").mapInArrow(plan, "account string, start bigint, rows bigint, first string")
     return pages.repartition(n, "account", "start").mapInArrow(fetch, DOCUMENTS)
 
 
