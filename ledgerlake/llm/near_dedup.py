@@ -412,9 +412,12 @@ def block_links(xs: list[dict], ys: list[dict], similarity: int) -> list[tuple[i
 
 
 def _with_group(rows: DataFrame, per_group: DataFrame) -> DataFrame:
-    """``rows`` with their group's one row of ``per_group``; SALTS copies of it, so that no task gets a whole large group."""
+    """``rows`` with their group's one row of ``per_group``; SALTS copies of it, so that no task gets a whole large group.
+
+    Joined by merge: Spark takes the copies for as large as what they are made from, and would send them all through the driver.
+    """
     salted = per_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["group", "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["group", "salt"]).drop("salt")
 
 
 def _links_left(open_: DataFrame, groups: DataFrame, nodes: DataFrame, docs: DataFrame, plan: Plan) -> DataFrame:
