@@ -149,43 +149,69 @@ def balances_of(spark: SparkSession, options: dict) -> DataFrame:
     return read.select(F.from_json("value", ACCOUNT_BALANCE, {"mode": "FAILFAST"}).alias("v"), "place").select("v.*", "place")
 
 
+#: Rows and characters of a batch that a task hands on.
+BATCH_ROWS, BATCH_CHARS = 1_000, 4_000_000
+_PAGE = pa.schema([("account", pa.string()), ("start", pa.int64()), ("rows", pa.int64()), ("part", pa.int64()), ("first", pa.string())])
+_DOCUMENT = pa.schema([("account_id", pa.string()), ("page_offset", pa.int32()), ("place", pa.int64()), ("booking_status", pa.string()), ("value", pa.string())])
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of bounded size; the last column is the long one."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += len(row[-1] or "")
+        if len(part) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+            part, size = [], 0
+    if part:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), schema.types, strict=True)], schema=schema)
+
+
 def transactions_of(accounts: DataFrame, options: dict, account_id: str = "account_id", tasks: int | None = None) -> DataFrame:
     """DOCUMENTS of all accounts of a DataFrame.
 
     The accounts are dealt over ``tasks`` tasks, which read the first page of each; it tells the number of its
     pages. These are dealt by account and offset over as many tasks (the shuffle partitions of the session without one), so
     an account of many pages is read by all of them. First pages come along and aren't asked for again.
+
+    The option ``near`` tells that the service keeps accounts together whose crc32 leaves the same remainder by this
+    number: a task asks for these one after the other, and for up to PAGES pages of an account.
     """
-    state = options.get("state", BOOKED)
+    state, near = options.get("state", BOOKED), int(options.get("near", 0))
     query = {"transactionState": state}
 
-    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def planned(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         service = Service(options)
         for batch in batches:
             for account in batch.column(0).to_pylist():
                 values, matches = service.page(TRANSACTIONS.format(account), query, 0)
-                starts = offsets(len(values), matches)
-                for at in range(0, len(starts), 10_000):
-                    part = starts[at : at + 10_000]
-                    first = [json.dumps(values) if o == 0 else None for o in part]
-                    yield pa.RecordBatch.from_pydict({"account": pa.array([account] * len(part), pa.string()), "start": pa.array(part, pa.int64()), "rows": pa.array([min(len(values), matches - o) for o in part], pa.int64()), "first": pa.array(first, pa.string())})
+                for k, o in enumerate(offsets(len(values), matches)):
+                    yield account, o, min(len(values), matches - o), k // PAGES if near else k, json.dumps(values) if o == 0 else None
 
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         service = Service(options)
         for batch in batches:
             for page in batch.to_pylist():
                 path, start = TRANSACTIONS.format(page["account"]), page["start"]
                 found = [(start, json.loads(page["first"]))] if page["first"] else service.rows(path, query, start, start + page["rows"])
                 for offset, values in found:
-                    rows = [_document(page["account"], offset, offset + k, v) for k, v in enumerate(values)]
-                    kinds = [pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["account_id", "page_offset", "place", "booking_status", "value"])
+                    yield from (_document(page["account"], offset, offset + k, v) for k, v in enumerate(values))
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(planned(batches), _PAGE)
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(fetched(batches), _DOCUMENT)
 
     named = accounts.select(F.col(account_id).cast("string").alias("account")).where(F.col("account").isNotNull())
     n = tasks or int(accounts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    group = F.pmod(F.crc32(F.col("account").cast("binary")), F.lit(near)) if near else F.col("account")
     # a stated number of partitions: by their few bytes, Spark would put all accounts into one task
-    pages = named.repartition(n, "account").mapInArrow(plan, "account string, start bigint, rows bigint, first string")
-    return pages.repartition(n, "account", "start").mapInArrow(fetch, DOCUMENTS)
+    dealt = named.repartition(n, group)
+    pages = (dealt.sortWithinPartitions(group) if near else dealt).mapInArrow(plan, "account string, start bigint, rows bigint, part bigint, first string")
+    dealt = pages.repartition(n, group, "part")
+    return (dealt.sortWithinPartitions(group, "account", "start") if near else dealt).mapInArrow(fetch, DOCUMENTS)
 
 
 def register(spark: SparkSession) -> None:
