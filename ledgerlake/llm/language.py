@@ -84,7 +84,7 @@ def _votes(table: np.ndarray, recur: np.ndarray, out: np.ndarray, x: np.ndarray)
     votes = np.empty((len(x), len(out), x.shape[1]), table.dtype)
     back, gates = np.empty((3 * HIDDEN, x.shape[1]), table.dtype), np.empty((3 * HIDDEN, x.shape[1]), table.dtype)
     for k, step in enumerate(x):
-        np.take(table, step, axis=1, out=gates)
+        np.take(table, step, axis=1, out=gates, mode="clip")  # bytes are never out of range, and numpy buffers ``out`` in its default mode
         np.matmul(recur, h, out=back)
         zr = gates[: 2 * HIDDEN]
         zr += back[: 2 * HIDDEN]
