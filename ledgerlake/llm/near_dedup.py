@@ -239,6 +239,16 @@ def _compact(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows / ROWS_A_TASK)))
 
 
+def _unsized(df: DataFrame) -> DataFrame:
+    """A stored table of ids whose size Spark takes as unknown.
+
+    Spark takes a stored table for as large as what it was made from, and a join for the product of its sides: in rounds
+    of joins this number has twice the digits after each, until the driver's memory is full of them.
+    """
+    session = df.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), session)
+
+
 # Tables of ids are joined by merge below: a small one would else go through the driver in every round.
 
 
@@ -267,7 +277,7 @@ def _in_one_task(links: DataFrame) -> DataFrame:
             node, label = components(*(np.concatenate(side) for side in zip(*parts, strict=True)))
             yield pa.RecordBatch.from_pydict({"node": node, "label": label})
 
-    return materialised(links.select("a", "b").coalesce(1).mapInArrow(find, "node bigint, label bigint"))
+    return _unsized(materialised(links.select("a", "b").coalesce(1).mapInArrow(find, "node bigint, label bigint")))
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -276,31 +286,31 @@ def connected(links: DataFrame) -> DataFrame:
     if told["rows"] <= ONE_TASK:
         return _in_one_task(links)
     both, told = stored(links.union(links.select("b", "a")).where("a != b").distinct())
-    both = _compact(both, told["rows"])
-    labels = materialised(_compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"), told["rows"]))
+    both = _compact(_unsized(both), told["rows"])
+    labels = _unsized(materialised(_compact(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).select("node", "label"), told["rows"])))
     while True:  # as often as the longest chain of links halves
         near = both.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b").select(F.col("a").alias("node"), "label", F.lit(None).cast("bigint").alias("old"))
         nearer = labels.select("node", "label", F.col("label").alias("old")).union(near).groupBy("node").agg(F.min("label").alias("label"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = nearer.join(jump.hint("merge"), "label").select("node", "old", F.least("label", "next").alias("label"))
         moved, seen = stored(_compact(moved, told["rows"]), changed=F.col("old") != F.col("label"))
-        labels = moved.select("node", "label")
+        labels = _unsized(moved.select("node", "label"))
         if not seen["changed"]:
             return labels
 
 
 def rooted(nodes: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """node, label of all nodes: where the chain of links (a, b) from b to a smaller a ends. Each node is the b of one link at most."""
-    links = materialised(links.select("a", "b"))
+    links = _unsized(materialised(links.select("a", "b")))
     if 2 * rows <= ONE_TASK:
         return _in_one_task(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).union(links.select("a", "b")))
     labels = nodes.join(links.select("a", F.col("b").alias("node")).hint("merge"), "node", "left").select("node", F.coalesce("a", "node").alias("label"))
-    labels = materialised(_compact(labels, rows))
+    labels = _unsized(materialised(_compact(labels, rows)))
     while True:  # as often as the longest chain halves
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         moved = labels.join(jump.hint("merge"), "label").select("node", F.col("label").alias("old"), F.col("next").alias("label"))
         moved, seen = stored(_compact(moved, rows), changed=F.col("old") != F.col("label"))
-        labels = moved.select("node", "label")
+        labels = _unsized(moved.select("node", "label"))
         if not seen["changed"]:
             return labels
 
@@ -308,13 +318,14 @@ def rooted(nodes: DataFrame, rows: int, links: DataFrame) -> DataFrame:
 def _merged(labels: DataFrame, rows: int, links: DataFrame) -> DataFrame:
     """labels (node, label; so many rows) after the links between nodes are added. A label is its component's least node."""
     links, told = stored(links)
+    links = _unsized(links)
     if rows + told["rows"] <= ONE_TASK:
         return _in_one_task(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(links.select("a", "b")))
     one, two = (labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
     between = links.join(one.hint("merge"), "a").join(two.hint("merge"), "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     found = connected(between)
     new = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return materialised(_compact(labels.join(new.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), rows))
+    return _unsized(materialised(_compact(labels.join(new.hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), rows)))
 
 
 def near_duplicates(docs: DataFrame, plan: Plan | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
