@@ -33,3 +33,14 @@ def test_rounds_up_a_chain_and_links_added(spark, in_rounds):
     merged = near_dedup._merged(labels, 60, spark.createDataFrame([(7, 10)], "a long, b long"))
     assert sorted(map(tuple, merged.collect())) == [(n, 0) for n in range(60)]
     assert digits(merged) < 100
+
+
+def test_near_duplicates_stage(spark, in_rounds, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", 0)
+    most = []
+    monkeypatch.setattr(near_dedup, "_compact", lambda df, rows, compact=near_dedup._compact: most.append(digits(df)) or compact(df, rows))
+    words = [f"w{k}" for k in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(words[5 * k : 5 * k + 200])) for k in range(40)], "doc_id long, text string")
+    kept = near_dedup.one_of_each(docs)
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert len(most) > 8 and max(most) < 3_000
